@@ -142,3 +142,20 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES)
         total += len(text)
     if texts:
         yield batch.slice(begin), texts[begin:]
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, only=None) -> DataFrame:
+    """(doc_id, text, label 0/1) of a bounded, reproducible sample of labelled documents.
+
+    ``only``: a condition on doc_id for the labels that may be learned from. The sample is the
+    first ``sample`` labelled ids by their hash, so the side that is broadcast has at most that
+    many rows; null labels are left out, and of repeated labels the mean decides, a tie for 1.
+    """
+    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("double").alias("_label")).dropna()
+    if only is not None:
+        marks = marks.filter(only)
+    picked = (
+        marks.groupBy("doc_id").agg((F.avg("_label") >= 0.5).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("_label").alias(label))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules, warc
+from . import line_rules, rule_quality, toxicity_chain, warc
+from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,9 +29,27 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_records(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_quality.fit_quality(docs, _table(spark, sf_dir, "labels"), only=remainder("doc_id", 3) != 1)
+    return rule_quality.with_quality(docs, model).select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities; ``toxic``: the last of the chain is 0.5 or more."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_chain.fit_from_labels(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity_chain.with_toxicity(docs, model)
+    return scored.select("doc_id", *(F.col(f"_p_{c}").alias(f"p_{c}") for c in model.categories), (F.col("_p_toxic") >= 0.5).alias("toxic"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_line_rules": op2_line_rules,
+    "op6_rule_quality": op6_rule_quality,
     "op8_warc_revisits": op8_warc_revisits,
+    "op10_toxicity_chain": op10_toxicity_chain,
 }
 
 ORACLE_SQL: dict[str, str] = {}
