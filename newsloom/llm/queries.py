@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impact_index, line_rules, rule_quality, toxicity_chain, warc
+from . import impact_index, jaccard_join, line_rules, rule_quality, toxicity_chain, warc
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), num=90, den=100, width=3)
+
+
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probabilities; ``toxic``: the last of the chain is 0.5 or more."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_rules": op2_line_rules,
     "op6_rule_quality": op6_rule_quality,
     "op8_warc_revisits": op8_warc_revisits,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity_chain": op10_toxicity_chain,
 }
 
