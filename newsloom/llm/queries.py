@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impact_index, jaccard_join, line_rules, rule_quality, toxicity_chain, warc
+from . import impact_index, interpolated_lm, jaccard_join, line_rules, rule_quality, toxicity_chain, warc
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_records(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = rule_quality.fit_quality(docs, _table(spark, sf_dir, "labels"), only=remainder("doc_id", 3) != 1)
@@ -57,6 +63,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_impact_search": op1_impact_search,
     "op2_line_rules": op2_line_rules,
+    "op3_interpolated_lm": op3_interpolated_lm,
     "op6_rule_quality": op6_rule_quality,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_jaccard_join": op9_jaccard_join,
