@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impact_index, interpolated_lm, jaccard_join, line_rules, rule_quality, toxicity_chain, warc
+from . import byte_convnet, impact_index, interpolated_lm, jaccard_join, line_rules, rule_quality, toxicity_chain, warc
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = byte_convnet.fit_languages(docs, only=remainder("doc_id", 4) != 2)
+    return byte_convnet.predict_languages(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = rule_quality.fit_quality(docs, _table(spark, sf_dir, "labels"), only=remainder("doc_id", 3) != 1)
@@ -64,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_impact_search": op1_impact_search,
     "op2_line_rules": op2_line_rules,
     "op3_interpolated_lm": op3_interpolated_lm,
+    "op4_byte_convnet": op4_byte_convnet,
     "op6_rule_quality": op6_rule_quality,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_jaccard_join": op9_jaccard_join,
