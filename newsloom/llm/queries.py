@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_convnet, impact_index, interpolated_lm, jaccard_join, line_rules, rule_quality, toxicity_chain, warc
+from . import (
+    bin_packing,
+    byte_convnet,
+    impact_index,
+    interpolated_lm,
+    jaccard_join,
+    line_rules,
+    rule_quality,
+    source_mixing,
+    toxicity_chain,
+    warc,
+)
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +39,24 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TREE_WEIGHTS = [
+    # domain, language, source, weight; a null stands for all below
+    *((f"domain{k}", None, None, w) for k, w in enumerate((4.0, 3.0, 2.0, 1.0))),
+    *((f"domain{k}", lang, None, w) for k in range(4) for lang, w in (("en", 2.0), ("de", 2.0), ("fr", 2.0), ("es", 4.0))),
+]
+
+
+def tree_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TREE_WEIGHTS, "domain string, lang string, source string, weight double")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", source_mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", source_mixing.word_count(F.col("text")).alias("n_tokens")
+    )
+    return source_mixing.mix_sources(docs, tree_weights(spark), budget=0.6, max_epochs=2)
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.write_captures(_table(spark, sf_dir, "pages"))
     archives = warc.deduplicate_archives(spark, captures)
@@ -46,6 +75,11 @@ def op4_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_convnet.predict_languages(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", source_mixing.word_count(F.col("text")).alias("n_tokens"))
+    return bin_packing.pack_documents(docs)
+
+
 def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = rule_quality.fit_quality(docs, _table(spark, sf_dir, "labels"), only=remainder("doc_id", 3) != 1)
@@ -71,7 +105,9 @@ QUERIES: dict[str, Query] = {
     "op2_line_rules": op2_line_rules,
     "op3_interpolated_lm": op3_interpolated_lm,
     "op4_byte_convnet": op4_byte_convnet,
+    "op5_bin_packing": op5_bin_packing,
     "op6_rule_quality": op6_rule_quality,
+    "op7_source_mixing": op7_source_mixing,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity_chain": op10_toxicity_chain,
