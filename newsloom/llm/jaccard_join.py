@@ -448,3 +448,19 @@ class JaccardJoin:
 def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return JaccardJoin(docs, Threshold(num, den), width).run().members()
+
+
+def first_of_each(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id.
+
+    Documents without words stay; so do rows without an id; rows that repeat an id and a
+    text count as one.
+    """
+    rest = near_duplicates(docs, num, den, width).filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
+    kept = docs.join(rest.distinct(), docs["doc_id"].cast("bigint") == rest["doc_id"], "left_anti")
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    if not repeated.head(1):
+        return kept
+    # of rows with one id, those with equal texts are one document
+    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
