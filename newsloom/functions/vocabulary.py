@@ -149,3 +149,33 @@ MONTHS_FA = ["ژانویه", "فوریه", "مارس", "اپریل", "می", "ژ
 COVERAGE_LABELS = ["بدون پوشش دسته‌ای", "پوشش محدود", "پوشش چندبخشی", "پوشش گسترده"]
 
 TRUE_WORDS = ["1", "true", "yes", "on"]
+
+# --- fixed values: facts and sections -----------------------------------------------------------
+
+TOPIC_ORDER = ["gameplay", "world_design", "visuals", "technical", "story", "value", "audio", "general"]
+
+TOPIC_LIMITS = {"gameplay": 6, "world_design": 6, "visuals": 4, "story": 5, "technical": 4, "value": 3, "audio": 3, "general": 2}
+
+GENERIC_MARKERS = ["تجربه‌ای جذاب", "تجربه جذاب", "شگفت‌انگیز", "ارزش تجربه", "ارزش بازی کردن", "غیرقابل ترک", "بسیار سرگرم‌کننده"]
+
+SPECIFIC_MARKERS = [
+    "جهان", "اکتشاف", "کاوش", "تعامل", "مبارز", "نبرد", "باس", "رئیس", "پازل", "سیستم", "مکانیک", "کنترل", "اسب", "داستان", "روایت", "شخصیت",
+    "نوشتار", "ترجمه", "ماموریت", "عملکرد", "فنی", "باگ", "موجودی", "ذخیره", "زمان", "طراحی", "پیشرفت", "گرافیک", "نورپردازی", "انیمیشن", "بافت",
+    "صداگذاری", "موسیقی", "قیمت", "محتوا", "ارزش خرید", "تکرارپذیری",
+]
+
+#: topics of a claim that its quote does not settle, in order
+TOPIC_TERMS = {
+    "world_design": ["جهان", "اکتشاف", "کاوش", "محیط", "تعامل"],
+    "gameplay": ["مبارز", "نبرد", "باس", "رئیس", "پازل", "کنترل", "اسب", "مکانیک", "سیستم"],
+    "story": ["داستان", "روایت", "شخصیت", "نوشتار", "ترجمه", "ماموریت"],
+    "technical": ["عملکرد", "فنی", "باگ", "کرش", "بهینه"],
+}
+
+FORBIDDEN_WORDS = [
+    "پوشش شواهد", "شواهد تأییدشده", "پرونده‌ی فعلی", "پرونده فعلی", "سطح اطمینان", "برداشت اولیه", "به‌صورت خودکار", "منبع بررسی‌شده",
+    "منابع بررسی‌شده", "نقدهای انتخاب‌شده", "مدل زبانی", "هوش مصنوعی", "evidence", "confidence", "متاکریتیک", "poormaz", "امتیاز", "نمره",
+    "منتقد", "سایت", "وب‌سایت", "منبع",
+]
+
+TRAILER_WORDS = ["وفاداری", "قهرمانان شکل", "سرزمین‌های سخت", "خطرات ناشناخته", "به دنیای بازی", "وارد دنیای"]
