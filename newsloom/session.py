@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+"""Bytes of an Arrow batch: row counts alone do not bound batches of long texts."""
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "newsloom") -> SparkSession:
@@ -29,7 +32,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "new
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once for an application."""
+    """Send this package's sources to the executors, once for an application, and bound Arrow batches."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
