@@ -13,7 +13,10 @@ from .base import Rows, query, s_canonical, s_identity, s_title, s_tokens, s_tri
 from .scalars import FIRST_LINE, SPELLED, spelled
 
 RUN = "TIMESTAMP '2024-01-31 00:00:00'"
-RUN_TS = F.expr(RUN)
+
+
+def run_ts():
+    return F.expr(RUN)
 
 
 # --- sources ------------------------------------------------------------------------------------
@@ -69,12 +72,12 @@ def items(spark, sf_dir) -> DataFrame:
 
 @query("q14_recent_window", f"SELECT id, source_name, title_norm, published_ts FROM {ITEMS_SQL} WHERE status IN ('posted', 'skipped') AND coalesce(published_ts, 0) >= epoch({RUN}) - 48 * 3600 ORDER BY published_ts DESC, id LIMIT 300")
 def q14(spark, sf_dir):
-    return state.recent(items(spark, sf_dir), RUN_TS).select("id", "source_name", "title_norm", "published_ts")
+    return state.recent(items(spark, sf_dir), run_ts()).select("id", "source_name", "title_norm", "published_ts")
 
 
 @query("q15_next_pending", f"SELECT source_name, id, published_ts FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY coalesce(published_ts, 0) DESC, created_at DESC, id) AS r FROM {ITEMS_SQL} WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= {RUN})) WHERE r = 1")
 def q15(spark, sf_dir):
-    return state.next_pending(items(spark, sf_dir), RUN_TS).select("source_name", "id", "published_ts")
+    return state.next_pending(items(spark, sf_dir), run_ts()).select("source_name", "id", "published_ts")
 
 
 @query(
@@ -84,7 +87,7 @@ def q15(spark, sf_dir):
 )
 def r3(spark, sf_dir):
     rotation = spark.range(20).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("source_name"), F.col("id").cast("int").alias("pos"))
-    turns = ordered.round_robin(state.due(items(spark, sf_dir), RUN_TS), rotation, 7, F.desc("published_ts"), F.desc("created_at"), "id")
+    turns = ordered.round_robin(state.due(items(spark, sf_dir), run_ts()), rotation, 7, F.desc("published_ts"), F.desc("created_at"), "id")
     return turns.filter("round < 3").select("id", "source_name", F.col("round").cast("int").alias("round"), F.col("place").cast("int").alias("place"))
 
 
