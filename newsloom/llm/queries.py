@@ -16,6 +16,7 @@ from . import (
     line_rules,
     rule_quality,
     source_mixing,
+    sql,
     toxicity_chain,
     warc,
 )
@@ -114,17 +115,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_impact_search": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
-), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
-""",
+    "op1_impact_search": sql.OP1,
+    "op2_line_rules": sql.OP2,
+    "op7_source_mixing": sql.op7(TREE_WEIGHTS, share=0.6, epochs=2, seed=17),
+    "op8_warc_revisits": sql.OP8,
+    "op9_jaccard_join": sql.OP9,
 }
