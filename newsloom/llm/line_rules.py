@@ -2,8 +2,8 @@
 
 Lines of a document are normalised (lower case, one space between words) and hashed. Of each
 host, every line's distinct texts are counted; a line found in more than ``max_texts`` of them
-is boilerplate there and is removed. A document left with too few words, or too small a share
-of them, is depleted and rejected.
+is boilerplate there and is removed. A document left with too small a share of its words is depleted
+and rejected; a short one that loses a line or two is not.
 
 Exact copies of a text count once: copies are for deduplication to judge, and a good page that
 was crawled twice should not lose its lines.
@@ -105,7 +105,6 @@ def line_frequency_rules(
     docs: DataFrame,
     host: str = "source",
     max_texts: int = 20,
-    min_left: int = MIN_WORDS,
     min_left_percent: int = 30,
 ) -> DataFrame:
     """One row per document: base statistics, removed and left words, the verdict.
@@ -144,7 +143,7 @@ def line_frequency_rules(
         .join(removed, "row", "left")
         .fillna(0, ["removed_words", "removed_lines"])
         .withColumn("base_failed", failed)
-        .withColumn("depleted", (left < min_left) | (left * 100 < n * min_left_percent))
+        .withColumn("depleted", left * 100 < n * min_left_percent)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
         .drop("row")
     )
