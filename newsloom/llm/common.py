@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 """Text bytes handled at once; a longer document makes a slice of its own."""
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -29,6 +30,9 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one made for a local run."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,8 +54,29 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: what follows survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cleanup = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # once written, its shuffle files have no readers
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if cleanup is None else spark.conf.set(_CLEANUP, cleanup)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete shared tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        known = _paths.pop(id(table), None)
+        if known is None or known[0]() is not table:
+            continue
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(known[1])
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(column: str, divisor: int):

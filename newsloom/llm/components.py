@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import forget, shared_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = shared_table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     for _ in range(max_rounds):
-        now = shared_table(_small_star(_large_star(now)), "edges")
+        before, now = now, shared_table(_small_star(_large_star(now)), "edges")
+        forget(before)
         after = _state(now)
         if after == state:
             members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -4,11 +4,12 @@ A document's set holds its distinct 3-word shingles (64-bit hashes). Equal sets
 the start. Two sets link when ``den * |x & y| >= num * |x | y|``.
 
 *Index.* Sets are ordered by a total order of shingles, and only a prefix is posted: two sets that
-link share a shingle of both prefixes, whatever the order is. The order is "not frequent before
-frequent, then by hash", where "frequent" is read from a Bloom filter of fixed size that holds
-the shingles many sets begin with: any filter gives exact results, a good one keeps passages that
-many documents share out of the prefixes. A second fixed filter drops postings of shingles that no
-second set posts.
+link share a shingle of both prefixes, whatever the order is. The order is by region, class and hash.
+The first region is the quarter of the hashes that are smallest: it holds more than a prefix of nearly
+every set, so only that window of a set is kept and counted (sets with fewer keep all they have).
+The classes go from shingles of one set to frequent ones and are read from Bloom filters whose size
+is bounded: any filters give exact results, good ones fill the prefixes with shingles that need no
+posting, and keep passages that many documents share out of them.
 
 *Index-level skipping.* Each list is sorted by set size, then position. A probe jumps over the rest of
 a size block as soon as a position leaves too few shingles to reach the overlap that the two sizes
@@ -38,14 +39,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, combine, mix, shared_table, span_hashes
+from .common import Words, chunks, combine, forget, mix, shared_table, span_hashes
 from .components import components
 
-FREQUENT = 24
-"""A shingle that more prefix windows hold is frequent."""
-FREQUENT_BITS = 1 << 23
-SHARED_BITS = 1 << 24
-IDS_BITS = 1 << 24
+CLASSES = (2, 5, 25)
+"""Windows that must hold a shingle for each next class; shingles of the last are frequent."""
+REGION = 1 << 62
+"""Hashes below it are the first region."""
+FILTER_BITS = 1 << 27
+"""A filter has 8 bits for each entry, and no more than these (16 MB)."""
 SALTS = 32
 
 
@@ -58,11 +60,6 @@ class Threshold:
         """Postings of a set of n shingles: n - ceil(t n) + 1."""
         return n - -(-self.num * n // self.den) + 1
 
-    def window(self, n):
-        """Shingles kept in the narrow table: the prefix and some to replace frequent ones."""
-        p = self.prefix(n)
-        return np.minimum(n, p + p // 4 + 8)
-
     def overlap(self, a, b):
         """The least common shingles of two linked sets of these sizes: ceil(t / (1 + t) (a + b))."""
         return -(-self.num * (a + b) // (self.num + self.den))
@@ -114,7 +111,10 @@ def _narrow(batches: Iterator[pa.RecordBatch], t: Threshold, width: int) -> Iter
         for piece, texts in chunks(batch):
             key, bounds = shingle_sets(texts, width)
             n = np.diff(bounds)
-            lengths = np.where(n > 0, t.window(n), 0)
+            # keys are sorted: those of the first region come first
+            owner = np.repeat(np.arange(len(n)), n)
+            near = np.bincount(owner[key < np.uint64(REGION)], minlength=len(n))
+            lengths = np.where(near >= np.where(n > 0, t.prefix(n), 0), near, n)
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(_set_ids(key, bounds)), pa.array(n.astype(np.int64)), _lists(key[_heads(bounds, lengths)], lengths)],
                 names=["doc_id", "sid", "n", "window"],
@@ -138,13 +138,14 @@ def _places(hashed: Column, bits: int) -> Column:
     return F.array(hashed.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(hashed, 32).bitwiseAND(F.lit(bits - 1)))
 
 
-def _filter_of(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A Bloom filter of a column of 64-bit hashes: at most bits / 64 words come to the driver."""
+def _filter_of(hashes: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes: at most FILTER_BITS / 64 words come to the driver."""
+    bits = min(FILTER_BITS, 1 << max(16, (8 * hashes.count()).bit_length()))
     place = hashes.select(F.explode(_places(F.col(column), bits)).alias("p"))
     words = place.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("mask"))
-    found = words.toPandas()
+    found = words.toArrow()  # columns, not row objects
     out = np.zeros(bits // 64, np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    out[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     return out
 
 
@@ -160,37 +161,48 @@ def _in_filter(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
 # --- postings ------------------------------------------------------------------------------------
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, shared: np.ndarray | None, t: Threshold, whole: bool, deficient: bool) -> Iterator[pa.RecordBatch]:
-    """Postings (token, sid, n, pos, salt) of (sid, n, keys) rows; with ``deficient``, rather the sids
-    whose keys are not enough for a prefix."""
-    for batch in batches:
+def _portions(batch: pa.RecordBatch, keys: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of (sid, n, keys) rows that hold about so many keys together."""
+    ends = batch.column(2).offsets.to_numpy().astype(np.int64)[1:]
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else ends[0] - len(batch.column(2)[0])
+        stop = max(begin + 1, int(np.searchsorted(ends, before + keys, side="right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], left_out: np.ndarray | None, classes: tuple[np.ndarray, ...], t: Threshold) -> Iterator[pa.RecordBatch]:
+    """Postings (token, sid, n, pos, salt) of (sid, n, window) rows: of their prefixes, what a second set
+    holds. ``left_out``: a filter of sids to pass over."""
+    if left_out is not None:
+        batches = _those_in(batches, left_out, False)
+    for batch in (piece for whole_batch in batches for piece in _portions(whole_batch)):
         sid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         column = batch.column(2)
         keys, bounds = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
-        lengths = np.diff(bounds)
-        p = t.prefix(n)
-        hot = _in_filter(keys, frequent)
-        row = np.repeat(np.arange(len(sid)), lengths)
-        cold = np.bincount(row[~hot], minlength=len(sid))
-        enough = (cold >= p) | (lengths == n) | whole
-        if deficient:
-            yield pa.RecordBatch.from_arrays([pa.array(sid[~enough])], names=["sid"])
-            continue
-        order = np.lexsort((keys, hot, row))
-        keys, hot = keys[order], hot[order]
+        row = np.repeat(np.arange(len(sid)), np.diff(bounds))
+        held = [_in_filter(keys, words) for words in classes]
+        rank = np.sum(held, axis=0, dtype=np.int8) + np.where(keys < np.uint64(REGION), 0, len(classes) + 1).astype(np.int8)
+        order = np.lexsort((keys, rank, row))
+        keys, shared, frequent = keys[order], held[0][order], held[-1][order]
         pos = np.arange(len(keys)) - bounds[row]
-        keep = (pos < p[row]) & enough[row]
-        if shared is not None:
-            keep &= _in_filter(keys, shared)
+        keep = (pos < t.prefix(n)[row]) & shared
         at = row[keep]
-        salt = np.where(hot[keep], mix(sid[at].view(np.uint64)) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
+        salt = np.where(frequent[keep], mix(sid[at].view(np.uint64)) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys[keep].view(np.int64)), pa.array(sid[at]), pa.array(n[at]), pa.array(pos[keep].astype(np.int64)), pa.array(salt.astype(np.int32))],
             names=["token", "sid", "n", "pos", "salt"],
         )
 
 
+def _those_in(batches: Iterator[pa.RecordBatch], words: np.ndarray, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column is in the filter, or rather is not."""
+    for batch in batches:
+        yield batch.filter(pa.array(_in_filter(batch.column(0).to_numpy(), words) == wanted))
+
+
 _POSTING = "token bigint, sid bigint, n bigint, pos bigint, salt int"
 
 
@@ -310,10 +322,15 @@ class JaccardJoin:
             self.docs.mapInArrow(lambda b: _narrow(b, t, width), "doc_id bigint, sid bigint, n bigint, window array<bigint>"), "join-sets"
         )
         there = self.narrow.filter("n > 0 and doc_id is not null")
+        there = self.narrow.filter("n > 0 and doc_id is not null")
         #: one row per distinct set, held by its smallest document
-        self.sets = there.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-        windows = there.select("sid", "n", "window").dropDuplicates(["sid"])
-        self.windows = shared_table(windows, "join-windows")
+        self.sets = shared_table(there.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "join-distinct")
+        # sets that one document has need no shuffle to be distinct; the rest are few, or are copies
+        self.several = self.spark.sparkContext.broadcast(_filter_of(self.sets.filter("copies > 1"), "sid"))
+        several, self.rows = self.several, there.select("sid", "n", F.col("window").alias("keys"))
+        kind = "sid bigint, n bigint, keys array<bigint>"
+        self.copied = shared_table(self.rows.mapInArrow(lambda b: _those_in(b, several.value, True), kind).dropDuplicates(["sid"]), "join-copied")
+        self.single = self.rows.mapInArrow(lambda b: _those_in(b, several.value, False), kind)
         self.verified: DataFrame | None = None
 
     # postings
@@ -321,7 +338,7 @@ class JaccardJoin:
     def _whole(self, sids: DataFrame, label: str) -> DataFrame:
         """(sid, n, keys) of these sets, read from their smallest documents again."""
         held = sids.select("sid").distinct().join(self.sets, "sid").select("sid", "doc_id")
-        wanted = self.spark.sparkContext.broadcast(_filter_of(held.select(F.xxhash64("doc_id").alias("h")), "h", IDS_BITS))
+        wanted = self.spark.sparkContext.broadcast(_filter_of(held.select(F.xxhash64("doc_id").alias("h")), "h"))
         width = self.width
         found = self.docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(
             lambda b: _whole_sets(b, wanted.value, width), "sid bigint, n bigint, keys array<bigint>"
@@ -330,43 +347,19 @@ class JaccardJoin:
         kept = found.join(held.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
         return shared_table(kept, label)
 
-    def _counts(self, sets: DataFrame, column: str, least: int) -> DataFrame:
-        return sets.select(F.explode(column).alias("token")).groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") >= least)
-
     def postings(self) -> DataFrame:
-        t, spark = self.t, self.spark
-        counts = shared_table(self._counts(self.windows, "window", 2), "join-counts")
-        frequent = _filter_of(counts.filter(F.col("sets") > FREQUENT), "token", FREQUENT_BITS)
-        shared = _filter_of(counts, "token", SHARED_BITS)
-        keys = self.windows.withColumnRenamed("window", "keys")
-
-        def short_of(filter_words: np.ndarray) -> DataFrame:
-            words = spark.sparkContext.broadcast(filter_words)
-            return keys.mapInArrow(lambda b: _prefixes(b, words.value, None, t, False, True), "sid bigint")
-
-        deficient = shared_table(short_of(frequent), "join-deficient")
-        whole = None
-        if deficient.head(1):
-            whole = self._whole(deficient, "join-whole")
-            # what such sets hold beyond their windows was not counted yet
-            frequent |= _filter_of(self._counts(whole, "keys", FREQUENT + 1), "token", FREQUENT_BITS)
-            more = short_of(frequent).join(deficient, "sid", "left_anti")
-            more = shared_table(more, "join-deficient")
-            if more.head(1):
-                whole = whole.union(self._whole(more, "join-whole"))
-                deficient = deficient.union(more)
-        hot = spark.sparkContext.broadcast(frequent)
-        parts = []
-        if whole is not None:
-            long = shared_table(whole.mapInArrow(lambda b: _prefixes(b, hot.value, None, t, True, False), _POSTING), "join-postings")
-            shared |= _filter_of(long, "token", SHARED_BITS)
-            parts.append(long)
-            keys = keys.join(deficient, "sid", "left_anti")
-        seen = spark.sparkContext.broadcast(shared)
-        parts.append(keys.mapInArrow(lambda b: _prefixes(b, hot.value, seen.value, t, False, False), _POSTING))
-        posted = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+        t, several = self.t, self.several
+        counts = shared_table(
+            self.single.union(self.copied).select(F.explode("keys").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") >= CLASSES[0]), "join-counts"
+        )
+        classes = self.spark.sparkContext.broadcast(tuple(_filter_of(counts.filter(F.col("sets") >= least), "token") for least in CLASSES))
+        forget(counts)
+        alone = self.rows.mapInArrow(lambda b: _prefixes(b, several.value, classes.value, t), _POSTING)
+        posted = alone.union(self.copied.mapInArrow(lambda b: _prefixes(b, None, classes.value, t), _POSTING))
         band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(t.den / t.num) if t.num < t.den else 1e-9)) + F.lit(1e-9)).cast("bigint")
-        return shared_table(posted.withColumn("band", band), "join-postings")
+        out = shared_table(posted.withColumn("band", band), "join-postings")
+        forget(self.copied)
+        return out
 
     # answers
 
@@ -375,16 +368,19 @@ class JaccardJoin:
         pairs = shared_table(pairs.select("a", "b").distinct(), "join-pairs")
         if not pairs.head(1):
             return self.spark.createDataFrame([], "a bigint, b bigint, distance double, linked boolean")
-        sets = self._whole(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), "join-compared").select("sid", "keys")
+        whole = self._whole(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), "join-compared")
+        sets = whole.select("sid", "keys")
         one, other = sets.select(F.col("sid").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("sid").alias("b"), F.col("keys").alias("kb"))
         common, both = F.col("common"), F.col("both") - F.col("common")
-        return shared_table(
+        found = shared_table(
             pairs.join(one, "a")
             .join(other, "b")
             .select("a", "b", F.size(F.array_intersect("ka", "kb")).cast("bigint").alias("common"), (F.size("ka") + F.size("kb")).cast("bigint").alias("both"))
             .select("a", "b", (1 - common / both).alias("distance"), (common * self.t.den >= both * self.t.num).alias("linked")),
             "join-answers",
         )
+        forget(whole, pairs)
+        return found
 
     def _add(self, pairs: DataFrame) -> None:
         if self.verified is not None:
@@ -418,7 +414,9 @@ class JaccardJoin:
         )
         self._add(near.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
         # the rest, between components only, as far as no proof covers it
+        forget(opened)
         opened = self._open(postings)
+        forget(postings)
         pivots = opened.groupBy("token").agg(F.min(F.struct("pos", "n", "sid")).alias("p")).select("token", F.col("p.sid").alias("pivot"))
         known = self.verified.select("a", "b", "distance")
         told = (
@@ -432,6 +430,7 @@ class JaccardJoin:
         )
         rest = told.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(lambda b: _open_pairs(b, t), "a bigint, b bigint")
         self._add(rest)
+        forget(opened)
         return self
 
     def members(self) -> DataFrame:
