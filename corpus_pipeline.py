@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import bin_packing, jaccard_join, rule_quality, source_mixing, toxicity_chain
 from newsloom.llm.common import shared_path
+from newsloom.session import ship
 
 MIX_SHARE = 0.9
 """Tokens that mixing keeps, of those it gets."""
@@ -20,23 +21,27 @@ MIX_WEIGHTS = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
+    ship(spark)
     model = rule_quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rule_quality.with_quality(docs, model, "_quality").filter(F.col("_quality") >= 0.5).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic, the chain's last category, is below 0.5."""
+    ship(spark)
     model = toxicity_chain.fit_from_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity_chain.with_toxicity(docs, model).filter(F.col("_p_toxic") < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (3-word shingles, Jaccard 0.9 or more) the smallest doc_id."""
+    ship(spark)
     return jaccard_join.first_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that equal weights over domains, languages and sources take within one epoch."""
+    ship(spark)
     narrow = docs.select("doc_id", source_mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", source_mixing.word_count(F.col("text")).alias("n_tokens"))
     taken = source_mixing.mix_sources(narrow, MIX_WEIGHTS, budget=MIX_SHARE, max_epochs=1)
     return docs.join(taken.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
@@ -44,6 +49,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each document's pieces in sequences of several lengths."""
+    ship(spark)
     return bin_packing.pack_documents(docs.select("doc_id", source_mixing.word_count(F.col("text")).alias("n_tokens")))
 
 
