@@ -191,7 +191,7 @@ def fit_languages(docs: DataFrame, only: Column | None = None, per_language: int
     # ranks are cut off before the shuffle, so no language's rows meet in one task
     picked = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(lambda b: _training_windows(b, windows_each, seed), "doc_id bigint, lang string, window binary")
-    found = sample.toPandas().sort_values(["doc_id", "lang", "window"], ignore_index=True)
+    found = sample.toArrow().to_pandas().sort_values(["doc_id", "lang", "window"], ignore_index=True)
     if not len(found):
         return None
     languages = tuple(sorted(found["lang"].unique()))

@@ -99,7 +99,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, only: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of the rows to fit, in a reproducible order."""
     columns = [PREFIX + s for s in STATISTICS]
-    rows = with_statistics(labelled_rows(docs, labels, label, sample, only)).select("doc_id", label, *columns).toPandas()
+    rows = with_statistics(labelled_rows(docs, labels, label, sample, only)).select("doc_id", label, *columns).toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", *columns])
     return rows[columns].to_numpy(np.float64), rows[label].to_numpy(np.float64)
 

@@ -181,7 +181,7 @@ def fit_toxicity(rows: DataFrame, categories: list[str], width: int = FEATURES,
     known = np.sort(np.array([r["feature"] for r in top.collect()], np.int64).view(np.uint64))
     vectors = rows.mapInArrow(
         lambda b: _known_features(b, known, len(names)), "doc_id bigint, " + ", ".join(f"label{k} int" for k in range(len(names))) + ", ranks array<int>"
-    ).toPandas()
+    ).toArrow().to_pandas()
     vectors = vectors.sort_values("doc_id", kind="stable", ignore_index=True)
     lengths = vectors["ranks"].map(len).to_numpy(np.int64) if len(vectors) else np.zeros(0, np.int64)
     ranks = np.concatenate([np.zeros(0, np.int64), *vectors["ranks"].map(np.asarray)]).astype(np.int64)
