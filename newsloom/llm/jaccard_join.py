@@ -19,7 +19,8 @@ ask for, and leaves the list when its own position, or the sizes, rule out all t
 compared with the others. Sets found linked are one component, and their other pairs need no answer.
 For what remains between components, answers are derived: with the distances d(p, x) and d(p, y) to a
 common pivot known, |d(p, x) - d(p, y)| > 1 - num/den proves that x and y do not link (Jaccard
-distance is a metric). Only pairs that no such proof covers are computed.
+distance is a metric). For the rest a parity sketch of each set bounds the difference from below. Only
+pairs that no proof covers are computed.
 
 Lists of frequent shingles are dealt over salts, so that no task gets all of them; the pivots' pairs
 join the salts again. Nothing that grows with the input is collected or broadcast.
@@ -131,6 +132,25 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: in
             yield pa.RecordBatch.from_arrays([pa.array(_set_ids(key, bounds)), pa.array(n.astype(np.int64)), _lists(key, n)], names=["sid", "n", "keys"])
 
 
+SKETCH_BITS = 4096
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """(sid, sketch) of rows whose id hash is in the filter: the parity of the shingles on each bit.
+
+    A shingle that only one of two sets holds flips one bit, so the bits in which two sketches differ
+    are no more than the shingles in which the sets do.
+    """
+    for batch in batches:
+        batch = batch.filter(pa.array(_in_filter(batch.column(0).to_numpy(zero_copy_only=False), wanted)))
+        for _, texts in chunks(batch, size=1 << 18):
+            key, bounds = shingle_sets(texts, width)
+            n = np.diff(bounds)
+            place = np.repeat(np.arange(len(n)), n) * SKETCH_BITS + (key >> np.uint64(64 - 12)).astype(np.int64)
+            odd = (np.bincount(place, minlength=len(n) * SKETCH_BITS) & 1).astype(np.uint8).reshape(len(n), SKETCH_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(_set_ids(key, bounds)), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], names=["sid", "sketch"])
+
+
 # --- filters of fixed size -----------------------------------------------------------------------
 
 
@@ -296,11 +316,21 @@ def _central_pairs(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.RecordBatch]:
-    """Pairs between components within lists, walked with block skipping."""
-    for x in _runs(batches, ["token", "sid", "n", "pos", "component", "distance"], ["token"]):
+    """Pairs between components within lists, walked with block skipping, that sketches allow."""
+    for x in _runs(batches, ["token", "sid", "n", "pos", "component", "distance", "sketch"], ["token"]):
         bounds = _list_bounds([x["token"]])
         stop = np.repeat(bounds[1:], np.diff(bounds))
+        sketch = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(stop), -1)
         for p, q in skipping_pairs(np.arange(len(stop)) + 1, stop, x["n"], x["pos"], t, x["component"], x["distance"]):
+            near = np.concatenate(
+                [
+                    np.bitwise_count(sketch[p[k : k + 8192]] ^ sketch[q[k : k + 8192]]).sum(axis=1, dtype=np.int64)
+                    for k in range(0, len(p), 8192)
+                ]
+            ) <= x["n"][p] + x["n"][q] - 2 * t.overlap(x["n"][p], x["n"][q])
+            p, q = p[near], q[near]
+            if not len(p):
+                continue
             a, b = np.minimum(x["sid"][p], x["sid"][q]), np.maximum(x["sid"][p], x["sid"][q])
             pairs = np.unique(np.column_stack([a, b]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
@@ -335,13 +365,13 @@ class JaccardJoin:
 
     # postings
 
-    def _whole(self, sids: DataFrame, label: str) -> DataFrame:
-        """(sid, n, keys) of these sets, read from their smallest documents again."""
+    def _whole(self, sids: DataFrame, label: str, read=_whole_sets, schema: str = "sid bigint, n bigint, keys array<bigint>") -> DataFrame:
+        """(sid, n, keys) of these sets, or what ``read`` makes of them, from their smallest documents again."""
         held = sids.select("sid").distinct().join(self.sets, "sid").select("sid", "doc_id")
         wanted = self.spark.sparkContext.broadcast(_filter_of(held.select(F.xxhash64("doc_id").alias("h")), "h"))
         width = self.width
         found = self.docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(
-            lambda b: _whole_sets(b, wanted.value, width), "sid bigint, n bigint, keys array<bigint>"
+            lambda b: read(b, wanted.value, width), schema
         )
         # copies of a text may pass the filter too
         kept = found.join(held.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
@@ -428,9 +458,11 @@ class JaccardJoin:
             .withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
             .select("token", "sid", "n", "pos", "component", "distance")
         )
+        sketches = self._whole(opened, "join-sketches", _sketches, "sid bigint, sketch binary")
+        told = told.join(sketches, "sid")
         rest = told.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(lambda b: _open_pairs(b, t), "a bigint, b bigint")
         self._add(rest)
-        forget(opened)
+        forget(opened, sketches)
         return self
 
     def members(self) -> DataFrame:
