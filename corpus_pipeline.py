@@ -34,9 +34,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (3-word shingles, Jaccard 0.9 or more) the smallest doc_id."""
+    """Of each group of near-duplicates (5-word shingles, Jaccard 0.8 or more) the smallest doc_id."""
     ship(spark)
-    return jaccard_join.first_of_each(docs)
+    return jaccard_join.first_of_each(docs, num=80, den=100, width=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
