@@ -62,7 +62,7 @@ def fold_events(items: DataFrame, events: DataFrame, max_retries: int = MAX_RETR
     """Items after their events (item_id, seq, event in posted/skipped/failed, wp_post_id, reason, at).
 
     Everything folds with partial aggregation: the last event decides the status, failures add up, and
-    the last failure sets the cooldown and the error. ``terminal_failures``: a failure is final.
+    the last failure sets the error, the last that is tried again the cooldown. ``terminal_failures``: a failure is final.
     """
     failed = F.col("event") == "failed"
     last = events.groupBy("item_id").agg(
@@ -70,15 +70,19 @@ def fold_events(items: DataFrame, events: DataFrame, max_retries: int = MAX_RETR
         F.count_if(failed).alias("_failures"),
         F.max_by("wp_post_id", F.when(F.col("event") == "posted", F.col("seq"))).alias("_post"),
         F.max_by("reason", F.when(failed, F.col("seq"))).alias("_reason"),
-        F.max_by("at", F.when(failed, F.col("seq"))).alias("_at"),
         F.max(F.when(failed, F.col("seq"))).alias("_any"),
     )
-    folded = items.join(last, items["id"] == last["item_id"], "left").drop("item_id")
-    retries = F.coalesce("retry_count", F.lit(0)) + F.coalesce("_failures", F.lit(0))
     limit = 0 if terminal_failures else max_retries
+    # no more than the first failures that were to be tried again are held of an item
+    w = Window.partitionBy("item_id").orderBy("seq")
+    first = events.filter(failed).select("item_id", "seq", "at").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= limit)
+    tried = first.groupBy(F.col("item_id").alias("_item")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "at"))), lambda x: x["at"]).alias("_ats"))
+    folded = items.join(last, items["id"] == last["item_id"], "left").join(tried, items["id"] == tried["_item"], "left").drop("item_id", "_item")
+    retries = F.coalesce("retry_count", F.lit(0)) + F.coalesce("_failures", F.lit(0))
     status = F.when(F.col("_event") == "failed", F.when(retries <= limit, "pending").otherwise("failed")).otherwise(F.coalesce("_event", "status"))
     # only failures that were to be tried again set a cooldown; a final one leaves the last
-    cooled = F.when(F.col("_any").isNotNull() & (retries <= limit), F.col("_at") + F.make_interval(mins=F.lit(backoff_minutes))).otherwise(F.col("next_retry_at"))
+    cooling = F.least(F.size("_ats"), F.lit(limit) - F.coalesce("retry_count", F.lit(0)))
+    cooled = F.when(cooling >= 1, F.get("_ats", cooling - 1) + F.make_interval(mins=F.lit(backoff_minutes))).otherwise(F.col("next_retry_at"))
     return folded.select(
         *(c for c in items.columns if c not in ("status", "wp_post_id", "retry_count", "next_retry_at", "last_error")),
         status.alias("status"), F.coalesce("_post", "wp_post_id").alias("wp_post_id"), retries.cast("int").alias("retry_count"), cooled.alias("next_retry_at"),

@@ -86,9 +86,23 @@ def q15(spark, sf_dir):
     FROM {ITEMS_SQL} WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= {RUN})) WHERE round < 3""",
 )
 def r3(spark, sf_dir):
+    return _turns(spark, sf_dir).filter("round < 3")
+
+
+def _turns(spark, sf_dir) -> DataFrame:
     rotation = spark.range(20).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("source_name"), F.col("id").cast("int").alias("pos"))
     turns = ordered.round_robin(state.due(items(spark, sf_dir), run_ts()), rotation, 7, F.desc("published_ts"), F.desc("created_at"), "id")
-    return turns.filter("round < 3").select("id", "source_name", F.col("round").cast("int").alias("round"), F.col("place").cast("int").alias("place"))
+    return turns.select("id", "source_name", F.col("round").cast("int").alias("round"), F.col("place").cast("int").alias("place"))
+
+
+@query(
+    "r3_round_robin_all",
+    f"""SELECT id, source_name, CAST(row_number() OVER (PARTITION BY source_name ORDER BY published_ts DESC, created_at DESC, id) - 1 AS INTEGER) AS round, CAST((CAST(substr(source_name, 2) AS INTEGER) + 20 - 7) % 20 AS INTEGER) AS place
+    FROM {ITEMS_SQL} WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= {RUN})""",
+)
+def r3_all(spark, sf_dir):
+    """Every turn of every source, not only the first three rounds."""
+    return _turns(spark, sf_dir)
 
 
 @query(
@@ -122,8 +136,12 @@ def q7(spark, sf_dir):
 )
 def st2(spark, sf_dir):
     e = table(spark, sf_dir, "events")
+    return _lifecycle(e, e.filter(F.col("event_id") % 50 == 0))
+
+
+def _lifecycle(e: DataFrame, happened: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    log = e.filter(F.col("event_id") % 50 == 0).select(
+    log = happened.select(
         F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.when(kind == "view", "posted").when(kind == "purchase", "skipped").otherwise("failed").alias("event"),
         F.col("event_id").alias("wp_post_id"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("reason"), F.col("ts").cast("timestamp").alias("at"),
     )
@@ -133,6 +151,20 @@ def st2(spark, sf_dir):
     return out.select("id", "status", shown(F.col("wp_post_id")).alias("wp_post_id"), "retry_count", shown(F.unix_seconds("next_retry_at")).alias("next_retry"), shown(F.col("last_error")).alias("last_error"))
 
 
+@query(
+    "st2_lifecycle_all",
+    """WITH e AS (SELECT user_id AS item_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'posted' WHEN 'purchase' THEN 'skipped' ELSE 'failed' END AS event, ts AS happened, 'r' || CAST(event_id AS VARCHAR) AS reason FROM events),
+    a AS (SELECT item_id, arg_max(event, seq) AS last, count(*) FILTER (event = 'failed') AS failures, max(seq) FILTER (event = 'posted') AS post, arg_max(reason, seq) FILTER (event = 'failed') AS reason FROM e GROUP BY item_id),
+    f AS (SELECT item_id, happened FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM e WHERE event = 'failed') WHERE k = least(n, 3))
+    SELECT CAST(a.item_id AS BIGINT) AS id, CASE WHEN last = 'failed' THEN CASE WHEN failures <= 3 THEN 'pending' ELSE 'failed' END ELSE last END AS status, coalesce(CAST(post AS VARCHAR), '') AS wp_post_id, CAST(failures AS INTEGER) AS retry_count,
+    coalesce(CAST(CAST(floor(epoch(happened + INTERVAL 45 MINUTE)) AS BIGINT) AS VARCHAR), '') AS next_retry, coalesce(reason, '') AS last_error FROM a LEFT JOIN f USING (item_id)""",
+)
+def st2_all(spark, sf_dir):
+    """The fold of the whole event log."""
+    e = table(spark, sf_dir, "events")
+    return _lifecycle(e, e)
+
+
 @query("q4_schema_evolution", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, 0 AS retry_count, '' AS last_error, 14 AS n_columns FROM orders")
 def q4(spark, sf_dir):
     old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"))
