@@ -22,6 +22,10 @@ common pivot known, |d(p, x) - d(p, y)| > 1 - num/den proves that x and y do not
 distance is a metric). For the rest a parity sketch of each set bounds the difference from below. Only
 pairs that no proof covers are computed.
 
+That gives components. ``all_links`` answers every pair of different sets: of each list the pivot's pairs are
+computed, and the other sets' answers are derived from the pivot's: d(p, x) + d(p, y) <= 1 - num/den proves a link,
+the difference proves that there is none, and the rest is computed.
+
 Lists of frequent shingles are dealt over salts, so that no task gets all of them; the pivots' pairs
 join the salts again. Nothing that grows with the input is collected or broadcast.
 
@@ -336,6 +340,21 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
 
 
+def _cell_answers(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.RecordBatch]:
+    """Of each cell (token and two salts) the pairs between the salts that positions and the pivot's
+    answers allow; ``proved``: the pivot's answers prove the link."""
+    reach = (t.den - t.num) / t.den - 1e-9
+    for x in _runs(batches, ["token", "i", "j", "salt", "sid", "n", "pos", "distance"], ["token", "i", "j"]):
+        bounds = _list_bounds([x["token"], x["i"], x["j"]])
+        stop = np.repeat(bounds[1:], np.diff(bounds))
+        # of one salt's own cell, all pairs; of two salts, those between them
+        side = np.where(x["i"] == x["j"], -1 - np.arange(len(stop)), x["salt"])
+        for p, q in skipping_pairs(np.arange(len(stop)) + 1, stop, x["n"], x["pos"], t, side, x["distance"]):
+            proved = x["distance"][p] + x["distance"][q] <= reach
+            a, b = np.minimum(x["sid"][p], x["sid"][q]), np.maximum(x["sid"][p], x["sid"][q])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(proved)], names=["a", "b", "proved"])
+
+
 # --- the join ------------------------------------------------------------------------------------
 
 
@@ -465,6 +484,29 @@ class JaccardJoin:
         forget(opened, sketches)
         return self
 
+    def answers(self) -> DataFrame:
+        """(u, v) of every two different sets that link, each pair once. Not to be called after ``run``."""
+        t, postings = self.t, self.postings()
+        pivots = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "sid")).alias("p"), F.count("*").alias("sets")).filter("sets > 1").select("token", F.col("p.sid").alias("pivot"))
+        ends = lambda: (F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
+        listed = shared_table(postings.join(pivots, "token").select("token", "salt", "sid", "n", "pos", "pivot"), "join-listed")
+        forget(postings)
+        self._add(listed.filter("sid <> pivot").select(*ends()))
+        known = self.verified.select("a", "b", "distance")
+        told = listed.select("token", "salt", "sid", "n", "pos", "pivot", *ends()).join(known, ["a", "b"], "left").withColumn("distance", F.when(F.col("sid") == F.col("pivot"), F.lit(0.0)).otherwise(F.coalesce("distance", F.lit(float("nan")))))
+        # a frequent list meets itself in cells of two salts
+        other = F.explode(F.when(F.col("salt") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(SALTS))))
+        cells = told.select("token", "salt", "sid", "n", "pos", "distance", other.alias("o")).withColumns({"i": F.least("salt", "o"), "j": F.greatest("salt", "o")}).drop("o")
+        found = shared_table(
+            cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "sid").mapInArrow(lambda b: _cell_answers(b, t), "a bigint, b bigint, proved boolean")
+            .groupBy("a", "b").agg(F.bool_or("proved").alias("proved")),
+            "join-derived",
+        )
+        forget(listed)
+        self._add(found.filter("not proved").select("a", "b"))
+        proved = found.filter("proved").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return self.links().union(proved).distinct()
+
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         member = components(self.links()).select(F.col("node").alias("sid"), "component")
@@ -481,6 +523,13 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
     return JaccardJoin(docs, Threshold(num, den), width).run().members()
 
 
+def all_links(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
+    """doc_id, linked_id (doc_id < linked_id) of all links between different sets, each set named by its smallest document."""
+    join = JaccardJoin(docs, Threshold(num, den), width)
+    u, v = (join.sets.select(F.col("sid").alias(c), F.col("doc_id").alias(f"of_{c}")) for c in ("u", "v"))
+    return join.answers().join(u, "u").join(v, "v").select(F.least("of_u", "of_v").alias("doc_id"), F.greatest("of_u", "of_v").alias("linked_id"))
+
+
 def first_of_each(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 

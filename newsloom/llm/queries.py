@@ -93,6 +93,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), num=90, den=100, width=3)
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.all_links(_table(spark, sf_dir, "documents"), num=90, den=100, width=3)
+
+
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probabilities; ``toxic``: the last of the chain is 0.5 or more."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -111,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op7_source_mixing": op7_source_mixing,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_jaccard_join": op9_jaccard_join,
+    "op9_jaccard_links": op9_jaccard_links,
     "op10_toxicity_chain": op10_toxicity_chain,
 }
 
@@ -120,4 +125,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_source_mixing": sql.op7(TREE_WEIGHTS, share=0.6, epochs=2, seed=17),
     "op8_warc_revisits": sql.OP8,
     "op9_jaccard_join": sql.OP9,
+    "op9_jaccard_links": sql.OP9_LINKS,
 }

@@ -80,6 +80,13 @@ SELECT w.doc_id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+OP9_LINKS = (
+    OP9.partition("), edges AS")[0]
+    + """), again AS (SELECT b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c = x.n AND c = y.n)
+SELECT a AS doc_id, b AS linked_id FROM links WHERE a NOT IN (SELECT b FROM again) AND b NOT IN (SELECT b FROM again)
+"""
+)
+
 
 def _level(name: str, nodes: str, parents: list[str], own: str) -> str:
     """CTEs that share the parents' budgets among the ``own`` children of ``nodes``."""
