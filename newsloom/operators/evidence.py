@@ -182,9 +182,30 @@ PLAN = [
 ]
 
 
-def editorial_plan(found: DataFrame, keys: list[str], plan=None) -> DataFrame:
-    """(part, fact_id, place): each part takes facts no part before it took, one of a site before any second."""
-    plan = plan or PLAN
+LEAST = {"opening_positive": 1, "opening_negative": 1, "world_gameplay": 2, "friction": 2}
+"""What each part needs, or there is no plan."""
+
+_PRAISED = ["gameplay", "world_design", "visuals", "audio", "story", "value", "general"]
+_BLAMED = [*_PRAISED, "technical"]
+LONG_PLAN = [
+    ("opening_positive", _PRAISED, ["positive"], 1),
+    ("opening_negative", _BLAMED, ["negative", "caution"], 1),
+    ("world_gameplay", _PRAISED, ["positive"], 5),
+    ("friction", _BLAMED, ["negative", "caution"], 5),
+]
+LONG_LEAST = {"opening_positive": 1, "opening_negative": 1, "world_gameplay": 4, "friction": 4}
+
+SYNTHESIS = {"audience": ["world_gameplay", "friction"], "conclusion": ["opening_positive", "opening_negative"]}
+"""Parts that take no facts of their own: the first of each of these."""
+
+
+def editorial_plan(found: DataFrame, keys: list[str], plan=None, least: dict[str, int] | None = None) -> DataFrame:
+    """(part, fact_id, place): each part takes facts no part before it took, one of a site before any second.
+
+    Articles with fewer facts than a part needs have no plan, hence no rows. Audience and conclusion take
+    the first facts of other parts again. The long-form plan: ``plan=LONG_PLAN, least=LONG_LEAST``.
+    """
+    plan, least = plan or PLAN, LEAST if least is None else least
     taken, out = None, None
     for part, topics, sentiments, n in plan:
         rows = found.filter(F.col("topic").isin(topics) & F.col("sentiment").isin(sentiments))
@@ -196,6 +217,14 @@ def editorial_plan(found: DataFrame, keys: list[str], plan=None) -> DataFrame:
         picked = placed.select(*keys, F.lit(part).alias("part"), "fact_id", "place")
         taken = picked.select(*keys, "fact_id") if taken is None else taken.union(picked.select(*keys, "fact_id"))
         out = picked if out is None else out.union(picked)
+    enough = out.groupBy(*keys).agg(*(F.count_if(F.col("part") == part).alias(part) for part in least))
+    for part, n in least.items():
+        enough = enough.filter(F.col(part) >= n)
+    out = out.join(enough.select(*keys), keys, "left_semi")
+    for part, of in SYNTHESIS.items():
+        place = F.array_position(F.array(*(F.lit(x) for x in of)), F.col("part")).cast("int")
+        firsts = out.filter(F.col("part").isin(of) & (F.col("place") == 1))
+        out = out.union(firsts.select(*keys, F.lit(part).alias("part"), "fact_id", place.alias("place")))
     return out
 
 
@@ -210,7 +239,13 @@ def section_problem(value: Column, site_names: list[str], low: int, high: int) -
     )
 
 
-def drift_problem(old: Column, new: Column, low: float = 0.5, factor: float = 1.35, extra: int = 8) -> Column:
-    """Why a rewrite strays from its text: a new number, or too few or many words; null if it does not."""
+def drift_problem(old: Column, new: Column, low: float = 0.5, factor: float = 1.35, extra: int = 8, site_names: list[str] | None = None, article: Column | None = None, details: bool = True) -> Column:
+    """Why a rewrite strays from its text: a new number, too few or many words, the name of a site, or a concrete
+    detail that neither the text nor the whole ``article`` has; null if it does not. The narrative rewrite's
+    settings: ``low=0.45, factor=2.5, extra=15, details=False`` and only the sites that are not allowed."""
     n, m = (F.size(F.filter(F.split(text.clean_unescaped(c), " "), lambda w: w != "")) for c in (old, new))
-    return F.when(F.size(F.array_except(text.numbers(new), text.numbers(old))) > 0, "number").when(m < n * low, "short").when(m > n * factor + extra, "long")
+    was, now = F.lower(text.clean_unescaped(old)), F.lower(text.clean_unescaped(new))
+    known = was if article is None else F.concat_ws(" ", was, F.lower(text.clean_unescaped(article)))
+    site = F.exists(F.array(*(F.lit(x.lower()) for x in site_names)), lambda x: F.contains(now, x)) if site_names else F.lit(False)
+    marked = F.exists(F.array(*(F.lit(x) for x in V.SPECIFIC_MARKERS)), lambda x: F.contains(now, x) & ~F.contains(known, x))
+    return F.when(F.size(F.array_except(text.numbers(new), text.numbers(old))) > 0, "number").when(m < n * low, "short").when(m > n * factor + extra, "long").when(site, "site").when(F.lit(details) & marked, "detail")
