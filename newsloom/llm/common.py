@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         if got.isDefined():
             found = got.get()
         else:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="newsloom-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -32,11 +32,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of (u bigint, v bigint) edges; a component is named by its smallest node."""
     now = shared_table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
-    for _ in range(max_rounds):
+    while True:  # each round lowers a node of every component that is not yet a star
         before, now = now, shared_table(_small_star(_large_star(now)), "edges")
         forget(before)
         after = _state(now)
@@ -44,4 +44,3 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return members.union(now.select(F.col("v"), F.col("v"))).distinct()
         state = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

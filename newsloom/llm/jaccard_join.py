@@ -7,31 +7,39 @@ the start. Two sets link when ``den * |x & y| >= num * |x | y|``.
 link share a shingle of both prefixes, whatever the order is. The order is by region, class and hash.
 The first region is the quarter of the hashes that are smallest: it holds more than a prefix of nearly
 every set, so only that window of a set is kept and counted (sets with fewer keep all they have).
-The classes go from shingles of one set to frequent ones and are read from Bloom filters whose size
-is bounded: any filters give exact results, good ones fill the prefixes with shingles that need no
-posting, and keep passages that many documents share out of them.
+The classes go from shingles of one set to frequent ones and come from exact counts, joined to the
+windows: prefixes are filled with shingles that need no posting, and passages that many documents
+share stay out of them at every size of the input.
 
 *Index-level skipping.* Each list is sorted by set size, then position. A probe jumps over the rest of
 a size block as soon as a position leaves too few shingles to reach the overlap that the two sizes
 ask for, and leaves the list when its own position, or the sizes, rule out all that follows.
 
 *Answer-level skipping.* Of each list, first only the most central set (the smallest position) is
-compared with the others. Sets found linked are one component, and their other pairs need no answer.
-For what remains between components, answers are derived: with the distances d(p, x) and d(p, y) to a
-common pivot known, |d(p, x) - d(p, y)| > 1 - num/den proves that x and y do not link (Jaccard
-distance is a metric). For the rest a parity sketch of each set bounds the difference from below. Only
-pairs that no proof covers are computed.
-
-That gives components. ``all_links`` answers every pair of different sets: of each list the pivot's pairs are
-computed, and the other sets' answers are derived from the pivot's: d(p, x) + d(p, y) <= 1 - num/den proves a link,
-the difference proves that there is none, and the rest is computed.
-
-Lists of frequent shingles are dealt over salts, so that no task gets all of them; the pivots' pairs
-join the salts again. Nothing that grows with the input is collected or broadcast.
+compared with the others. A set that is found linked to a better connected one takes that set as its
+representative, and its own answers are derived from the representative's: a set x with p shingles
+that its representative r lacks has |x & z| <= |r & z| + p for every z. So lists are walked by
+representative, one entry for all the sets it stands for; of two representatives the overlap is computed once, and
+only where that answer, widened by the differences, still allows a link are the sets behind them
+looked at: first each set against the other representative, then, from those answers, set against set.
+Sets of one component need no answer. A parity sketch of each representative bounds its
+difference from another before their overlap is computed.
+
+That gives components. ``all_links`` answers every pair of different sets: the pivot of each list is
+compared with all of it, and the answers of the sets similar to it follow incrementally from the
+differences: with M the shingles that a set lacks of the pivot y and P those it has beside it,
+|x & z| = |y| - |Mx| - |Mz| + |Mx & Mz| + |Px & Pz|. Only pairs with a set far from the pivot that the bounds
+leave open are computed from whole sets.
+
+Lists of frequent shingles are dealt over salts, one for about ``LIST`` sets, and open lists of
+representatives over blocks of ``BLOCK`` entries that meet pairwise, so a task never holds a whole hot list. A
+filter of bounded size spares most of the texts that are not compared a shuffle; what it lets
+through is joined exactly. Nothing else is collected or broadcast.
 
 Defined results: a text without words, or null, has an empty set and links with nothing; a text of
 fewer than 3 words has its word sequence as its one shingle; rows without a doc_id take no part and
-have no component; rows that repeat a doc_id are nodes of their own text; an empty table gives no rows.
+have no component; rows that repeat a doc_id are nodes of their own text; an empty table gives no rows;
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +51,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Words, chunks, combine, forget, mix, shared_table, span_hashes
 from .components import components
@@ -51,9 +60,12 @@ CLASSES = (2, 5, 25)
 """Windows that must hold a shingle for each next class; shingles of the last are frequent."""
 REGION = 1 << 62
 """Hashes below it are the first region."""
-FILTER_BITS = 1 << 27
-"""A filter has 8 bits for each entry, and no more than these (16 MB)."""
-SALTS = 32
+FILTER_BITS = 1 << 25
+"""A filter has 8 bits for each entry, and no more than these (4 MB)."""
+LIST = 1024
+"""Sets of a frequent shingle that share a salt, about."""
+BLOCK = 2048
+"""Entries of an open list that meet in one cell with as many others."""
 
 
 @dataclass(frozen=True)
@@ -121,8 +133,8 @@ def _narrow(batches: Iterator[pa.RecordBatch], t: Threshold, width: int) -> Iter
             near = np.bincount(owner[key < np.uint64(REGION)], minlength=len(n))
             lengths = np.where(near >= np.where(n > 0, t.prefix(n), 0), near, n)
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(_set_ids(key, bounds)), pa.array(n.astype(np.int64)), _lists(key[_heads(bounds, lengths)], lengths)],
-                names=["doc_id", "sid", "n", "window"],
+                [piece.column(0), piece.column(1), pa.array(_set_ids(key, bounds)), pa.array(n.astype(np.int64)), pa.array(near.astype(np.int64)), _lists(key[_heads(bounds, lengths)], lengths)],
+                names=["doc_id", "text_key", "sid", "n", "near", "window"],
             )
 
 
@@ -140,7 +152,7 @@ SKETCH_BITS = 4096
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """(sid, sketch) of rows whose id hash is in the filter: the parity of the shingles on each bit.
+    """(sid, n, sketch) of rows whose id hash is in the filter: the parity of the shingles on each bit.
 
     A shingle that only one of two sets holds flips one bit, so the bits in which two sketches differ
     are no more than the shingles in which the sets do.
@@ -152,7 +164,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: int)
             n = np.diff(bounds)
             place = np.repeat(np.arange(len(n)), n) * SKETCH_BITS + (key >> np.uint64(64 - 12)).astype(np.int64)
             odd = (np.bincount(place, minlength=len(n) * SKETCH_BITS) & 1).astype(np.uint8).reshape(len(n), SKETCH_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(_set_ids(key, bounds)), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], names=["sid", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_set_ids(key, bounds)), pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], names=["sid", "n", "sketch"]
+            )
 
 
 # --- filters of fixed size -----------------------------------------------------------------------
@@ -182,82 +196,30 @@ def _in_filter(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return hit
 
 
-# --- postings ------------------------------------------------------------------------------------
-
-
-def _portions(batch: pa.RecordBatch, keys: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Slices of (sid, n, keys) rows that hold about so many keys together."""
-    ends = batch.column(2).offsets.to_numpy().astype(np.int64)[1:]
-    begin = 0
-    while begin < batch.num_rows:
-        before = ends[begin - 1] if begin else ends[0] - len(batch.column(2)[0])
-        stop = max(begin + 1, int(np.searchsorted(ends, before + keys, side="right")))
-        yield batch.slice(begin, stop - begin)
-        begin = stop
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], left_out: np.ndarray | None, classes: tuple[np.ndarray, ...], t: Threshold) -> Iterator[pa.RecordBatch]:
-    """Postings (token, sid, n, pos, salt) of (sid, n, window) rows: of their prefixes, what a second set
-    holds. ``left_out``: a filter of sids to pass over."""
-    if left_out is not None:
-        batches = _those_in(batches, left_out, False)
-    for batch in (piece for whole_batch in batches for piece in _portions(whole_batch)):
-        sid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        column = batch.column(2)
-        keys, bounds = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        row = np.repeat(np.arange(len(sid)), np.diff(bounds))
-        held = [_in_filter(keys, words) for words in classes]
-        rank = np.sum(held, axis=0, dtype=np.int8) + np.where(keys < np.uint64(REGION), 0, len(classes) + 1).astype(np.int8)
-        order = np.lexsort((keys, rank, row))
-        keys, shared, frequent = keys[order], held[0][order], held[-1][order]
-        pos = np.arange(len(keys)) - bounds[row]
-        keep = (pos < t.prefix(n)[row]) & shared
-        at = row[keep]
-        salt = np.where(frequent[keep], mix(sid[at].view(np.uint64)) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[keep].view(np.int64)), pa.array(sid[at]), pa.array(n[at]), pa.array(pos[keep].astype(np.int64)), pa.array(salt.astype(np.int32))],
-            names=["token", "sid", "n", "pos", "salt"],
-        )
-
-
-def _those_in(batches: Iterator[pa.RecordBatch], words: np.ndarray, wanted: bool) -> Iterator[pa.RecordBatch]:
-    """Rows whose first column is in the filter, or rather is not."""
-    for batch in batches:
-        yield batch.filter(pa.array(_in_filter(batch.column(0).to_numpy(), words) == wanted))
-
-
-_POSTING = "token bigint, sid bigint, n bigint, pos bigint, salt int"
-
-
 # --- lists ---------------------------------------------------------------------------------------
 
 
-def skipping_pairs(start: np.ndarray, stop: np.ndarray, n: np.ndarray, pos: np.ndarray, t: Threshold, same: np.ndarray | None = None, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of one list that positions allow, by block skipping.
+def skipping_pairs(start: np.ndarray, stop: np.ndarray, low: np.ndarray, left: np.ndarray, t: Threshold, high: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one list that sizes and positions allow, by block skipping.
 
-    Entries are sorted by list, size and position; entry k meets those from start[k] up to stop[k].
-    ``same``: entries with the same value need no pair. ``known``: a distance to the list's common
-    pivot, or nan; pairs for which it proves too large a distance are skipped.
+    Entries are sorted by list, ``low`` and, descending, ``left``; entry k meets those from start[k] up to
+    stop[k]. ``low``, ``high``: the sizes of the sets that an entry stands for; ``left``: the most shingles that
+    one of them has from its position in the list on.
     """
+    high = low if high is None else high
     live = np.flatnonzero(start < stop)
     at = start[live]
     # the next size block of the list from each entry on
-    change = np.ones(len(n), bool)
-    change[:-1] = (n[1:] != n[:-1]) | (stop[1:] != stop[:-1])
+    change = np.ones(len(low), bool)
+    change[:-1] = (low[1:] != low[:-1]) | (stop[1:] != stop[:-1])
     edges = np.flatnonzero(change)
-    block_end = edges[np.searchsorted(edges, np.arange(len(n)))] + 1 if len(n) else np.zeros(0, np.int64)
-    reach = (t.den - t.num) / t.den + 1e-9
+    block_end = edges[np.searchsorted(edges, np.arange(len(low)))] + 1 if len(low) else np.zeros(0, np.int64)
     while len(live):
-        need = t.overlap(n[live], n[at])
+        need = t.overlap(low[live], low[at])
         # sizes only grow from here: a probe that can't reach the overlap now can't later
-        able = (n[live] - pos[live] >= need) & (n[live] * t.den >= n[at] * t.num)
-        fits = n[at] - pos[at] >= need
+        able = (left[live] >= need) & (high[live] * t.den >= low[at] * t.num)
+        fits = left[at] >= need
         emit = able & fits
-        if same is not None:
-            emit &= same[live] != same[at]
-        if known is not None:
-            emit &= ~(np.abs(known[live] - known[at]) > reach)
         if emit.any():
             yield live[emit], at[emit]
         after = np.where(fits, at + 1, block_end[at])
@@ -291,14 +253,11 @@ def _list_bounds(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def _central_pairs(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.RecordBatch]:
-    """Of each list (token, salt, band of sizes; sorted by position) the pairs with its first entry,
-    and the entries of lists that hold more pairs than those. A list is walked as a stream."""
+    """Of each list (token, salt, band of sizes; sorted by position) the pairs with its first entry. A list is walked as a stream."""
     pivot: tuple | None = None
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
     for batch in batches:
         x = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("token", "salt", "band", "sid", "n", "pos")}
-        count = len(x["token"])
-        if not count:
+        if not len(x["token"]):
             continue
         bounds = _list_bounds([x["token"], x["salt"], x["band"]])
         first = np.repeat(bounds[:-1], np.diff(bounds))
@@ -313,234 +272,314 @@ def _central_pairs(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[
         need = t.overlap(small, large)
         keep = (sid != x["sid"]) & (n - pos >= need) & (x["n"] - x["pos"] >= need) & (small * t.den >= large * t.num)
         if keep.any():
-            a, b = np.minimum(sid, x["sid"])[keep], np.maximum(sid, x["sid"])[keep]
-            pairs = np.unique(np.column_stack([a, b]), axis=0)
-            none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), none, none, none], schema=schema)
+            yield _pairs(sid[keep], x["sid"][keep])
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
+
+
+def _cells(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each entry's partners begin and end, and sides: entries of one side of a cell of two blocks do not meet."""
+    bounds = _list_bounds([x["token"], x["i"], x["j"]])
+    stop = np.repeat(bounds[1:], np.diff(bounds))
+    own = np.arange(len(stop))
+    return own + 1, stop, np.where(x["i"] == x["j"], -1 - own, x["block"])
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.RecordBatch]:
-    """Pairs between components within lists, walked with block skipping, that sketches allow."""
-    for x in _runs(batches, ["token", "sid", "n", "pos", "component", "distance", "sketch"], ["token"]):
-        bounds = _list_bounds([x["token"]])
-        stop = np.repeat(bounds[1:], np.diff(bounds))
+    """Pairs of representatives of different components within cells, walked with block skipping, that sketches allow."""
+    for x in _runs(batches, ["token", "i", "j", "block", "rep", "size", "low", "high", "left", "extra", "component", "sketch"], ["token", "i", "j"]):
+        start, stop, side = _cells(x)
         sketch = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(stop), -1)
-        for p, q in skipping_pairs(np.arange(len(stop)) + 1, stop, x["n"], x["pos"], t, x["component"], x["distance"]):
-            near = np.concatenate(
-                [
-                    np.bitwise_count(sketch[p[k : k + 8192]] ^ sketch[q[k : k + 8192]]).sum(axis=1, dtype=np.int64)
-                    for k in range(0, len(p), 8192)
-                ]
-            ) <= x["n"][p] + x["n"][q] - 2 * t.overlap(x["n"][p], x["n"][q])
-            p, q = p[near], q[near]
-            if not len(p):
-                continue
-            a, b = np.minimum(x["sid"][p], x["sid"][q]), np.maximum(x["sid"][p], x["sid"][q])
-            pairs = np.unique(np.column_stack([a, b]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
+        for p, q in skipping_pairs(start, stop, x["low"], x["left"], t, x["high"]):
+            apart = (side[p] != side[q]) & (x["component"][p] != x["component"][q])
+            p, q = p[apart], q[apart]
+            for k in range(0, len(p), 8192):
+                u, v = p[k : k + 8192], q[k : k + 8192]
+                differ = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1, dtype=np.int64)
+                # the most that the representatives, and then any two sets behind them, can share
+                most = (x["size"][u] + x["size"][v] - differ) // 2 + x["extra"][u] + x["extra"][v]
+                near = most >= t.overlap(x["low"][u], x["low"][v])
+                if near.any():
+                    yield _pairs(x["rep"][u[near]], x["rep"][v[near]])
 
 
 def _cell_answers(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.RecordBatch]:
-    """Of each cell (token and two salts) the pairs between the salts that positions and the pivot's
-    answers allow; ``proved``: the pivot's answers prove the link."""
-    reach = (t.den - t.num) / t.den - 1e-9
-    for x in _runs(batches, ["token", "i", "j", "salt", "sid", "n", "pos", "distance"], ["token", "i", "j"]):
-        bounds = _list_bounds([x["token"], x["i"], x["j"]])
-        stop = np.repeat(bounds[1:], np.diff(bounds))
-        # of one salt's own cell, all pairs; of two salts, those between them
-        side = np.where(x["i"] == x["j"], -1 - np.arange(len(stop)), x["salt"])
-        for p, q in skipping_pairs(np.arange(len(stop)) + 1, stop, x["n"], x["pos"], t, side, x["distance"]):
-            proved = x["distance"][p] + x["distance"][q] <= reach
-            a, b = np.minimum(x["sid"][p], x["sid"][q]), np.maximum(x["sid"][p], x["sid"][q])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(proved)], names=["a", "b", "proved"])
+    """Of each cell the pairs whose answer follows from the pivot's, and those it leaves open.
+
+    ``common``: shared with the pivot; ``lacks``, ``beside``: the differences of a set that links with the pivot.
+    """
+    for x in _runs(batches, ["token", "i", "j", "block", "sid", "n", "left", "common", "size", "lacks", "beside"], ["token", "i", "j"]):
+        start, stop, side = _cells(x)
+        close = np.array([v is not None for v in x["lacks"]])
+        for p, q in skipping_pairs(start, stop, x["n"], x["left"], t):
+            apart = side[p] != side[q]
+            p, q = p[apart], q[apart]
+            need = t.overlap(x["n"][p], x["n"][q])
+            cp, cq, known = x["common"][p], x["common"][q], (x["common"][p] >= 0) & (x["common"][q] >= 0)
+            low = np.where(known, cp + cq - x["size"][p], 0)
+            high = np.where(known, np.minimum(cp, cq) + np.minimum(x["n"][p] - cp, x["n"][q] - cq), need)
+            proved = low >= need
+            left = ~proved & (high >= need)
+            for k in np.flatnonzero(left & close[p] & close[q]):
+                u, v = p[k], q[k]
+                both = low[k] + len(np.intersect1d(x["lacks"][u], x["lacks"][v], assume_unique=True)) + len(np.intersect1d(x["beside"][u], x["beside"][v], assume_unique=True))
+                proved[k] = both >= need[k]
+                left[k] = False
+            keep = proved | left
+            if keep.any():
+                a, b = x["sid"][p[keep]], x["sid"][q[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(proved[keep])], names=["a", "b", "proved"])
 
 
 # --- the join ------------------------------------------------------------------------------------
 
 
 class JaccardJoin:
-    """The steps of one join; ``members()`` has the result."""
+    """The steps of one join: ``run`` and ``members`` for components, ``answers`` for all links."""
 
     def __init__(self, docs: DataFrame, threshold: Threshold = Threshold(), width: int = 3):
         self.spark: SparkSession = docs.sparkSession
         self.t, self.width = threshold, width
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        text = F.col("text").cast("string")
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
         t = threshold
         #: one row per document: its set, the set's size, and the shingles with the least hashes
         self.narrow = shared_table(
-            self.docs.mapInArrow(lambda b: _narrow(b, t, width), "doc_id bigint, sid bigint, n bigint, window array<bigint>"), "join-sets"
+            self.docs.mapInArrow(lambda b: _narrow(b, t, width), "doc_id bigint, text_key bigint, sid bigint, n bigint, near bigint, window array<bigint>"), "join-sets"
         )
-        there = self.narrow.filter("n > 0 and doc_id is not null")
-        there = self.narrow.filter("n > 0 and doc_id is not null")
+        self.there = self.narrow.filter("n > 0 and doc_id is not null")
         #: one row per distinct set, held by its smallest document
-        self.sets = shared_table(there.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "join-distinct")
-        # sets that one document has need no shuffle to be distinct; the rest are few, or are copies
-        self.several = self.spark.sparkContext.broadcast(_filter_of(self.sets.filter("copies > 1"), "sid"))
-        several, self.rows = self.several, there.select("sid", "n", F.col("window").alias("keys"))
-        kind = "sid bigint, n bigint, keys array<bigint>"
-        self.copied = shared_table(self.rows.mapInArrow(lambda b: _those_in(b, several.value, True), kind).dropDuplicates(["sid"]), "join-copied")
-        self.single = self.rows.mapInArrow(lambda b: _those_in(b, several.value, False), kind)
+        self.sets = shared_table(self.there.groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n").alias("n")), "join-distinct")
         self.verified: DataFrame | None = None
+        #: (sid, component) of sets with links
+        self.member: DataFrame | None = None
+
+    def _need(self, x: str, y: str) -> Column:
+        return F.expr(f"({self.t.num} * ({x} + {y}) + {self.t.num + self.t.den - 1}) div {self.t.num + self.t.den}")
 
     # postings
 
     def _whole(self, sids: DataFrame, label: str, read=_whole_sets, schema: str = "sid bigint, n bigint, keys array<bigint>") -> DataFrame:
         """(sid, n, keys) of these sets, or what ``read`` makes of them, from their smallest documents again."""
-        held = sids.select("sid").distinct().join(self.sets, "sid").select("sid", "doc_id")
-        wanted = self.spark.sparkContext.broadcast(_filter_of(held.select(F.xxhash64("doc_id").alias("h")), "h"))
-        width = self.width
-        found = self.docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(
-            lambda b: read(b, wanted.value, width), schema
-        )
-        # copies of a text may pass the filter too
-        kept = found.join(held.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
-        return shared_table(kept, label)
+        held = shared_table(sids.select("sid").distinct().join(self.sets, "sid").select("sid", F.xxhash64("first.doc_id", "first.text_key").alias("h")), "join-held")
+        words, width = _filter_of(held, "h"), self.width
+        wanted = self.spark.sparkContext.broadcast(words)
+        del words
+        found = self.docs.select(F.xxhash64("doc_id", "text_key").alias("h"), "text").mapInArrow(lambda b: read(b, wanted.value, width), schema)
+        # the filter may let others through
+        out = shared_table(found.join(held.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), label)
+        wanted.destroy()
+        forget(held)
+        return out
 
     def postings(self) -> DataFrame:
-        t, several = self.t, self.several
-        counts = shared_table(
-            self.single.union(self.copied).select(F.explode("keys").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") >= CLASSES[0]), "join-counts"
-        )
-        classes = self.spark.sparkContext.broadcast(tuple(_filter_of(counts.filter(F.col("sets") >= least), "token") for least in CLASSES))
-        forget(counts)
-        alone = self.rows.mapInArrow(lambda b: _prefixes(b, several.value, classes.value, t), _POSTING)
-        posted = alone.union(self.copied.mapInArrow(lambda b: _prefixes(b, None, classes.value, t), _POSTING))
+        """(token, sid, n, pos, salt, salts, band) of prefixes, as far as a second set holds the shingle."""
+        t = self.t
+        windows = shared_table(self.there.groupBy("sid").agg(F.first(F.struct("n", "near", "window")).alias("w")).select("sid", "w.*"), "join-windows")
+        tokens = windows.select("sid", "n", "near", F.size("window").alias("size"), F.explode("window").alias("token"))
+        counts = shared_table(tokens.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") >= CLASSES[0]), "join-counts")
+        kind = sum((F.col("sets") >= least).cast("int") for least in CLASSES)
+        shared = tokens.join(counts, "token").select("token", "sid", "n", "near", "size", ((F.col("token") < 0) | (F.col("token") >= REGION)).alias("far"), kind.alias("kind"), "sets")
+        region = Window.partitionBy("sid", "far")
+        # shingles that no other set holds come first in their region
+        before = F.when(F.col("far"), F.col("size")).otherwise(F.col("near")) - F.count("*").over(region)
+        placed = shared.withColumn("pos", before + F.row_number().over(region.orderBy("kind", "token")) - 1).filter(F.col("pos") < F.expr(f"n - ({t.num} * n + {t.den - 1}) div {t.den} + 1"))
+        salts = F.when(F.col("kind") == len(CLASSES), F.ceil(F.col("sets") / LIST)).otherwise(0).cast("int")
         band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(t.den / t.num) if t.num < t.den else 1e-9)) + F.lit(1e-9)).cast("bigint")
-        out = shared_table(posted.withColumn("band", band), "join-postings")
-        forget(self.copied)
+        salt = F.when(salts > 0, F.pmod(F.xxhash64("sid"), F.greatest(salts, F.lit(1)))).otherwise(0).cast("int")
+        out = shared_table(placed.select("token", "sid", "n", "pos", salt.alias("salt"), salts.alias("salts"), band.alias("band")), "join-postings")
+        forget(windows, counts)
         return out
 
     # answers
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, distance, linked) of pairs of sets, computed."""
+    def _verify(self, pairs: DataFrame, differences: bool = False) -> DataFrame | None:
+        """(a, b, na, nb, common, linked) of pairs of sets, computed; with what only one of a linked pair holds."""
         pairs = shared_table(pairs.select("a", "b").distinct(), "join-pairs")
         if not pairs.head(1):
-            return self.spark.createDataFrame([], "a bigint, b bigint, distance double, linked boolean")
-        whole = self._whole(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), "join-compared")
-        sets = whole.select("sid", "keys")
-        one, other = sets.select(F.col("sid").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("sid").alias("b"), F.col("keys").alias("kb"))
-        common, both = F.col("common"), F.col("both") - F.col("common")
-        found = shared_table(
-            pairs.join(one, "a")
-            .join(other, "b")
-            .select("a", "b", F.size(F.array_intersect("ka", "kb")).cast("bigint").alias("common"), (F.size("ka") + F.size("kb")).cast("bigint").alias("both"))
-            .select("a", "b", (1 - common / both).alias("distance"), (common * self.t.den >= both * self.t.num).alias("linked")),
-            "join-answers",
-        )
-        forget(whole, pairs)
+            return None
+        sets = self._whole(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), "join-compared")
+        one, other = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka")), sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+        linked = F.col("common") * (self.t.num + self.t.den) >= (F.col("na") + F.col("nb")) * self.t.num
+        met = pairs.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("ka", "kb")).cast("bigint")).withColumn("linked", linked)
+        only = [F.when(F.col("linked"), F.array_sort(F.array_except(x, y))).alias(z) for x, y, z in (("ka", "kb", "only_a"), ("kb", "ka", "only_b"))] if differences else []
+        found = shared_table(met.select("a", "b", "na", "nb", "common", "linked", *only), "join-answers")
+        forget(sets, pairs)
         return found
 
     def _add(self, pairs: DataFrame) -> None:
+        """Compute the pairs that were not yet, and merge the components that they link."""
         if self.verified is not None:
             pairs = pairs.join(self.verified.select("a", "b"), ["a", "b"], "left_anti")
         found = self._verify(pairs)
+        if found is None:
+            return
         self.verified = found if self.verified is None else self.verified.union(found)
+        links = found.filter("linked").select("a", "b")
+        if self.member is None:
+            self.member = shared_table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), "component"), "join-member")
+            return
+        # only components are linked anew
+        side = lambda c: self.member.select(F.col("sid").alias(c), F.col("component").alias(f"c{c}"))
+        named = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+        named = shared_table(named, "join-links")
+        moved = components(named.select("u", "v")).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        nodes = self.member.union(named.select(F.col("a"), F.col("u")).union(named.select(F.col("b"), F.col("v")))).distinct()
+        before, self.member = self.member, shared_table(nodes.join(moved, "component", "left").select("sid", F.coalesce("to", "component").alias("component")), "join-member")
+        forget(before, named)
 
     def links(self) -> DataFrame:
-        return self.verified.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    def _open(self, postings: DataFrame) -> DataFrame:
-        """Postings of lists that hold more than one component, with the components."""
-        member = components(self.links()).select(F.col("node").alias("sid"), "component")
-        named = postings.select("token", "sid", "n", "pos").join(member, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        several = named.groupBy("token", "component").agg(F.count("*").alias("sets")).groupBy("token").agg(F.count("*").alias("components")).filter("components > 1")
-        return shared_table(named.join(several.select("token"), "token", "left_semi"), "join-open")
+        none = self.spark.createDataFrame([], "u bigint, v bigint")
+        return none if self.verified is None else self.verified.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def _representatives(self) -> DataFrame:
+        """(sid, rep, shared) of sets that a better connected set stands for, with the shingles that both hold."""
+        links = self.verified.filter("linked")
+        both = shared_table(links.select(F.col("a").alias("x"), F.col("b").alias("y"), "common").union(links.select("b", "a", "common")), "join-neighbours")
+        degree = shared_table(both.groupBy("x").agg(F.count("*").alias("degree")), "join-degrees")
+        best = both.join(degree.select(F.col("x").alias("y"), F.col("degree").alias("of_y")), "y").groupBy("x").agg(F.max(F.struct("of_y", "y")).alias("best"))
+        leaders = best.join(degree, "x").filter(F.struct("degree", "x") > F.col("best")).select(F.col("x").alias("y"))
+        out = shared_table(both.join(leaders, "y").groupBy("x").agg(F.max(F.struct("common", "y")).alias("r")).select(F.col("x").alias("sid"), F.col("r.y").alias("rep"), F.col("r.common").alias("shared")), "join-representatives")
+        forget(both, degree)
+        return out
 
     def run(self) -> JaccardJoin:
         t, postings = self.t, self.postings()
         dealt = postings.repartition("token", "salt", "band").sortWithinPartitions("token", "salt", "band", "pos", "n", "sid")
-        central = dealt.mapInArrow(lambda b: _central_pairs(b, t), "a bigint, b bigint, token bigint, n bigint, pos bigint")
-        self._add(central.select("a", "b"))
-        # pivots of what is open: salts and bands of a list meet here
-        opened = self._open(postings)
-        pivots = opened.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "component")).alias("p")).select("token", F.col("p.sid").alias("pivot"), F.col("p.component").alias("of"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
-        need = F.ceil(F.lit(t.num) * (F.col("n") + F.col("pn")) / F.lit(t.num + t.den) - F.lit(1e-9))
-        near = (
-            opened.join(pivots, "token")
-            .filter((F.col("component") != F.col("of")) & (F.col("n") - F.col("pos") >= need) & (F.col("pn") - F.col("pp") >= need))
-            .filter(F.least("n", "pn") * t.den >= F.greatest("n", "pn") * t.num)
-        )
-        self._add(near.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
-        # the rest, between components only, as far as no proof covers it
+        self._add(dealt.mapInArrow(lambda b: _central_pairs(b, t), "a bigint, b bigint"))
+        if self.member is None:  # no list holds a possible pair
+            forget(postings)
+            return self
+        stands = self._representatives()
+        named = (
+            postings.join(self.member, "sid", "left").join(stands, "sid", "left")
+            .select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("component"), F.coalesce("rep", "sid").alias("rep"), F.coalesce(F.col("n") - F.col("shared"), F.lit(0)).alias("extra"))
+        )
+        named = shared_table(named, "join-named")
+        forget(postings, stands)
+        several = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("token")
+        opened = shared_table(named.join(several, "token", "left_semi"), "join-open")
+        forget(named)
+        if opened.head(1):
+            self._between(opened)
         forget(opened)
-        opened = self._open(postings)
-        forget(postings)
-        pivots = opened.groupBy("token").agg(F.min(F.struct("pos", "n", "sid")).alias("p")).select("token", F.col("p.sid").alias("pivot"))
-        known = self.verified.select("a", "b", "distance")
-        told = (
-            opened.join(pivots, "token")
-            .withColumn("a", F.least("sid", "pivot"))
-            .withColumn("b", F.greatest("sid", "pivot"))
-            .join(known, ["a", "b"], "left")
-            .withColumn("distance", F.when(F.col("sid") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("distance")))
-            .withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
-            .select("token", "sid", "n", "pos", "component", "distance")
-        )
-        sketches = self._whole(opened, "join-sketches", _sketches, "sid bigint, sketch binary")
-        told = told.join(sketches, "sid")
-        rest = told.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(lambda b: _open_pairs(b, t), "a bigint, b bigint")
-        self._add(rest)
-        forget(opened, sketches)
         return self
 
+    def _between(self, opened: DataFrame) -> None:
+        """Answers between components: of representatives, and of the sets behind them as far as those leave them open."""
+        t = self.t
+        entries = opened.groupBy("token", "rep").agg(F.first("component").alias("component"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"), F.max("extra").alias("extra"))
+        lists = entries.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        sketches = self._whole(opened.select(F.col("rep").alias("sid")), "join-sketches", _sketches, "sid bigint, n bigint, sketch binary")
+        block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        cells = (
+            entries.join(lists, "token").withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+            .join(sketches.select(F.col("sid").alias("rep"), F.col("n").alias("size"), "sketch"), "rep")
+        )
+        walked = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "low", F.desc("left"), "rep")
+        asked = shared_table(walked.mapInArrow(lambda b: _open_pairs(b, t), "a bigint, b bigint").distinct(), "join-asked")
+        forget(sketches)
+        self._add(asked)
+        # sets behind representatives: what they hold beside those, at the most, and their least size
+        behind = shared_table(opened.select("sid", "rep", "n", "extra").distinct(), "join-behind")
+        widest = shared_table(behind.groupBy("rep").agg(F.max("extra").alias("widest"), F.min("n").alias("low")), "join-widest")
+        each = asked.join(self.verified.select("a", "b", "common"), ["a", "b"])
+        both = each.select(F.col("a").alias("rep"), F.col("b").alias("other"), "common").union(each.select("b", "a", "common"))
+        possible = (
+            behind.filter("sid <> rep").join(both, "rep").join(widest.select(F.col("rep").alias("other"), "widest", "low"), "other")
+            .filter(F.col("common") + F.col("extra") + F.col("widest") >= self._need("n", "low"))
+        )
+        possible = shared_table(self._apart(possible, "sid", "other").select("sid", "other", "n"), "join-possible")
+        if possible.head(1):
+            self._add(possible.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")))
+            known = possible.withColumns({"a": F.least("sid", "other"), "b": F.greatest("sid", "other")}).join(self.verified.select("a", "b", "common"), ["a", "b"]).select("sid", "other", "n", "common")
+            z = behind.filter("sid <> rep").select(F.col("rep").alias("other"), F.col("sid").alias("z"), F.col("n").alias("nz"), F.col("extra").alias("beside"))
+            rest = known.join(z, "other").filter((F.col("common") + F.col("beside") >= self._need("n", "nz")) & (F.least("n", "nz") * t.den >= F.greatest("n", "nz") * t.num))
+            self._add(self._apart(rest, "sid", "z").select(F.least("sid", "z").alias("a"), F.greatest("sid", "z").alias("b")))
+        forget(asked, behind, widest, possible)
+
+    def _apart(self, pairs: DataFrame, x: str, y: str) -> DataFrame:
+        """Rows whose two sets are not of one component."""
+        side = lambda c, to: self.member.select(F.col("sid").alias(c), F.col("component").alias(to))
+        named = pairs.join(side(x, "_cx"), x, "left").join(side(y, "_cy"), y, "left")
+        return named.filter(F.coalesce("_cx", x) != F.coalesce("_cy", y)).drop("_cx", "_cy")
+
     def answers(self) -> DataFrame:
         """(u, v) of every two different sets that link, each pair once. Not to be called after ``run``."""
         t, postings = self.t, self.postings()
-        pivots = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "sid")).alias("p"), F.count("*").alias("sets")).filter("sets > 1").select("token", F.col("p.sid").alias("pivot"))
-        ends = lambda: (F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
-        listed = shared_table(postings.join(pivots, "token").select("token", "salt", "sid", "n", "pos", "pivot"), "join-listed")
+        pivots = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "sid")).alias("p"), F.count("*").alias("sets")).filter("sets > 1").select("token", F.col("p.sid").alias("pivot"), F.col("p.n").alias("size"))
+        ends = {"a": F.least("sid", "pivot"), "b": F.greatest("sid", "pivot")}
+        listed = shared_table(postings.join(pivots, "token").select("token", "salt", "salts", "sid", "n", "pos", "pivot", "size"), "join-listed")
         forget(postings)
-        self._add(listed.filter("sid <> pivot").select(*ends()))
-        known = self.verified.select("a", "b", "distance")
-        told = listed.select("token", "salt", "sid", "n", "pos", "pivot", *ends()).join(known, ["a", "b"], "left").withColumn("distance", F.when(F.col("sid") == F.col("pivot"), F.lit(0.0)).otherwise(F.coalesce("distance", F.lit(float("nan")))))
+        known = self._verify(listed.filter("sid <> pivot").withColumns(ends), differences=True)
+        if known is None:
+            return self.links()
+        self.verified = known.drop("only_a", "only_b")
+        own = F.col("sid") == F.col("pivot")
+        told = listed.withColumns(ends).join(known.select("a", "b", "common", "only_a", "only_b"), ["a", "b"], "left").select(
+            "token", "salt", "salts", "sid", "n", (F.col("n") - F.col("pos")).alias("left"), "size",
+            F.when(own, F.col("n")).otherwise(F.coalesce("common", F.lit(-1))).alias("common"),
+            F.when(own, F.array().cast("array<bigint>")).when(F.col("pivot") == F.col("a"), F.col("only_a")).otherwise(F.col("only_b")).alias("lacks"),
+            F.when(own, F.array().cast("array<bigint>")).when(F.col("pivot") == F.col("a"), F.col("only_b")).otherwise(F.col("only_a")).alias("beside"),
+        )
         # a frequent list meets itself in cells of two salts
-        other = F.explode(F.when(F.col("salt") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(SALTS))))
-        cells = told.select("token", "salt", "sid", "n", "pos", "distance", other.alias("o")).withColumns({"i": F.least("salt", "o"), "j": F.greatest("salt", "o")}).drop("o")
+        other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("salts") - 1, F.lit(0))))
+        cells = told.withColumn("o", other).withColumns({"i": F.least("salt", "o"), "j": F.greatest("salt", "o"), "block": F.col("salt")}).drop("o", "salt", "salts")
         found = shared_table(
-            cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "sid").mapInArrow(lambda b: _cell_answers(b, t), "a bigint, b bigint, proved boolean")
+            cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", F.desc("left"), "sid").mapInArrow(lambda b: _cell_answers(b, t), "a bigint, b bigint, proved boolean")
             .groupBy("a", "b").agg(F.bool_or("proved").alias("proved")),
             "join-derived",
         )
         forget(listed)
-        self._add(found.filter("not proved").select("a", "b"))
-        proved = found.filter("proved").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        return self.links().union(proved).distinct()
+        rest = self._verify(found.filter("not proved").select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        self.verified = self.verified if rest is None else self.verified.union(rest)
+        return self.links().union(found.filter("proved").select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct()
 
     def members(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
-        member = components(self.links()).select(F.col("node").alias("sid"), "component")
-        named = self.sets.join(member, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        of_set = shared_table(named.join(least, "component").select("sid", "component_id"), "join-members")
+        """doc_id, text_key, n_shingles, component_id, first of every row; ``first``: (doc_id, text_key) of the component's smallest."""
+        none = self.spark.createDataFrame([], "sid bigint, component bigint")
+        named = self.sets.join(none if self.member is None else self.member, "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
+        least = named.groupBy("component").agg(F.min("first").alias("least"))
+        of_set = shared_table(named.join(least, "component").select("sid", "least"), "join-members")
+        taking = (F.col("n") > 0) & F.col("doc_id").isNotNull()
         return self.narrow.join(of_set, "sid", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+            "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(taking, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(taking, F.col("least")).alias("first")
         )
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text; a null has one of its own."""
+    return F.xxhash64(text, text.isNull())
+
+
 def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    return JaccardJoin(docs, Threshold(num, den), width).run().members()
+    return JaccardJoin(docs, Threshold(num, den), width).run().members().select("doc_id", "n_shingles", "component_id")
 
 
 def all_links(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
     """doc_id, linked_id (doc_id < linked_id) of all links between different sets, each set named by its smallest document."""
     join = JaccardJoin(docs, Threshold(num, den), width)
-    u, v = (join.sets.select(F.col("sid").alias(c), F.col("doc_id").alias(f"of_{c}")) for c in ("u", "v"))
+    u, v = (join.sets.select(F.col("sid").alias(c), F.col("first.doc_id").alias(f"of_{c}")) for c in ("u", "v"))
     return join.answers().join(u, "u").join(v, "v").select(F.least("of_u", "of_v").alias("doc_id"), F.greatest("of_u", "of_v").alias("linked_id"))
 
 
 def first_of_each(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+    """``docs`` with one row of each group: the one with the smallest id, and of equal ids the smallest hash of its text.
 
-    Documents without words stay; so do rows without an id; rows that repeat an id and a
-    text count as one.
+    Rows are told apart by id and text, so of two texts with one id each is judged for itself. Rows without words
+    stay; so do rows without an id; rows that repeat an id and a text count as one.
     """
-    rest = near_duplicates(docs, num, den, width).filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
-    kept = docs.join(rest.distinct(), docs["doc_id"].cast("bigint") == rest["doc_id"], "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    members = JaccardJoin(docs, Threshold(num, den), width).run().members()
+    rest = members.filter(F.col("first").isNotNull() & (F.struct("doc_id", "text_key") != F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    kept = docs.join(rest, (docs["doc_id"].cast("bigint") == rest["_id"]) & (text_key(docs["text"].cast("string")) == rest["_key"]), "left_anti")
+    repeated = docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 and _id is not null").select("_id")
     if not repeated.head(1):
         return kept
     # of rows with one id, those with equal texts are one document
-    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
+    again = kept["doc_id"] == repeated["_id"]
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -47,11 +47,11 @@ def near_copies(seed: int) -> list[str]:
     return out + [prose(k, 50) + " " + passage for k in range(40)] + out[:20] + ["", "a", "a b", "A b"]
 
 
-def linked(texts: list[str], num: int = 90, den: int = 100) -> list[int]:
+def linked(texts: list[str], num: int = 90, width: int = 3, den: int = 100) -> list[int]:
     sets = []
     for t in texts:
         w = t.encode().lower().split()
-        sets.append(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
     parent = list(range(len(texts)))
 
     def find(x):
@@ -68,9 +68,12 @@ def linked(texts: list[str], num: int = 90, den: int = 100) -> list[int]:
     return [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("seed", "num"), [(1, 90), (2, 80)])
-def test_join_is_exact(spark, seed, num):
+@pytest.mark.parametrize(("seed", "num", "small"), [(1, 90, False), (2, 80, False), (3, 70, True), (5, 80, True)])
+def test_join_is_exact(spark, monkeypatch, seed, num, small):
     texts = near_copies(seed)
+    if small:  # lists over many salts and blocks, all shingles that two sets hold frequent
+        for name, value in (("LIST", 3), ("BLOCK", 2), ("CLASSES", (2, 2, 3))):
+            monkeypatch.setattr(jaccard_join, name, value)
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df, num=num).collect()}
     assert [got[k] for k in range(len(texts))] == linked(texts, num)
@@ -83,7 +86,7 @@ def test_skipping_loses_no_pair():
         n, pos = rng.integers(20, 60, m), rng.integers(0, 6, m)
         order = np.lexsort((pos, n))
         n, pos = n[order], pos[order]
-        got = {(int(a), int(b)) for x, y in jaccard_join.skipping_pairs(np.arange(m) + 1, np.full(m, m), n, pos, t) for a, b in zip(x, y, strict=True)}
+        got = {(int(a), int(b)) for x, y in jaccard_join.skipping_pairs(np.arange(m) + 1, np.full(m, m), n, n - pos, t) for a, b in zip(x, y, strict=True)}
         wanted = {
             (i, j) for i in range(m) for j in range(i + 1, m)
             if n[i] * 100 >= n[j] * 90 and n[i] - pos[i] >= t.overlap(n[i], n[j]) and n[j] - pos[j] >= t.overlap(n[i], n[j])

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from newsloom.llm import bin_packing, byte_convnet, impact_index, interpolated_lm, jaccard_join, line_rules, rule_quality, source_mixing, toxicity_chain, warc
 from newsloom.llm.common import remainder
 
+from .conftest import prose
+
 
 def test_line_rules(edge_docs, no_docs):
     rows = line_rules.line_frequency_rules(edge_docs).collect()
@@ -66,6 +68,13 @@ def test_join(edge_docs, no_docs):
     assert jaccard_join.near_duplicates(no_docs).count() == 0
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    a, b = prose(41, 90), prose(42, 90)
+    docs = spark.createDataFrame([(1, a), (7, a), (7, b), (7, b), (8, b), (None, a), (9, None)], "doc_id bigint, text string")
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in jaccard_join.first_of_each(docs).collect())
+    assert kept == [(0, a), (1, a), (7, b), (9, "")]
+
+
 def test_packing(edge_docs, no_docs):
     docs = edge_docs.select("doc_id", source_mixing.word_count(F.col("text")).alias("n_tokens"), "row", "score")
     rows = bin_packing.pack_documents(docs, shard_pieces=5).collect()
