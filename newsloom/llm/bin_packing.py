@@ -40,9 +40,7 @@ def pack(lengths: np.ndarray, permitted: tuple[int, ...], attention: float = 655
     spaces: list[list[int]] = [[] for _ in range(top + 1)]
     free = 0  # bits: a bin with just so much space is open
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    capacity: list[int] = []
     used: list[int] = []
-    chosen: dict[int, tuple[int, int]] = {}
 
     def filled(length: int, size: int) -> int:
         """Tokens that a bin opened for a piece will hold, greedily."""
@@ -77,13 +75,8 @@ def pack(lengths: np.ndarray, permitted: tuple[int, ...], attention: float = 655
             if not spaces[space]:
                 free &= ~(1 << space)
         else:
-            seen = chosen.get(length)
-            if seen is None or seen[1] <= 0:
-                best = min((c for c in permitted if c >= length), key=lambda c: (cost[c] / filled(length, c), -c))
-                chosen[length] = seen = (best, 64)  # looked at anew after so many bins for this length
-            chosen[length] = (seen[0], seen[1] - 1)
-            b, space = len(capacity), seen[0]
-            capacity.append(space)
+            space = min((c for c in permitted if c >= length), key=lambda c: (cost[c] / filled(length, c), -c))
+            b = len(used)
             used.append(0)
         bins[k], offsets[k] = b, used[b]
         used[b] += length

@@ -187,9 +187,12 @@ def fit_languages(docs: DataFrame, only: Column | None = None, per_language: int
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     if only is not None:
         rows = rows.filter(only)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ranks are cut off before the shuffle, so no language's rows meet in one task
-    picked = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    # of a frequent language only rows that can be among the first are ranked: about four times as many as are taken
+    each = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    early = rows.select("doc_id", "lang", place.alias("place")).join(each, "lang").filter(F.col("place") * F.col("rows") <= F.lit(4.0 * per_language * (1 << 40)))
+    picked = early.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(lambda b: _training_windows(b, windows_each, seed), "doc_id bigint, lang string, window binary")
     found = sample.toArrow().to_pandas().sort_values(["doc_id", "lang", "window"], ignore_index=True)
     if not len(found):

@@ -76,9 +76,19 @@ def forget(*tables: DataFrame | None) -> None:
         known = _paths.pop(id(table), None)
         if known is None or known[0]() is not table:
             continue
-        session = table.sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(known[1])
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(table.sparkSession, known[1])
+
+
+def delete_path(spark: SparkSession, name: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with columns that no operator's names meet (``text`` keeps its own), and the columns that name them back."""
+    names = ["text" if c == "text" else f"_{k}_given" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
 
 
 def remainder(column: str, divisor: int):
@@ -176,7 +186,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, o
 
     ``only``: a condition on doc_id for the labels that may be learned from. The sample is the
     first ``sample`` labelled ids by their hash, so the side that is broadcast has at most that
-    many rows; null labels are left out, and of repeated labels the mean decides, a tie for 1.
+    many rows; null labels are left out, and of repeated labels the mean decides, a tie for 1. Of documents that
+    repeat an id the smallest text by its hash is taken, so the rows are bounded, too.
     """
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("double").alias("_label")).dropna()
     if only is not None:
@@ -185,4 +196,6 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, o
         marks.groupBy("doc_id").agg((F.avg("_label") >= 0.5).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("_label").alias(label))
+    # picked ids are few: their rows are brought together by id, and hardly any has a second
+    found = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return found.select("doc_id", "text", F.col("_label").alias(label))

@@ -98,7 +98,7 @@ def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's probabilities; ``toxic``: the last of the chain is 0.5 or more."""
+    """Every document's probabilities: of the kinds that are learned, then of being toxic; ``toxic``: that one is 0.5 or more."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_chain.fit_from_labels(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity_chain.with_toxicity(docs, model)

@@ -15,11 +15,14 @@ epoch the documents that begin before the budget ends. A leaf can hold a third o
 prefixes are found in two steps: tokens by leaf and hash range (``RANGES``), added up in order, and
 then within the one range of each leaf where the budget ends.
 
-Defined results: null domain, language or source is a node of its own (null); documents with no tokens,
+Defined results: null domain, language or source is a node of its own, apart from one named '', and has the
+default weight; documents with no tokens,
 or a null text, take no tokens and are chosen with those that begin where they do; documents without
-an id are ordered as id ''; of repeated rows each counts; a weight that is missing is ``default_weight``,
+an id are ordered as id ''; of repeated rows each counts (``kept_rows`` judges rows that are equal in leaf, id
+and length alike); a weight that is missing is ``default_weight``,
 negative ones count as 0; a node without weight gets nothing unless its siblings leave
-something that they cannot take; an empty table gives no rows.
+something that they cannot take; shares are whole tokens, so a node may leave fewer tokens than it has children; an
+empty table gives no rows; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_table
+from .common import forget, shared_table
 
 LEVELS = ("domain", "lang", "source")
 RANGES = 4096
 """Hash ranges of a leaf: the first three hex digits of an md5."""
-BROADCAST_LEAVES = 100_000
-"""Leaves that are broadcast at most; more are joined by shuffle."""
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,9 +82,23 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame | None, budget: int, max_
     """domain, lang, source, supply, share of each leaf of (domain, lang, source, supply) rows.
 
     ``weights``: (domain, lang, source, weight) rows; lang and source null for a domain's weight,
-    source null for a language's within its domain. Names that are null themselves are written ''.
+    source null for a language's within its domain.
     """
-    now = leaves.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in LEVELS}).withColumn("capacity", F.col("supply") * max_epochs)
+    named = leaves.select(*(_node(F.col(c)).alias(c) for c in LEVELS), "supply")
+    if weights is not None:
+        weights = weights.select(*(F.when(F.col(c).isNotNull(), _node(F.col(c))).alias(c) for c in LEVELS), "weight")
+    found = _leaf_shares(named, weights, budget, max_epochs, default_weight)
+    return found.withColumns({c: F.when(F.col(c) != "", F.expr(f"substring({c}, 2)")) for c in LEVELS})
+
+
+def _node(name: Column) -> Column:
+    """A node's key: a null's is empty, any other name's begins with '='."""
+    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit(""))
+
+
+def _leaf_shares(leaves: DataFrame, weights: DataFrame | None, budget: int, max_epochs: int, default_weight: float = 1.0) -> DataFrame:
+    """``leaf_budgets`` by nodes' keys."""
+    now = leaves.withColumn("capacity", F.col("supply") * max_epochs)
     parents: list[str] = []
     shares: DataFrame | None = None
     for depth, own in enumerate(LEVELS):
@@ -107,19 +122,15 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame | None, budget: int, max_
     return now.join(shares, list(LEVELS)).select(*LEVELS, "supply", F.col("budget").alias("share"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None, budget: int | float, max_epochs: int = 2, seed: int = 17) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, epoch, taken_tokens: a row for each epoch that takes a document.
-
-    ``docs`` has doc_id, domain, lang, source and n_tokens. ``budget``: tokens, or a share (a float)
-    of all there are.
-    """
-    keys = [f"_{c}" for c in LEVELS]
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(LEVELS, keys, strict=True)]
-    rows = shared_table(docs.select("doc_id", *LEVELS, F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens"), *named), "mix-rows")
+def _ends(rows: DataFrame, weights: DataFrame | None, budget: int | float, max_epochs: int, seed: int, keys: list[str]) -> DataFrame:
+    """Of each leaf: full epochs, tokens of the epoch taken in part, the range where they end and the tokens before it."""
     leaves = rows.groupBy(*keys).agg(F.sum("n_tokens").cast("bigint").alias("supply")).select(*(F.col(k).alias(k[1:]) for k in keys), "supply")
+    leaves = shared_table(leaves, "mix-leaves")
     if isinstance(budget, float):
         budget = int(budget * (leaves.agg(F.sum("supply")).first()[0] or 0))
-    shares = leaf_budgets(leaves, weights, budget, max_epochs).select(
+    if weights is not None:
+        weights = weights.select(*(F.when(F.col(c).isNotNull(), _node(F.col(c))).alias(c) for c in LEVELS), "weight")
+    shares = _leaf_shares(leaves, weights, budget, max_epochs).select(
         *(F.col(k[1:]).alias(k) for k in keys),
         F.when(F.col("supply") > 0, F.expr("share div supply")).otherwise(0).cast("int").alias("_full"),
         F.when(F.col("supply") > 0, F.col("share") % F.col("supply")).otherwise(0).cast("bigint").alias("_part"),
@@ -137,23 +148,60 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None, budget: int | float,
         .select(*keys, F.col("_last._range").alias("_cut"), F.col("_last._before").alias("_before"))
     )
     ends = shared_table(shares.join(last, keys, "left"), "mix-ends")
-    placed = _placed(rows, ends, keys, seed)
-    out = ["doc_id", *LEVELS, "n_tokens"]
-    full = placed.filter(F.col("_full") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_full") - 1))).withColumn("taken_tokens", F.col("n_tokens"))
-    before = placed.filter(F.col("_range") < F.col("_cut")).withColumns({"epoch": F.col("_full"), "taken_tokens": F.col("n_tokens")})
+    forget(leaves, shares)
+    return ends
+
+
+def _at_end(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the range in which a leaf's tokens end that begin before that, with ``_start``."""
     within = Window.partitionBy(*keys).orderBy("_order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    at_end = (
+    return (
         placed.filter(F.col("_range") == F.col("_cut"))
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .filter(F.col("_start") < F.col("_part"))
-        .withColumns({"epoch": F.col("_full"), "taken_tokens": F.least(F.col("n_tokens"), F.col("_part") - F.col("_start"))})
     )
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None, budget: int | float, max_epochs: int = 2, seed: int = 17) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, epoch, taken_tokens: a row for each epoch that takes a document.
+
+    ``docs`` has doc_id, domain, lang, source and n_tokens. ``budget``: tokens, or a share (a float)
+    of all there are.
+    """
+    keys = [f"_{c}" for c in LEVELS]
+    named = [_node(F.col(c)).alias(k) for c, k in zip(LEVELS, keys, strict=True)]
+    rows = shared_table(docs.select("doc_id", *LEVELS, F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens"), *named), "mix-rows")
+    placed = _placed(rows, _ends(rows, weights, budget, max_epochs, seed, keys), keys, seed)
+    out = ["doc_id", *LEVELS, "n_tokens"]
+    full = placed.filter(F.col("_full") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_full") - 1))).withColumn("taken_tokens", F.col("n_tokens"))
+    before = placed.filter(F.col("_range") < F.col("_cut")).withColumns({"epoch": F.col("_full"), "taken_tokens": F.col("n_tokens")})
+    at_end = _at_end(placed, keys).withColumns({"epoch": F.col("_full"), "taken_tokens": F.least(F.col("n_tokens"), F.col("_part") - F.col("_start"))})
     parts = [x.select(*out, F.col("epoch").cast("int").alias("epoch"), F.col("taken_tokens").cast("bigint").alias("taken_tokens")) for x in (full, before, at_end)]
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def kept_rows(docs: DataFrame, domain: Column, n_tokens: Column, weights: DataFrame | None, budget: int | float, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that one epoch of the mixture takes.
+
+    ``docs`` has doc_id, lang and source. No row is found again by its id: a leaf's end is a place in its order, and every
+    row is compared with it, so rows without an id, or that share one, are judged like any other.
+    """
+    keys = [f"_{c}" for c in LEVELS]
+    narrow = docs.select("doc_id", F.coalesce(n_tokens.cast("bigint"), F.lit(0)).alias("n_tokens"), *(_node(c).alias(k) for c, k in zip((domain, F.col("lang"), F.col("source")), keys, strict=True)))
+    rows = shared_table(narrow, "mix-rows")
+    ends = _ends(rows, weights, budget, 1, seed, keys)
+    place = F.struct("_order", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "n_tokens")
+    last = _at_end(_placed(rows, ends, keys, seed), keys).groupBy(*keys).agg(F.max(place).alias("_last"))
+    ends = shared_table(ends.join(last, keys, "left").select(*keys, "_full", "_cut", "_last"), "mix-cuts")
+    forget(rows)
+    # the row's own columns travel as one, so that no name of theirs meets one of these
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", F.coalesce(n_tokens.cast("bigint"), F.lit(0)).alias("n_tokens"), *(_node(c).alias(k) for c, k in zip((domain, F.col("lang"), F.col("source")), keys, strict=True)))
+    placed = _placed(named, ends, keys, seed)
+    taken = (F.col("_full") > 0) | (F.col("_range") < F.col("_cut")) | ((F.col("_range") == F.col("_cut")) & (place <= F.col("_last")))
+    return placed.filter(taken).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
+
+
 def _placed(rows: DataFrame, leaves: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """Rows with their leaf's columns, their place in the epoch that is taken in part, and its range."""
-    side = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_full"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return rows.join(side, keys).withColumn("_order", order).withColumn("_range", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
+    return rows.join(leaves, keys).withColumn("_order", order).withColumn("_range", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))

@@ -104,18 +104,18 @@ def op7(weights: list[tuple], share: float, epochs: int, seed: int) -> str:
     values = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v) for v in row) + ")" for row in weights)
     return f"""
 WITH given(domain, lang, source, weight) AS (VALUES {values}),
-d AS (SELECT doc_id, 'domain' || translate(left(md5(coalesce(source, '')), 1), '0123456789abcdef', '0000111122223333') AS domain, lang, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORD})) AS BIGINT) AS n_tokens FROM documents),
-leaf AS (SELECT domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(sum(n_tokens) AS BIGINT) AS supply, CAST(sum(n_tokens) * {epochs} AS BIGINT) AS capacity FROM d GROUP BY ALL),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS kl, coalesce('=' || source, '') AS ks, 'domain' || translate(left(md5(coalesce(source, '')), 1), '0123456789abcdef', '0000111122223333') AS domain, lang, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORD})) AS BIGINT) AS n_tokens FROM documents),
+leaf AS (SELECT domain, kl AS lang, ks AS source, CAST(sum(n_tokens) AS BIGINT) AS supply, CAST(sum(n_tokens) * {epochs} AS BIGINT) AS capacity FROM d GROUP BY ALL),
 total AS (SELECT CAST(floor({share} * sum(supply)) AS BIGINT) AS budget FROM leaf),
 n1 AS (SELECT l.domain AS domain, CAST(sum(capacity) AS BIGINT) AS capacity, (SELECT budget FROM total) AS budget, coalesce(any_value(g.weight), 1.0) AS weight FROM leaf l LEFT JOIN given g ON g.domain = l.domain AND g.lang IS NULL GROUP BY l.domain),
 {_level("s1", "n1", [], "domain")},
-n2 AS (SELECT l.domain AS domain, l.lang AS lang, CAST(sum(capacity) AS BIGINT) AS capacity, any_value(s1.budget) AS budget, coalesce(any_value(g.weight), 1.0) AS weight FROM leaf l JOIN s1 ON s1.domain = l.domain LEFT JOIN given g ON g.domain = l.domain AND g.lang = l.lang AND g.source IS NULL GROUP BY l.domain, l.lang),
+n2 AS (SELECT l.domain AS domain, l.lang AS lang, CAST(sum(capacity) AS BIGINT) AS capacity, any_value(s1.budget) AS budget, coalesce(any_value(g.weight), 1.0) AS weight FROM leaf l JOIN s1 ON s1.domain = l.domain LEFT JOIN given g ON g.domain = l.domain AND '=' || g.lang = l.lang AND g.source IS NULL GROUP BY l.domain, l.lang),
 {_level("s2", "n2", ["domain"], "lang")},
 n3 AS (SELECT l.domain AS domain, l.lang AS lang, l.source AS source, capacity, s2.budget AS budget, 1.0 AS weight FROM leaf l JOIN s2 ON s2.domain = l.domain AND s2.lang = l.lang),
 {_level("s3", "n3", ["domain", "lang"], "source")},
 shares AS (SELECT l.domain AS domain, l.lang AS lang, l.source AS source, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS full_epochs, CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS part FROM leaf l JOIN s3 USING (domain, lang, source)),
-placed AS (SELECT d.*, full_epochs, part, coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, coalesce(d.lang, ''), coalesce(d.source, '') ORDER BY md5('{seed}|' || full_epochs || '|' || doc_id), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN shares s ON s.domain = d.domain AND s.lang = coalesce(d.lang, '') AND s.source = coalesce(d.source, ''))
+placed AS (SELECT d.*, full_epochs, part, coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, kl, ks ORDER BY md5('{seed}|' || full_epochs || '|' || doc_id), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN shares s ON s.domain = d.domain AND s.lang = kl AND s.source = ks)
 SELECT doc_id, domain, lang, source, n_tokens, CAST(epoch AS INTEGER) AS epoch, n_tokens AS taken_tokens FROM (SELECT *, unnest(range(0, CAST(full_epochs AS BIGINT))) AS epoch FROM placed)
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(full_epochs AS INTEGER), CAST(least(n_tokens, part - start) AS BIGINT) FROM placed WHERE start < part
 """

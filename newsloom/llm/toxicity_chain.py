@@ -4,14 +4,19 @@ Categories are predicted in a fixed order; each model sees the features and the
 the categories before it. Models after the first are trained on out-of-fold probabilities, so that
 a later model does not learn to trust an earlier one more than it will deserve.
 
-Features: words (runs of letters, lower case) and their first 3 to 6 bytes, present or not. Of all
-labelled documents the presence counts by label are aggregated in Spark, the ``features`` with the
-largest association with any label are kept, and the models are fitted on a bounded sample of
-labelled rows (``sample``). Whole texts of all documents are scored.
+Features: words (runs of letters, lower case) and their first 3 to 6 bytes, present or not. All that is learned
+is learned from a bounded sample of labelled rows (``sample``): presence counts by label are aggregated in
+Spark over it, the ``features`` with the largest association with any label are kept, and the models are
+fitted. Whole texts of all documents are scored.
+
+Where a table only says toxic or not, the earlier categories are kinds of toxicity that are learned, too: a mixture of
+``kinds`` Bernoulli profiles over the features that go with the label is fitted to the toxic rows by expectation-
+maximisation, and a toxic row belongs to the kind it most likely comes from. No word is given.
 
 Defined results: a null or empty text has no features and gets the models' base rates; null labels
-are ignored; of repeated labels the largest counts; a category without both labels is constant;
-repeated rows are scored each; an empty table gives no rows.
+are ignored; of repeated labels the mean decides, a tie for 1; a category without both labels is constant;
+repeated rows are scored each; an empty table gives no rows; a column of ``docs`` that has the name of a
+probability column raises an error.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, labelled_rows, mix, shared_table, span_hashes
+from .common import chunks, forget, labelled_rows, mix, shared_table, span_hashes
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -97,7 +102,7 @@ def _known_features(batches: Iterator[pa.RecordBatch], known: np.ndarray, n_labe
             )
 
 
-def _logistic(rows: np.ndarray, ranks: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float = 3e-5, rounds: int = 250) -> np.ndarray:
+def _logistic(rows: np.ndarray, ranks: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float = 1e-3, rounds: int = 250) -> np.ndarray:
     """Weights of [features, extra, intercept] under a ridge penalty, by Adam on all rows."""
     n, k = len(y), extra.shape[1]
     w, m, v = np.zeros(width + k + 1), np.zeros(width + k + 1), np.zeros(width + k + 1)
@@ -158,8 +163,56 @@ class ToxicityChain:
         return earlier
 
 
-def fit_toxicity(rows: DataFrame, categories: list[str], width: int = FEATURES, min_documents: int = 5) -> ToxicityChain:
-    """Fit the chain on (doc_id, text, a 0/1 column for each category in order), a bounded labelled sample."""
+def kinds_of(rows: np.ndarray, ranks: np.ndarray, toxic: np.ndarray, width: int, kinds: int, profile: int = 256, rounds: int = 60) -> np.ndarray:
+    """A 0/1 column for each kind: the toxic rows that most likely come from its Bernoulli profile, larger kinds first.
+
+    Profiles are over the ``profile`` features with the largest excess in toxic rows. The first profiles are those
+    of rows with, and without, each of the commonest of them, so the result is the same each time.
+    """
+    out = np.zeros((len(toxic), kinds), np.int64)
+    which = np.flatnonzero(toxic == 1)
+    if not len(which):
+        return out
+    n, n_toxic = np.bincount(ranks, minlength=width), np.bincount(ranks, toxic[rows], minlength=width)
+    excess = n_toxic - n * toxic.mean()
+    chosen = np.sort(np.argsort(-excess, kind="stable")[:profile])
+    chosen = chosen[excess[chosen] > 0]
+    at = np.full(width, -1)
+    at[chosen] = np.arange(len(chosen))
+    row_at = np.full(len(toxic), -1)
+    row_at[which] = np.arange(len(which))
+    keep = (row_at[rows] >= 0) & (at[ranks] >= 0)
+    x = np.zeros((len(which), len(chosen)))
+    x[row_at[rows[keep]], at[ranks[keep]]] = 1
+    belongs = np.full((len(which), kinds), 1 / kinds)
+    for k, feature in enumerate(np.argsort(-x.sum(0), kind="stable")[: kinds - 1]):
+        has = x[:, feature] == 1
+        belongs[has] *= 0.1
+        belongs[has, k] = 1
+        belongs /= belongs.sum(1, keepdims=True)
+    for _ in range(rounds):
+        share = (belongs.sum(0) + 1) / (len(which) + kinds)
+        p = (belongs.T @ x + 0.5) / (belongs.sum(0)[:, None] + 1)
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        logs = np.log(share) + x @ np.log(p).T + (1 - x) @ np.log(1 - p).T
+        after = np.exp(logs - logs.max(1, keepdims=True))
+        after /= after.sum(1, keepdims=True)
+        settled = np.abs(after - belongs).max() < 1e-6
+        belongs = after
+        if settled:
+            break
+    best = belongs.argmax(1)
+    order = np.argsort(-np.bincount(best, minlength=kinds), kind="stable")
+    for k, kind in enumerate(order):
+        out[which[best == kind], k] = 1
+    return out
+
+
+def fit_toxicity(rows: DataFrame, categories: list[str], width: int = FEATURES, min_documents: int = 5, kinds: int = 0) -> ToxicityChain:
+    """Fit the chain on (doc_id, text, a 0/1 column for each category in order), a bounded labelled sample.
+
+    ``kinds``: so many categories of the last one are learned and come before all others, as ``kind1`` and so on.
+    """
     names = [f"_y{k}" for k in range(len(categories))]
     rows = shared_table(
         rows.select("doc_id", *(F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)), "text").dropna(subset=names), "toxicity-labelled"
@@ -181,14 +234,20 @@ def fit_toxicity(rows: DataFrame, categories: list[str], width: int = FEATURES,
     known = np.sort(np.array([r["feature"] for r in top.collect()], np.int64).view(np.uint64))
     vectors = rows.mapInArrow(
         lambda b: _known_features(b, known, len(names)), "doc_id bigint, " + ", ".join(f"label{k} int" for k in range(len(names))) + ", ranks array<int>"
-    ).toArrow().to_pandas()
-    vectors = vectors.sort_values("doc_id", kind="stable", ignore_index=True)
-    lengths = vectors["ranks"].map(len).to_numpy(np.int64) if len(vectors) else np.zeros(0, np.int64)
-    ranks = np.concatenate([np.zeros(0, np.int64), *vectors["ranks"].map(np.asarray)]).astype(np.int64)
-    y = vectors[[f"label{k}" for k in range(len(names))]].to_numpy(np.int64)
+    ).toArrow()
+    forget(rows)
+    vectors = vectors.sort_by([("doc_id", "ascending")]).combine_chunks()
+    lists = vectors.column("ranks")
+    ranks, lengths = (np.concatenate([np.zeros(0, np.int64), *(f(c) for c in lists.chunks)]) for f in (lambda c: c.flatten().to_numpy(), lambda c: np.diff(c.offsets.to_numpy())))
+    y = np.column_stack([vectors.column(f"label{k}").to_numpy() for k in range(len(names))]).astype(np.int64)
+    del vectors, lists
+    names = (*(f"kind{k + 1}" for k in range(kinds)), *categories)
     if not len(y):
-        return ToxicityChain(tuple(categories), known, tuple(np.concatenate([np.zeros(len(known) + k), [-9.0]]) for k in range(len(names))))
-    return ToxicityChain.fit_rows(tuple(categories), known, np.repeat(np.arange(len(y)), lengths), ranks, y)
+        return ToxicityChain(names, known, tuple(np.concatenate([np.zeros(len(known) + k), [-9.0]]) for k in range(len(names))))
+    at = np.repeat(np.arange(len(y)), lengths.astype(np.int64))
+    if kinds:
+        y = np.column_stack([kinds_of(at, ranks, y[:, -1], len(known), kinds), y])
+    return ToxicityChain.fit_rows(names, known, at, ranks, y)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityChain) -> Iterator[pa.RecordBatch]:
@@ -203,23 +262,16 @@ def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityChain) -> Iterator
 
 def with_toxicity(docs: DataFrame, model: ToxicityChain) -> DataFrame:
     """``docs`` with a probability column ``_p_<category>`` for each category; other columns pass through."""
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_p_{c}", T.DoubleType()) for c in model.categories)])
+    names = [f"_p_{c}" for c in model.categories]
+    if taken := sorted({n.lower() for n in names} & {c.lower() for c in docs.columns}):
+        raise ValueError(f"columns {taken} are there already")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     return docs.mapInArrow(lambda b: _scored(b, model), schema)
 
 
-INSULTS = ("idiot", "moron", "stupid", "loser", "clown")
-CONTEMPT = ("scum", "trash", "worthless", "pathetic", "disgusting")
-CATEGORIES = ["insult", "contempt", "toxic"]
-
-
-def categorised(rows: DataFrame) -> DataFrame:
-    """Labels by category, for tables that only say toxic or not: an insult, or an expression of contempt,
-    is a toxic document that names one of the seed words; ``toxic`` is the label itself and comes last."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    named = lambda words: text.rlike(r"\b(" + "|".join(words) + r")\b").cast("int") * F.col("toxic")
-    return rows.withColumn("insult", named(INSULTS)).withColumn("contempt", named(CONTEMPT))
+KINDS = 2
 
 
-def fit_from_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only=None) -> ToxicityChain:
-    """The chain insult, contempt, toxic, from a table that marks documents as toxic or not."""
-    return fit_toxicity(categorised(labelled_rows(docs, labels, "toxic", sample, only)), CATEGORIES)
+def fit_from_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only=None, kinds: int = KINDS) -> ToxicityChain:
+    """The chain of ``kinds`` learned kinds and ``toxic``, from a table that marks documents as toxic or not."""
+    return fit_toxicity(labelled_rows(docs, labels, "toxic", sample, only), ["toxic"], kinds=kinds)

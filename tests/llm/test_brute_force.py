@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsloom.llm import bin_packing, impact_index, interpolated_lm, jaccard_join, queries, rule_quality, source_mixing, toxicity_chain
-from newsloom.llm.common import Words, chunks
+from newsloom.llm.common import Words, chunks, remainder
 
 from ..oracle import compare, connection
 from .conftest import DOCS, prose
@@ -157,6 +157,54 @@ def test_chain_feeds_forward():
     assert [len(w) for w in model.weights] == [len(known) + 1, len(known) + 2, len(known) + 3]
 
 
+def test_kinds_are_found():
+    """Two vocabularies of toxic rows among rows of neither are told apart, without being named."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"p{k}" for k in range(40)], 8)) + ["", " vile rude crude", " odd mad bad"][k % 3] for k in range(300)]
+    texts = [t.encode() for t in texts]
+    known = np.unique(toxicity_chain.features(texts)[1])
+    rows, ranks = toxicity_chain.features(texts, known)
+    toxic = np.array([0, 1, 1] * 100)
+    kinds = toxicity_chain.kinds_of(rows, ranks, toxic, len(known), 2)
+    assert (kinds.sum(1) == toxic).all() and len({tuple(kinds[k]) for k in range(1, 300, 3)}) == 1 and len({tuple(kinds[k]) for k in range(2, 300, 3)}) == 1
+    assert tuple(kinds[1]) != tuple(kinds[2])
+    assert toxicity_chain.kinds_of(rows, ranks, 0 * toxic, len(known), 2).sum() == 0
+
+
+def plain_pack(lengths: list[int], permitted: tuple[int, ...], attention: float = 65536.0, overhead: float = 8.0) -> list[tuple[int, int, int]]:
+    """Best fit over all open bins, and a least-cost opening by trying every length, without any index."""
+    bins: list[list] = []  # [space left, used]
+    out = []
+    for k, length in enumerate(lengths):
+        fits = [b for b in range(len(bins)) if bins[b][0] >= length]
+        if fits:
+            least = min(bins[b][0] for b in fits)
+            b = [x for x in fits if bins[x][0] == least]
+            b = max(b, key=lambda x: bins[x][2])
+        else:
+            def cost(c):
+                left, total = c - length, length
+                for n in lengths[k + 1 :]:
+                    if n <= left:
+                        left, total = left - n, total + n
+                return c * (1 + c / attention) + overhead, total
+
+            size = min((c for c in permitted if c >= length), key=lambda c: (cost(c)[0] / cost(c)[1], -c))
+            bins.append([size, 0, 0])
+            b = len(bins) - 1
+        out.append((b, bins[b][1]))
+        bins[b] = [bins[b][0] - length, bins[b][1] + length, k]
+    return [(b, o, min(c for c in permitted if c >= bins[b][1])) for b, o in out]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(np.concatenate([rng.integers(1, 65, 30), rng.integers(1, 12, 90)]))[::-1]
+    got = list(zip(*(x.tolist() for x in bin_packing.pack(lengths, (8, 16, 32, 64))), strict=True))
+    assert got == plain_pack(lengths.tolist(), (8, 16, 32, 64))
+
+
 def test_packing_is_sound():
     rng = np.random.default_rng(2)
     lengths = np.sort(np.concatenate([rng.integers(1, 4097, 400), rng.integers(1, 300, 3000)]))[::-1]
@@ -180,6 +228,24 @@ def test_shortages_go_to_siblings_first(spark):
     assert short == {"a": 10, "b": 790, "c": 800, "e": 1000}
 
 
+def test_null_and_empty_names_are_two_nodes(spark):
+    leaves = spark.createDataFrame([("d", None, "a", 100), ("d", "", "a", 100), ("d", "en", None, 100), ("d", "en", "", 100)], "domain string, lang string, source string, supply bigint")
+    got = {(r.lang, r.source): r.share for r in source_mixing.leaf_budgets(leaves, None, 90, 1).collect()}
+    assert got == {(None, "a"): 30, ("", "a"): 30, ("en", None): 15, ("en", ""): 15}
+
+
+def test_kept_rows_are_what_one_epoch_takes(spark):
+    rows = [(k if k % 7 else None, f"t{k} " * (1 + k % 23), ["en", "", None][k % 3], f"s{k % 4}", k) for k in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_order", F.lit("x"))
+    domain, n = source_mixing.domain_of(F.col("source")), source_mixing.word_count(F.col("text"))
+    kept = source_mixing.kept_rows(docs, domain, n, None, 0.5)
+    assert kept.columns == docs.columns
+    taken = source_mixing.mix_sources(docs.select("doc_id", domain.alias("domain"), "lang", "source", n.alias("n_tokens")), None, 0.5, max_epochs=1)
+    key = lambda df, n: sorted(((r.doc_id or 0), str(r.lang), r.source, r.n) for r in df.select("doc_id", "lang", "source", n.alias("n")).collect() if r.doc_id)
+    assert key(kept, n) == key(taken, F.col("n_tokens"))
+    assert kept.filter("doc_id is null").count() > 0
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -190,6 +256,17 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in p) / len(p) > 0.97
 
 
+def test_held_out_toxicity(spark):
+    """Learned from two thirds of the labels; sf0.01 has some thirty toxic rows in them, too few to learn from."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity_chain.fit_from_labels(docs, spark.read.parquet(f"{sf}/labels.parquet"), only=remainder("doc_id", 3) != 1)
+    held = docs.filter(remainder("doc_id", 3) == 1)
+    x = [(r["_p_toxic"] >= 0.5, labels[r.doc_id].toxic) for r in toxicity_chain.with_toxicity(held, model).collect() if r.doc_id in labels]
+    assert sum(a == b for a, b in x) / len(x) > 0.965 and sum(a and b for a, b in x) / sum(b for _, b in x) > 0.7
+
+
 def test_pipeline(spark):
     """Each stage against a plain version of its decision, on its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from newsloom.llm import bin_packing, byte_convnet, impact_index, interpolated_lm, jaccard_join, line_rules, rule_quality, source_mixing, toxicity_chain, warc
 from newsloom.llm.common import remainder
 
@@ -111,3 +112,15 @@ def test_search(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in impact_index.top_k(rows, rows.filter("id in (0, 2, 9)"), k=3).collect())
     assert got == [(0, 1, 6, 16384), (0, 2, 1, 0), (0, 3, 7, 0), (9, 1, 0, 0), (9, 2, 1, 0), (9, 3, 6, 0)]
     assert impact_index.top_k(rows.limit(0), rows, k=3).count() == 0
+
+
+def test_pipeline_stages(spark, edge_docs, no_docs, labels, tmp_path):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    odd = edge_docs.withColumns({"_quality": F.lit("q"), "_p_toxic": F.lit("p"), "_stat_words": F.lit(1), "Quality": F.lit(2)})
+    for docs in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        stage = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+        rows = stage.collect()
+        assert sum(r.doc_id is None for r in rows) == (1 if docs is odd else 0)
+        assert corpus_pipeline.packing(spark, docs, str(tmp_path)).count() >= docs.count()
