@@ -276,7 +276,7 @@ def test_pipeline(spark):
     t = corpus_pipeline.toxicity(spark, q, SF)
     ids, texts = zip(*[(r.doc_id, r.text) for r in t.orderBy("doc_id").collect()], strict=True)
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, t, SF).collect())
-    assert kept == [i for k, (i, c) in enumerate(zip(ids, linked(list(texts)), strict=True)) if c == k]
+    assert kept == [i for k, (i, c) in enumerate(zip(ids, linked(list(texts), 80, 5), strict=True)) if c == k]
     n = spark.createDataFrame([r for r in t.collect() if r.doc_id in set(kept)], DOCS)
     m = corpus_pipeline.mixing(spark, n, SF)
     assert m.columns == fed and m.distinct().count() == m.count() <= n.count()
