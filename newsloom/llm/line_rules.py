@@ -1,16 +1,15 @@
 """Quality rules with cross-document line frequency.
 
 Lines of a document are normalised (lower case, one space between words) and hashed. Of each
-host, every line's distinct texts are counted; a line found in more than ``max_texts`` of them
-is boilerplate there and is removed. A document left with too small a share of its words is depleted
-and rejected; a short one that loses a line or two is not.
-
-Exact copies of a text count once: copies are for deduplication to judge, and a good page that
-was crawled twice should not lose its lines.
+host, the distinct documents that hold a line are counted; a line found in more than ``max_documents`` of them, and in
+more than ``max_percent`` of all that the host has, is boilerplate there and is removed: what is common
+is judged by the host's size, and a small host's few lines are not. A document left with too small a
+share of its words is depleted and rejected; one that loses a line or two is not. ``cleaned_documents`` gives the
+documents that are kept, without those lines.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its
-own; repeated rows and repeated ids give one result row each; an empty table gives no rows;
-columns other than those named are ignored.
+own; repeated rows and repeated ids are documents and give one result row each; an empty table gives no rows;
+columns other than those named are ignored, and pass through ``cleaned_documents`` unchanged.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, combine, shared_table, span_hashes
@@ -36,7 +35,6 @@ _FIELDS = [
     ("n_symbols", "bigint"),
     ("n_dup_lines", "bigint"),
     ("n_repeat_words", "bigint"),
-    ("text_key", "bigint"),
     ("lines", "array<bigint>"),
     ("line_words", "array<int>"),
 ]
@@ -78,7 +76,6 @@ def measure(texts: list[bytes]) -> dict[str, pa.Array]:
 
     lowered = np.frombuffer(data.tobytes().lower(), np.uint8)
     normal = span_hashes(span_hashes(lowered, words.starts, words.ends), line_first, line_last)
-    text_key = span_hashes(data, words.bounds[:-1], words.bounds[1:])
     offsets = pa.array(np.concatenate(([0], np.cumsum(n_lines))).astype(np.int32))
     return {
         "n_words": pa.array(words.count.astype(np.int64)),
@@ -86,7 +83,6 @@ def measure(texts: list[bytes]) -> dict[str, pa.Array]:
         "n_symbols": pa.array(words.per_text(_SYMBOL[data])),
         "n_dup_lines": pa.array(n_dup.astype(np.int64)),
         "n_repeat_words": pa.array(_repeated_words(words, words.hashes()).astype(np.int64)),
-        "text_key": pa.array(text_key.view(np.int64)),
         "lines": pa.ListArray.from_arrays(offsets, pa.array(normal.view(np.int64))),
         "line_words": pa.ListArray.from_arrays(offsets, pa.array((line_last - line_first).astype(np.int32))),
     }
@@ -96,54 +92,66 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece, texts in chunks(batch):
             found = measure(texts)
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(1), *found.values()], names=["doc_id", "host", *found]
-            )
+            yield pa.RecordBatch.from_arrays([*piece.columns[:3], *found.values()], names=["doc_id", "host", "text_key", *found])
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(text, text.isNull())
 
 
-def line_frequency_rules(
-    docs: DataFrame,
-    host: str = "source",
-    max_texts: int = 20,
-    min_left_percent: int = 30,
-) -> DataFrame:
-    """One row per document: base statistics, removed and left words, the verdict.
+def _judged(docs: DataFrame, host: str, max_documents: int, max_percent: int, min_left_percent: int) -> DataFrame:
+    """One row per document, with the places of its removed lines among its lines with words.
 
     One pass over the texts writes the narrow table of statistics and line hashes; all that
     follows works on that. Counts are combined before their shuffle, so a line that a third
     of a host's documents share costs each task one row.
     """
-    columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, host string, " + ", ".join(f"{n} {t}" for n, t in _FIELDS)
+    text = F.col("text").cast("string")
+    columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), _key(text).alias("text_key"), text.alias("text"))
+    schema = "doc_id bigint, host string, text_key bigint, " + ", ".join(f"{n} {t}" for n, t in _FIELDS)
     # a row number once written: rows with equal ids stay apart
-    base = shared_table(
-        columns.mapInArrow(_measured, schema).withColumn("row", F.monotonically_increasing_id()), "line-rules"
-    )
-    one_each = base.groupBy("host", "text_key").agg(F.min("row").alias("row"))
-    of_texts = (
-        base.join(one_each.select("row"), "row", "left_semi")
-        .select("host", F.explode(F.array_distinct("lines")).alias("line"))
+    base = shared_table(columns.mapInArrow(_measured, schema).withColumn("row", F.monotonically_increasing_id()), "line-rules")
+    sizes = base.groupBy("host").agg(F.count("*").alias("documents")).select(F.col("host").alias("of"), "documents")
+    frequent = (
+        base.select("host", F.explode(F.array_distinct("lines")).alias("line"))
         .groupBy("host", "line")
-        .agg(F.count("*").alias("texts"))
-        .filter(F.col("texts") > max_texts)
-    )
-    each = base.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
-        "row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")
+        .agg(F.count("*").alias("found"))
+        .filter(F.col("found") > max_documents)
+        .join(sizes, F.col("host").eqNullSafe(F.col("of")))
+        .filter(F.col("found") * 100 > F.col("documents") * max_percent)
+        .select("of", F.col("line").alias("common"))
     )
+    each = base.select("row", "host", F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "x")).select("row", "host", "place", "x.lines", "x.line_words")
     removed = (
-        each.alias("e")
-        .join(of_texts.alias("c"), (F.col("e.line") == F.col("c.line")) & F.col("e.host").eqNullSafe(F.col("c.host")))
+        each.join(frequent, (F.col("lines") == F.col("common")) & F.col("host").eqNullSafe(F.col("of")))
         .groupBy("row")
-        .agg(F.sum("words").alias("removed_words"), F.count("*").alias("removed_lines"))
+        .agg(F.sum("line_words").alias("removed_words"), F.count("*").alias("removed_lines"), F.collect_list("place").alias("removed"))
     )
     n, left = F.col("n_words"), F.col("n_words") - F.col("removed_words")
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
     return (
-        base.drop("text_key", "lines", "line_words")
+        base.drop("lines", "line_words")
         .join(removed, "row", "left")
         .fillna(0, ["removed_words", "removed_lines"])
         .withColumn("base_failed", failed)
         .withColumn("depleted", left * 100 < n * min_left_percent)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-        .drop("row")
     )
+
+
+def line_frequency_rules(docs: DataFrame, host: str = "source", max_documents: int = 20, max_percent: int = 1, min_left_percent: int = 30) -> DataFrame:
+    """One row per document: base statistics, removed and left words, the verdict."""
+    return _judged(docs, host, max_documents, max_percent, min_left_percent).drop("row", "text_key", "removed")
+
+
+def cleaned_documents(docs: DataFrame, host: str = "source", max_documents: int = 20, max_percent: int = 1, min_left_percent: int = 30) -> DataFrame:
+    """The kept rows of ``docs``, all columns, with the text that is left; texts that lose no line stay as they are, others lose empty lines, too."""
+    judged = _judged(docs, host, max_documents, max_percent, min_left_percent).filter("kept")
+    # rows that are equal in id, host and text have one verdict
+    verdict = judged.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key")).agg(F.first("removed").alias("_removed"))
+    text = docs["text"].cast("string")
+    met = docs.join(verdict, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & docs[host].cast("string").eqNullSafe(F.col("_host")) & (_key(text) == F.col("_key")))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("_removed"), k)), "\n")
+    cleaned = F.when(F.col("_removed").isNull(), text).otherwise(left)
+    return met.select(*((cleaned.alias("text") if c == "text" else docs[c]) for c in docs.columns))

@@ -33,7 +33,8 @@ WITH d AS (
 ), dup AS (
   SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM named GROUP BY doc_id
 ), frequent AS (
-  SELECT source, line FROM named GROUP BY source, line HAVING count(DISTINCT text) > 20
+  SELECT f.source AS source, line FROM (SELECT source, line, count(DISTINCT doc_id) AS found FROM named GROUP BY source, line HAVING count(DISTINCT doc_id) > 20) f
+  JOIN (SELECT source, count(*) AS documents FROM documents GROUP BY source) h ON f.source IS NOT DISTINCT FROM h.source WHERE 100 * found > documents
 ), removed AS (
   SELECT doc_id, sum(n.n) AS n FROM named n JOIN frequent f ON n.source IS NOT DISTINCT FROM f.source AND n.line = f.line GROUP BY doc_id
 ), base AS (

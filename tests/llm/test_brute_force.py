@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import bin_packing, impact_index, interpolated_lm, jaccard_join, queries, rule_quality, source_mixing, toxicity_chain
+from newsloom.llm import bin_packing, impact_index, interpolated_lm, jaccard_join, line_rules, queries, rule_quality, source_mixing, toxicity_chain
 from newsloom.llm.common import Words, chunks, remainder
 
 from ..oracle import compare, connection
@@ -33,6 +33,23 @@ def test_words():
     assert long.hashes()[-1] == long.hashes()[-2]
 
 
+def test_common_lines_go(spark):
+    """25 of a host's 400 documents share a line, which is above both limits; 25 of 4000 is not."""
+    rows = []
+    for host, size in (("small", 400), ("large", 4000)):
+        for k in range(size):
+            own = "\n".join(" ".join(f"{host}{k}x{j}y{i}" for i in range(12)) for j in range(5))
+            rows.append((len(rows), f"Share  THIS now\n\n{own}" if k < 25 else own, "en", host, k))
+    rows.append((len(rows), "\n".join(["share this now"] * 20), "en", "small", None))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in line_rules.line_frequency_rules(docs).collect()}
+    assert [got[k].removed_words for k in (0, 24, 25, 400)] == [3, 3, 0, 0] and got[0].kept and got[0].n_words == 63
+    last = got[len(rows) - 1]
+    assert last.depleted and not last.kept
+    clean = {r.doc_id: r.text for r in line_rules.cleaned_documents(docs).filter("doc_id in (0, 25, 400, 4400)").collect()}
+    assert clean == {0: rows[0][1].split("\n\n")[1], 25: rows[25][1], 400: rows[400][1]}  # the last document is gone
+
+
 def near_copies(seed: int) -> list[str]:
     rng = random.Random(seed)
     out = []
@@ -94,17 +111,36 @@ def test_skipping_loses_no_pair():
         assert got == wanted
 
 
-def test_search_is_exact_and_stops_early(spark):
+def test_search_is_exact_and_stops_early():
     rng = np.random.default_rng(5)
-    x = np.floor(256 * rng.normal(0, 0.12, (3000, 32))).astype(np.int64)
-    x[:, :4] *= 8  # some large impacts
+    x = np.floor(256 * rng.normal(0, 0.05, (3000, 32))).astype(np.int64)
+    x[np.arange(3000), rng.integers(0, 32, 3000)] += 400  # some large impacts
+    x[7] = x[450] = 0
     index = impact_index.ImpactIndex(np.arange(3000), x)
-    for q, (rows, scores) in zip(range(0, 3000, 50), index.search(np.arange(0, 3000, 50), x[::50], 5), strict=True):
-        exact = x @ x[q]
-        exact[q] = -(10**12)
-        wanted = np.lexsort((np.arange(3000), -exact))[:5]
-        best = np.lexsort((rows, -scores))[:5]
-        assert rows[best].tolist() == wanted.tolist() and scores[best].tolist() == exact[wanted].tolist()
+    own = np.arange(0, 3000, 50)
+    exact = x @ x[own].T
+    exact[own, np.arange(len(own))] = -(10**12)
+    for bound in (None, np.sort(exact, axis=0)[-5]):
+        for j, (rows, scores) in enumerate(index.search(own, x[own], 5, bound)):
+            wanted = np.lexsort((np.arange(3000), -exact[:, j]))[:5]
+            best = np.lexsort((rows, -scores))[:5]
+            assert rows[best].tolist() == wanted.tolist() and scores[best].tolist() == exact[wanted, j].tolist()
+        # a full scan works on every posting for every query
+        assert 0 < index.visited < (0.75 if bound is None else 0.7) * index.postings * len(own)
+
+
+def test_search_meets_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 0.3, (700, 8)) * rng.choice([0.1, 1, 4], 700)[:, None]
+    ids = np.concatenate([np.arange(650), rng.integers(0, 650, 50)])  # some ids repeat
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id bigint, e array<double>").select("id", impact_index.quantised(F.col("e")).alias("q"))
+    got = sorted(tuple(r) for r in impact_index.top_k(df, df.filter("id % 50 = 0"), 5, vectors_per_block=64, queries_per_block=4).collect())
+    q, wanted = np.floor(256 * x).astype(np.int64), []
+    for k in np.flatnonzero(ids % 50 == 0):
+        score, able = q @ q[k], ids != ids[k]
+        for rank, j in enumerate(np.lexsort((ids[able], -score[able]))[:5]):
+            wanted.append((int(ids[k]), rank + 1, int(ids[able][j]), int(score[able][j])))
+    assert got == sorted(wanted)
 
 
 def test_language_model(spark):

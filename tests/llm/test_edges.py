@@ -110,7 +110,12 @@ def test_search(spark):
     df = spark.createDataFrame(vectors, "id bigint, embedding array<double>").withColumn("rank", F.lit("x"))
     rows = df.select("id", impact_index.quantised(F.col("embedding")).alias("q"), "rank")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in impact_index.top_k(rows, rows.filter("id in (0, 2, 9)"), k=3).collect())
+    # the rows of id 8 are two candidates
     assert got == [(0, 1, 6, 16384), (0, 2, 1, 0), (0, 3, 7, 0), (9, 1, 0, 0), (9, 2, 1, 0), (9, 3, 6, 0)]
+    again = impact_index.top_k(rows, rows.filter("id = 1"), k=4).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(again, key=lambda r: r.rank)] == [(1, 8), (2, 8), (3, 6), (4, 0)]
+    large = spark.createDataFrame([(1, [70000.0]), (2, [90000.0]), (3, [1.0]), (4, [1e5] * 5000)], "id bigint, e array<double>").select("id", impact_index.quantised(F.col("e")).alias("q"))
+    assert [(r.vec_id, r.score) for r in impact_index.top_k(large, large.filter("id = 3"), k=3).orderBy("rank").collect()] == [(4, 256 * 256 * 10**5), (2, 256 * 256 * 90000), (1, 256 * 256 * 70000)]
     assert impact_index.top_k(rows.limit(0), rows, k=3).count() == 0
 
 
