@@ -1,13 +1,16 @@
 """WARC archives: writing captures, resolving revisits, reading records back.
 
-An archive is a text file of WARC/1.1 records, gzipped whole. Spark's own text writer makes it
-(every record is followed by CRLF CRLF, which is the writer's line separator), so archives go
-wherever Spark can write and no executor keeps files of its own.
+An archive is a text file of WARC/1.1 records, gzipped as one stream (offsets are those of the stream). Spark's own
+text writer makes it, so archives go wherever Spark can write and no executor keeps files of its own: a task
+joins records to the text of an archive, until it has ``ARCHIVE_RECORDS`` of them or ``ARCHIVE_BYTES``, and each such text is
+one file. An archive is read back as one value, so its size is bounded in bytes; only a record that is larger by
+itself makes a larger one.
 
 Revisit resolution moves headers, not payloads: each record's payload digest and length are
 shuffled, the record with the smallest page id of a digest is found with partial aggregation
 (a digest that a third of all records share costs each task one row), revisits are joined to it,
-and archives are written anew: responses with their payload, revisits with a header that refers
+and what is to change in an archive is gathered by archive, so that archives, still compressed, meet one row each. They
+are written anew: responses with their payload, revisits with a header that refers
 to the response.
 
 Defined results: a null html is an empty payload; a null url is ``urn:newsloom:unknown``; control
@@ -30,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, shared_table
+from .common import forget, shared_path, shared_table
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_RECORDS = 1000
-"""Records in an archive at most: an archive is read back as one value, so its size is bounded."""
+ARCHIVE_BYTES = 16 << 20
+"""Records, and uncompressed bytes, in an archive at most."""
 
 RECORD = (
     "archive string, offset bigint, record_type string, page_id bigint, uri string, date string, record_id string, "
@@ -87,29 +91,55 @@ def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = stop + 4
 
 
-def _captured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bundles(records: Iterator[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Texts of archives, one to a batch."""
+    held, size = [], 0
+
+    def text() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(["\r\n\r\n".join(held)], pa.string())], names=["value"])
+
+    for value in records:
+        if held and (len(held) == ARCHIVE_RECORDS or size + len(value) > most):
+            yield text()
+            held, size = [], 0
+        held.append(value)
+        size += len(value) if value.isascii() else len(value.encode("utf-8"))
+    if held:
+        yield text()
+
+
+def _captured(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
     for batch in batches:
-        rows = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-        out = []
-        for page_id, url, html, row in rows:
+        for page_id, url, html, row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             payload = (html or "").encode("utf-8")
-            out.append(record("response", page_id, url, payload, digest(payload), f"capture-{row}"))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            yield record("response", page_id, url, payload, digest(payload), f"capture-{row}")
 
 
-def _write(records: DataFrame, label: str) -> str:
-    path = shared_path(records.sparkSession, label)
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+def _write(archives: DataFrame, label: str) -> str:
+    path = shared_path(archives.sparkSession, label)
+    archives.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
-def write_captures(pages: DataFrame) -> str:
+def write_captures(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """A response record for each (page_id, url, html) row; the archives' folder."""
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    return _write(rows.mapInArrow(_captured, "value string"), "warc-captures")
+    return _write(rows.mapInArrow(lambda b: _bundles(_captured(b), archive_bytes), "value string"), "warc-captures")
+
+
+def _read(archive: str, content: bytes) -> Iterator[tuple[tuple, bytes]]:
+    """(the RECORD fields but the last, payload) of each record of an archive; payload digests are checked."""
+    for offset, fields, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+        header, _, payload = block.partition(b"\r\n\r\n")
+        sha1 = fields["warc-payload-digest"].removeprefix("sha1:")
+        if fields["warc-type"] != "revisit" and digest(payload) != sha1:
+            raise ValueError(f"{archive}, byte {offset}: the payload does not have its digest")
+        length = int(re.search(rb"(?i)\r\nContent-Length: *(\d+)", header)[1])
+        page = fields.get("x-page-id")
+        yield (archive, offset, fields["warc-type"], int(page) if page else None, fields["warc-target-uri"], fields["warc-date"], fields["warc-record-id"], sha1, length, fields.get("warc-refers-to")), payload
 
 
 def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
@@ -119,29 +149,18 @@ def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.R
             ("record_id", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to_record", pa.string()), ("payload", pa.string()),
         ]
     )
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
     for batch in batches:
         for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows, held = [], 0
-            for offset, fields, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
-                header, _, payload = block.partition(b"\r\n\r\n")
-                sha1 = fields["warc-payload-digest"].removeprefix("sha1:")
-                revisit = fields["warc-type"] == "revisit"
-                if not revisit and digest(payload) != sha1:
-                    raise ValueError(f"{archive}, byte {offset}: the payload does not have its digest")
-                length = int(re.search(rb"(?i)\r\nContent-Length: *(\d+)", header)[1])
-                page = fields.get("x-page-id")
-                rows.append(
-                    (
-                        archive, offset, fields["warc-type"], int(page) if page else None, fields["warc-target-uri"], fields["warc-date"], fields["warc-record-id"],
-                        sha1, length, fields.get("warc-refers-to"), payload.decode("utf-8") if payloads and not revisit else None,
-                    )
-                )
+            for head, payload in _read(archive, content):
+                rows.append((*head, payload.decode("utf-8") if payloads and head[2] != "revisit" else None))
                 held += len(payload)
                 if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    yield packed(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield packed(rows)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -171,20 +190,22 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    """The records of (archive, content, changes) rows, written anew."""
+    names = ("archive", "offset", "record_type", "page_id", "uri", "date", "record_id", "payload_digest", "payload_bytes", "refers_to_record")
     for batch in batches:
-        out = []
-        for x in batch.to_pylist():
-            page_id, sha1, serial = x["page_id"], x["payload_digest"], f"{x['archive']}:{x['offset']}"
-            if x["to_offset"] is None:
-                if x["record_type"] == "response":
-                    out.append(record("response", page_id, x["uri"], x["payload"].encode("utf-8"), sha1, serial, x["date"]))
+        for archive, content, changes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            to = {c["offset"]: c for c in changes or ()}
+            for head, payload in _read(archive, content):
+                x = dict(zip(names, head, strict=True))
+                sha1, serial, change = x["payload_digest"], f"{archive}:{x['offset']}", to.get(x["offset"])
+                if change:
+                    original = uuid.uuid5(_NAMESPACE, f"response|{change['to_page']}|{change['to_archive']}:{change['to_offset']}|{sha1}")
+                    yield _revisit(x, sha1, serial, f"<urn:uuid:{original}>", change["to_uri"], change["to_date"])
+                elif x["record_type"] == "response":
+                    yield record("response", x["page_id"], x["uri"], payload, sha1, serial, x["date"])
                 else:
-                    out.append(_revisit(x, sha1, serial, x["refers_to_record"], x["uri"], x["date"]))
-            else:
-                to = uuid.uuid5(_NAMESPACE, f"response|{x['to_page']}|{x['to_archive']}:{x['to_offset']}|{sha1}")
-                out.append(_revisit(x, sha1, serial, f"<urn:uuid:{to}>", x["to_uri"], x["to_date"]))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    yield _revisit(x, sha1, serial, x["refers_to_record"], x["uri"], x["date"])
 
 
 def _revisit(x: dict, sha1: str, serial: str, record_id: str, uri: str, date: str) -> str:
@@ -197,13 +218,16 @@ def _revisit(x: dict, sha1: str, serial: str, record_id: str, uri: str, date: st
     return head + "\r\n\r\n" + block.decode("utf-8")
 
 
-def deduplicate_archives(spark: SparkSession, path: str, min_bytes: int = 0) -> str:
+def deduplicate_archives(spark: SparkSession, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Archives with each payload once, the other records turned into revisits; the new folder."""
     headers = shared_table(read_archives(spark, path).drop("payload"), "warc-headers")
-    revisits = resolve_revisits(headers, min_bytes)
-    records = read_archives(spark, path, payloads=True)
-    joined = records.join(revisits, ["archive", "offset"], "left")
-    return _write(joined.mapInArrow(_fresh, "value string"), "warc-deduplicated")
+    # an archive has ARCHIVE_RECORDS records at most, so its changes are bounded
+    changes = resolve_revisits(headers, min_bytes).groupBy("archive").agg(F.collect_list(F.struct("offset", "to_page", "to_uri", "to_date", "to_archive", "to_offset")).alias("changes"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    met = files.join(changes, F.col("path") == F.col("archive"), "left").select("path", "content", "changes")
+    out = _write(met.mapInArrow(lambda b: _bundles(_fresh(b), archive_bytes), "value string"), "warc-deduplicated")
+    forget(headers)
+    return out
 
 
 def resolved_records(spark: SparkSession, path: str) -> DataFrame:

@@ -105,6 +105,15 @@ def test_warc(spark):
     assert warc.resolved_records(spark, warc.deduplicate_archives(spark, none)).count() == 0
 
 
+def test_archives_are_bounded_in_bytes(spark):
+    pages = spark.createDataFrame([(k, f"https://x.com/{k}", ("ä" * 900 + str(k % 30))) for k in range(60)] + [(99, "u", "z" * 50_000)], "page_id bigint, url string, html string").coalesce(1)
+    first = warc.write_captures(pages, archive_bytes=20_000)
+    sizes = [len(warc.gzip.decompress(bytes(r.content))) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(first).collect()]
+    assert len(sizes) > 6 and sorted(sizes)[-2] <= 20_000 + 2000 < 50_000 < max(sizes)
+    out = warc.resolved_records(spark, warc.deduplicate_archives(spark, first, archive_bytes=20_000)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in out) == [(k, "response", None) if k < 30 or k == 99 else (k, "revisit", k - 30) for k in [*range(60), 99]]
+
+
 def test_search(spark):
     vectors = [(0, [0.5, -0.5]), (1, [0.5, 0.5]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.5]), (7, []), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (9, [0.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(vectors, "id bigint, embedding array<double>").withColumn("rank", F.lit("x"))
