@@ -1,15 +1,15 @@
-"""LM scoring: a word bigram model by deleted interpolation.
+"""LM scoring: a word n-gram model by deleted interpolation, of order 3 (or 2).
 
-P(w | v) = a2(b) c(v w) / c(v) + a1(b) c(w) / N + a0(b) / (V + 1), where b is the bucket of the
-context's frequency (by powers of two) and each bucket's weights are learned by expectation-
-maximisation: of the learned documents a part, chosen by a hash of the id, is held out of the
+P(w | u v) = a3(b) c(u v w) / c(u v) + a2(b) c(v w) / c(v) + a1(b) c(w) / N + a0(b) / (V + 1), where b is the bucket of
+the context's frequency (by powers of two; of u v where that was counted, else of v) and each bucket's weights are
+learned by expectation-maximisation: of the learned documents a part, chosen by a hash of the id, is held out of the
 counts, and the weights that make those held-out counts likeliest under the rest are found. The
-model then uses the counts of all learned documents.
+model then uses the counts of all learned documents. What stands before a text counts as ends of texts.
 
-Counting. Texts are taken in slices; a slice finds its distinct words and bigrams with their counts,
-as sorted arrays of 64-bit hashes, and deals them by hash range to buckets as packed arrays: one
-shuffle row for many keys, combined before it leaves the task. A bucket adds up what it gets and
-answers each slice with the totals in the order that the slice asked. Slices meet their answers by
+Counting. Texts are taken in slices; a slice finds its distinct n-grams with their counts,
+as sorted arrays of 64-bit hashes, and deals them by hash range to buckets as packed arrays (differences of sorted
+hashes, by byte planes, compressed): one shuffle row for many keys, combined before it leaves the task. A bucket adds up
+what it gets and answers each slice with the totals in the order that the slice asked. Slices meet their answers by
 slice number, texts travelling compressed. No table of words is ever broadcast or collected, and
 a word that is every third token costs each slice one entry.
 
@@ -18,7 +18,7 @@ a slice that gets answers for other keys than it asks for raises an error.
 
 Defined results: a null text is an empty one, whose only token is its end; documents without an id
 count as id ''; without learned documents every probability is 1; repeated rows are counted and scored
-each; an empty table gives no rows.
+each; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -32,46 +32,121 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, combine, remainder, shared_table
+from .common import Words, combine, forget, remainder, shared_table
 
 SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 """Text bytes whose keys go to a bucket, about."""
 HELD_OUT, COUNTED, TUNING = 0, 1, 2
 END = np.uint64(0x7F4A7C159E3779B9)
+ORDER = 3
 LAMBDA_BUCKETS = 32
-_UNSEEN = (0.0, 0.7, 0.3)
-_SEEN = (0.4, 0.45, 0.15)
+"""Of the frequency of one context; those of an order's contexts follow on those of the order below."""
+
+
+def first_weights(order: int) -> np.ndarray:
+    """Weights of each bucket before learning, highest order first, the uniform share last; none for estimates without a context."""
+    w = np.tile(0.5 ** np.arange(1, order + 2), ((order - 1) * LAMBDA_BUCKETS, 1))
+    for k in range(1, order):
+        # buckets below those of an order's contexts
+        w[: (k - 1) * LAMBDA_BUCKETS + (k == 1), order - 1 - k] = 0
+    return w / w.sum(1, keepdims=True)
 
 
 class Slice:
-    """Tokens of some texts: their distinct words and bigrams, sorted, with counts and places."""
+    """Tokens of some texts: for each order their distinct n-grams, sorted, with counts and places."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], order: int = ORDER):
         w = Words(texts, lower=True)
         size = len(w.doc) + w.n
         self.doc = np.repeat(np.arange(w.n), w.count + 1)
         token = np.full(size, END, np.uint64)
         token[np.arange(len(w.doc)) + w.doc] = w.hashes()
-        before = np.empty_like(token)  # the context of a first word is the end of another text
-        before[1:] = token[:-1]
-        before[:1] = END
-        self.words, self.word, self.word_n = np.unique(token, return_inverse=True, return_counts=True)
-        self.pairs, first, self.pair, self.pair_n = np.unique(combine(before, token), return_index=True, return_inverse=True, return_counts=True)
-        # a text's first token has the context END, whose count is the number of texts
-        context = np.empty_like(self.word)
-        context[1:] = self.word[:-1]
-        context[:1] = np.searchsorted(self.words, END)
-        self.context = context
-        self.pair_word, self.pair_context = self.word[first], context[first]
-
-    def dealt(self, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """(bucket, word hashes, word counts, pair hashes, pair counts), packed."""
-        w, p = _cuts(self.words, buckets), _cuts(self.pairs, buckets)
+        begins = np.concatenate(([0], np.cumsum(w.count + 1)[:-1])) if w.n else np.zeros(0, np.int64)
+        #: of each order: distinct keys, the place of each token's among them, counts, and of each key its context's place one order below
+        self.keys, self.at, self.n, self.context = [], [], [], []
+        grams: list[np.ndarray] = [token]
+        for k in range(order):
+            if k:
+                earlier = np.full(size, END, np.uint64)
+                earlier[k:] = token[:-k]
+                # before a text there are ends only: the token before its first word is the end of another text
+                for j in range(1, k):
+                    earlier[begins + (k - 1 - j)] = END
+                grams = [earlier, *grams]
+            joined = token if k == 0 else combine(*grams)
+            keys, first, at, n = np.unique(joined, return_index=True, return_inverse=True, return_counts=True)
+            self.keys.append(keys)
+            self.at.append(at)
+            self.n.append(n)
+            if k == 1:
+                end = np.searchsorted(self.keys[0], END)
+                context = np.concatenate(([end], self.at[0][:-1]))[first] if size else first
+                self.context.append(context)
+            elif k == 2:
+                # a text's first word has no context of two words: the number of texts stands for its count
+                context = np.concatenate(([-1], self.at[1][:-1]))
+                context[begins] = -1
+                self.context.append(context[first])
+        self.end = int(np.searchsorted(self.keys[0], END))
+
+    def dealt(self, buckets: int) -> Iterator[tuple]:
+        """(bucket, packed keys and packed counts of each order)."""
+        cuts = [_cuts(x, buckets) for x in self.keys]
         for b in range(buckets):
-            ws, ps = slice(w[b], w[b + 1]), slice(p[b], p[b + 1])
-            if w[b] < w[b + 1] or p[b] < p[b + 1]:
-                yield b, self.words[ws].tobytes(), self.word_n[ws].astype(np.int32).tobytes(), self.pairs[ps].tobytes(), self.pair_n[ps].astype(np.int32).tobytes()
+            spans = [slice(c[b], c[b + 1]) for c in cuts]
+            if any(x.start < x.stop for x in spans):
+                yield b, *(v for x, keys, n in zip(spans, self.keys, self.n, strict=True) for v in (packed_keys(keys[x]), packed_counts(n[x])))
+
+    def estimates(self, counts: list[np.ndarray], tokens: int, types: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of each distinct n-gram of the highest order: the bucket of its context, and its estimates, highest order first."""
+        order = len(self.keys)
+        # the places of each highest n-gram's lower ones: those of any token that ends it
+        last = np.zeros(len(self.keys[-1]), np.int64)
+        last[self.at[-1]] = np.arange(len(self.at[-1]))
+        parts = [np.full(len(last), 1.0 / (types + 1)), counts[0][self.at[0][last]] / max(tokens, 1)]
+        bucket = np.zeros(len(last), np.int64)
+        for k in range(1, order):
+            place = self.at[k][last]
+            context = self.context[k - 1][place]
+            seen = np.where(context >= 0, counts[k - 1][context], counts[0][self.end] if len(counts[0]) else 0)
+            parts.append(np.where(seen > 0, counts[k][place] / np.maximum(seen, 1), 0.0))
+            bucket = np.where(seen > 0, (k - 1) * LAMBDA_BUCKETS + frequency_bucket(seen), bucket)
+        return bucket, parts[::-1]
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys: differences, by byte planes, compressed."""
+    if not len(keys):
+        return b""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(keys).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked_keys(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    n = int.from_bytes(packed[:4], "little")
+    planes = np.frombuffer(pa.decompress(packed[4:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def packed_counts(n: np.ndarray) -> bytes:
+    """Counts: a byte each, large ones beside them."""
+    if not len(n):
+        return b""
+    large = n[n >= 255].astype(np.int64)
+    small = pa.compress(np.minimum(n, 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+    return len(n).to_bytes(4, "little") + len(large).to_bytes(4, "little") + large.tobytes() + small
+
+
+def unpacked_counts(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.int64)
+    n, m = int.from_bytes(packed[:4], "little"), int.from_bytes(packed[4:8], "little")
+    out = np.frombuffer(pa.decompress(packed[8 + 8 * m :], n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(packed, np.int64, m, 8)
+    return out
 
 
 def _cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -103,49 +178,43 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list,
         yield flush(role)
 
 
-_KEYS = "bucket int, slice bigint, role int, words binary, word_n binary, pairs binary, pair_n binary"
+def _columns(order: int, *names: str) -> list[str]:
+    return [f"{name}{k}" for k in range(order) for name in names]
 
 
-def _keys(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], buckets: int, order: int) -> Iterator[pa.RecordBatch]:
     for number, role, _, texts in _slices(batches):
-        rows = list(Slice(texts).dealt(buckets))
-        columns = list(zip(*rows, strict=True))
+        columns = list(zip(*Slice(texts, order).dealt(buckets), strict=True))
+        rows = len(columns[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([role] * len(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-            names=["bucket", "slice", "role", "words", "word_n", "pairs", "pair_n"],
+            [pa.array(columns[0], pa.int32()), pa.array([number] * rows, pa.int64()), pa.array([role] * rows, pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+            names=["bucket", "slice", "role", *_columns(order, "keys", "n")],
         )
 
 
-_ANSWERS = "slice bigint, bucket int, word_all binary, word_base binary, pair_all binary, pair_base binary, tokens bigint, base_tokens bigint, types bigint"
-
-
-def _added(keys: pd.Series, counts: pd.Series, roles: pd.Series) -> tuple[list[np.ndarray], list[np.ndarray], int, int, int]:
-    """For each row: totals of its keys over all learned roles, and over the counted role; and sums."""
-    parts = [np.frombuffer(x, np.uint64) for x in keys]
-    flat, n = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int32) for x in counts]).astype(np.int64)
+def _added(keys: pd.Series, counts: pd.Series, roles: pd.Series) -> tuple[list[bytes], list[bytes], int, int, int]:
+    """For each row: packed totals of its keys over all learned roles, and over the counted role; and sums."""
+    parts = [unpacked_keys(x) for x in keys]
+    flat, n = np.concatenate(parts), np.concatenate([unpacked_counts(x) for x in counts])
     lengths = np.array([len(x) for x in parts])
     role = np.repeat(roles.to_numpy(), lengths)
     unique, at = np.unique(flat, return_inverse=True)
     base = np.bincount(at, np.where(role == COUNTED, n, 0), len(unique)).astype(np.int64)
     every = base + np.bincount(at, np.where(role == TUNING, n, 0), len(unique)).astype(np.int64)
     cut = np.cumsum(lengths)[:-1]
-    return np.split(every[at], cut), np.split(base[at], cut), int(every.sum()), int(base.sum()), int((every > 0).sum())
+    packed = lambda x, wanted: [packed_counts(y) if z else b"" for y, z in zip(np.split(x[at], cut), wanted, strict=True)]
+    return packed(every, [True] * len(parts)), packed(base, (roles == TUNING).tolist()), int(every.sum()), int(base.sum()), int((every > 0).sum())
 
 
-def _answers(rows: pd.DataFrame) -> pd.DataFrame:
-    words, words_base, tokens, base_tokens, types = _added(rows["words"], rows["word_n"], rows["role"])
-    pairs, pairs_base, *_ = _added(rows["pairs"], rows["pair_n"], rows["role"])
-    tuning = (rows["role"] == TUNING).to_numpy()
-    packed = lambda parts, wanted: [x.astype(np.int64).tobytes() if y else b"" for x, y in zip(parts, wanted, strict=True)]
-    every = np.ones(len(rows), bool)
-    out = pd.DataFrame(
-        {
-            "slice": rows["slice"], "bucket": rows["bucket"], "word_all": packed(words, every), "word_base": packed(words_base, tuning),
-            "pair_all": packed(pairs, every), "pair_base": packed(pairs_base, tuning), "tokens": 0, "base_tokens": 0, "types": 0,
-        }
-    )
-    sums = pd.DataFrame({"slice": [-1], "bucket": [rows["bucket"].iloc[0]], "word_all": [b""], "word_base": [b""], "pair_all": [b""], "pair_base": [b""], "tokens": [tokens], "base_tokens": [base_tokens], "types": [types]})
-    return pd.concat([out, sums], ignore_index=True)
+def _answers(rows: pd.DataFrame, order: int) -> pd.DataFrame:
+    out = {"slice": rows["slice"], "bucket": rows["bucket"], "tokens": 0, "base_tokens": 0, "types": 0}
+    sums = {"slice": [-1], "bucket": [rows["bucket"].iloc[0]]}
+    for k in range(order):
+        out[f"all{k}"], out[f"base{k}"], *found = _added(rows[f"keys{k}"], rows[f"n{k}"], rows["role"])
+        sums |= {f"all{k}": [b""], f"base{k}": [b""]}
+        if k == 0:
+            sums |= {name: [value] for name, value in zip(("tokens", "base_tokens", "types"), found, strict=True)}
+    return pd.concat([pd.DataFrame(out), pd.DataFrame(sums)], ignore_index=True)
 
 
 _TEXTS = "slice bigint, role int, ids array<bigint>, lengths array<bigint>, texts binary"
@@ -160,18 +229,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _opened(texts: pd.DataFrame, answers: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, Slice, np.ndarray, np.ndarray]:
-    """(ids, role, slice, word totals, pair totals) of a slice that met its answers."""
+def _opened(texts: pd.DataFrame, answers: pd.DataFrame, kind: str, order: int) -> tuple[np.ndarray, int, Slice, list[np.ndarray]]:
+    """(ids, role, slice, totals by order) of a slice that met its answers."""
     row = texts.iloc[0]
     lengths = np.asarray(row["lengths"], np.int64)
     joined = pa.decompress(row["texts"], int(lengths.sum()), codec="zstd", asbytes=True) if lengths.sum() else b""
     ends = np.cumsum(lengths)
-    s = Slice([joined[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)])
+    s = Slice([joined[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], order)
     answers = answers.sort_values("bucket")
-    words, pairs = (np.frombuffer(b"".join(answers[f"{c}_{kind}"]), np.int64) for c in ("word", "pair"))
-    if len(texts) != 1 or len(words) != len(s.words) or len(pairs) != len(s.pairs):
+    counts = [np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(x) for x in answers[f"{kind}{k}"])]) for k in range(order)]
+    if len(texts) != 1 or any(len(c) != len(x) for c, x in zip(counts, s.keys, strict=True)):
         raise RuntimeError("a slice met the answers of another one: the input is not the same at each scan")
-    return row["ids"], row["role"], s, words, pairs
+    return row["ids"], row["role"], s, counts
 
 
 def frequency_bucket(n: np.ndarray) -> np.ndarray:
@@ -179,91 +248,90 @@ def frequency_bucket(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.minimum(1 + np.log2(np.maximum(n, 1)).astype(np.int64), LAMBDA_BUCKETS - 1), 0)
 
 
-_TUNING = "bucket binary, f2 binary, f1 binary, n binary"
-
-
-def _tuning(texts: pd.DataFrame, answers: pd.DataFrame, tokens: int) -> pd.DataFrame:
-    """Held-out bigrams of a slice: bucket, both estimates under the counted part, held-out count."""
-    empty = pd.DataFrame({c: [] for c in ("bucket", "f2", "f1", "n")})
+def _tuning(texts: pd.DataFrame, answers: pd.DataFrame, tokens: int, types: int, order: int) -> pd.DataFrame:
+    """Held-out n-grams of a slice: bucket, the estimates under the counted part, held-out count."""
+    names = ["bucket", *(f"f{k}" for k in range(order)), "n"]
     if not len(texts) or not len(answers):
-        return empty
-    _, _, s, words, pairs = _opened(texts, answers, "base")
-    context = words[s.pair_context]
-    f2 = np.where(context > 0, pairs / np.maximum(context, 1), 0.0)
-    f1 = words[s.pair_word] / max(tokens, 1)
-    return pd.DataFrame({"bucket": [frequency_bucket(context).astype(np.int8).tobytes()], "f2": [f2.astype(np.float32).tobytes()], "f1": [f1.astype(np.float32).tobytes()], "n": [s.pair_n.astype(np.int32).tobytes()]})
+        return pd.DataFrame({c: [] for c in names})
+    _, _, s, counts = _opened(texts, answers, "base", order)
+    bucket, parts = s.estimates(counts, tokens, types)
+    return pd.DataFrame({"bucket": [bucket.astype(np.int8).tobytes()], **{f"f{k}": [parts[k].astype(np.float32).tobytes()] for k in range(order)}, "n": [packed_counts(s.n[-1])]})
 
 
-def _expected(batches: Iterator[pa.RecordBatch], weights: np.ndarray, uniform: float) -> Iterator[pa.RecordBatch]:
+def _expected(batches: Iterator[pa.RecordBatch], weights: np.ndarray, uniform: float, order: int) -> Iterator[pa.RecordBatch]:
     """Expected held-out counts that each estimate accounts for, by bucket."""
-    sums = np.zeros((LAMBDA_BUCKETS, 3))
+    size = len(weights)
+    sums = np.zeros((size, order + 1))
     for batch in batches:
         for row in batch.to_pylist():
             b = np.frombuffer(row["bucket"], np.int8).astype(np.int64)
-            n = np.frombuffer(row["n"], np.int32)
-            parts = [weights[b, 0] * np.frombuffer(row["f2"], np.float32), weights[b, 1] * np.frombuffer(row["f1"], np.float32), weights[b, 2] * uniform]
-            total = np.maximum(parts[0] + parts[1] + parts[2], 1e-300)
-            for k in range(3):
-                sums[:, k] += np.bincount(b, n * parts[k] / total, LAMBDA_BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(LAMBDA_BUCKETS, dtype=np.int32)), *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(3))], names=["bucket", "s0", "s1", "s2"])
+            n = unpacked_counts(row["n"])
+            parts = [weights[b, k] * np.frombuffer(row[f"f{k}"], np.float32) for k in range(order)] + [weights[b, order] * uniform]
+            total = np.maximum(sum(parts), 1e-300)
+            for k in range(order + 1):
+                sums[:, k] += np.bincount(b, n * parts[k] / total, size)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(order + 1))], names=["bucket", *(f"s{k}" for k in range(order + 1))])
 
 
-def _scores(texts: pd.DataFrame, answers: pd.DataFrame, weights: np.ndarray, tokens: int, types: int) -> pd.DataFrame:
+def _scores(texts: pd.DataFrame, answers: pd.DataFrame, weights: np.ndarray, tokens: int, types: int, order: int) -> pd.DataFrame:
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     if not len(texts):
         return pd.DataFrame({c: [] for c in columns})
-    ids, role, s, words, pairs = _opened(texts, answers, "all")
-    n = len(ids)
-    c, context = words[s.word], words[s.context]
-    base = np.log10((words + 0.1) / (tokens + 0.1 * (types + 1)))[s.word]
-    lam = weights[frequency_bucket(words)]  # by context word
-    p = lam[s.context, 0] * (pairs[s.pair] / np.maximum(context, 1)) + lam[s.context, 1] * (c / max(tokens, 1)) + lam[s.context, 2] / (types + 1)
-    if tokens == 0:
-        p = np.ones(len(c))
+    ids, role, s, counts = _opened(texts, answers, "all", order)
+    n, words = len(ids), counts[0]
+    base = np.log10((words + 0.1) / (tokens + 0.1 * (types + 1)))[s.at[0]]
+    bucket, parts = s.estimates(counts, tokens, types)
+    p = sum(weights[bucket, k] * parts[k] for k in range(order + 1)) if tokens else np.ones(len(bucket))
     return pd.DataFrame(
         {
-            "doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], dtype="Int64"), "held_out": role == HELD_OUT, "n_tokens": np.bincount(s.doc, minlength=n), "n_known": np.bincount(s.doc[c > 0], minlength=n),
-            "base_score": np.bincount(s.doc, base, n), "score": np.bincount(s.doc, np.log10(p), n),
+            "doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], dtype="Int64"), "held_out": role == HELD_OUT, "n_tokens": np.bincount(s.doc, minlength=n), "n_known": np.bincount(s.doc[words[s.at[0]] > 0], minlength=n),
+            "base_score": np.bincount(s.doc, base, n), "score": np.bincount(s.doc, np.log10(p)[s.at[-1]], n),
         }
     )
 
 
-def score_texts(docs: DataFrame, held_out: Column, tuning: Column, rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, tuning: Column, rounds: int = 12, tolerance: float = 1e-4, order: int = ORDER) -> DataFrame:
     """Model and base scores of every (doc_id, text) row, learned from the rows that ``held_out`` leaves.
 
-    ``tuning``: which of the learned rows the mixture weights are learned from.
+    ``tuning``: which of the learned rows the mixture weights are learned from; ``order``: 2 or 3.
     """
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     role = F.when(held_out, HELD_OUT).when(tuning, TUNING).otherwise(COUNTED).cast("int")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), role.alias("role"), F.col("text").cast("string").alias("text"))
     if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = shared_table(rows, "lm-input")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, -(-int(size) // BUCKET_BYTES))
-    asked = rows.mapInArrow(lambda b: _keys(b, buckets), _KEYS)
-    answers = shared_table(asked.groupBy("bucket").applyInPandas(_answers, _ANSWERS), "lm-answers")
+    kinds = lambda names: ", ".join(f"{c} binary" for c in names)
+    asked = rows.mapInArrow(lambda b: _keys(b, buckets, order), "bucket int, slice bigint, role int, " + kinds(_columns(order, "keys", "n")))
+    replies = f"slice bigint, bucket int, tokens bigint, base_tokens bigint, types bigint, {kinds(_columns(order, 'all', 'base'))}"
+    answers = shared_table(asked.groupBy("bucket").applyInPandas(lambda x: _answers(x, order), replies), "lm-answers")
     tokens, base_tokens, types = (int(x or 0) for x in answers.filter("slice = -1").agg(F.sum("tokens"), F.sum("base_tokens"), F.sum("types")).first())
     replies = answers.filter("slice >= 0").drop("tokens", "base_tokens", "types")
+    of_all, of_base = (replies.select("slice", "bucket", *(f"{kind}{k}" for k in range(order))) for kind in ("all", "base"))
 
     tuned = (
         rows.filter(F.col("role") == TUNING).mapInArrow(_texts, _TEXTS).groupBy("slice")
-        .cogroup(replies.filter(F.shiftright("slice", 28).bitwiseAND(F.lit(15)) == TUNING).groupBy("slice"))
-        .applyInPandas(lambda a, b: _tuning(a, b, base_tokens), _TUNING)
+        .cogroup(of_base.filter(F.shiftright("slice", 28).bitwiseAND(F.lit(15)) == TUNING).groupBy("slice"))
+        .applyInPandas(lambda a, b: _tuning(a, b, base_tokens, types, order), kinds(["bucket", *(f"f{k}" for k in range(order)), "n"]))
     )
     tuned = shared_table(tuned, "lm-tuning")
-    weights = np.tile(np.array(_SEEN), (LAMBDA_BUCKETS, 1))
-    weights[0] = _UNSEEN
+    weights = first_weights(order)
+    sums = ["bucket int", *(f"s{k} double" for k in range(order + 1))]
     for _ in range(rounds):
         now = weights.copy()
-        found = tuned.mapInArrow(lambda b: _expected(b, now, 1.0 / (types + 1)), "bucket int, s0 double, s1 double, s2 double")  # noqa: B023
-        for r in found.groupBy("bucket").agg(F.sum("s0"), F.sum("s1"), F.sum("s2")).collect():
-            total = r[1] + r[2] + r[3]
+        found = tuned.mapInArrow(lambda b: _expected(b, now, 1.0 / (types + 1), order), ", ".join(sums))  # noqa: B023
+        for r in found.groupBy("bucket").agg(*(F.sum(f"s{k}") for k in range(order + 1))).collect():
+            total = sum(r[1:])
             if total > 0:
-                weights[r[0]] = np.array([r[1], r[2], r[3]]) / total
+                weights[r[0]] = np.array(r[1:]) / total
         if np.abs(weights - now).max() < tolerance:
             break
+    forget(tuned)
     scored = (
-        rows.mapInArrow(_texts, _TEXTS).groupBy("slice").cogroup(replies.groupBy("slice"))
-        .applyInPandas(lambda a, b: _scores(a, b, weights, tokens, types), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        rows.mapInArrow(_texts, _TEXTS).groupBy("slice").cogroup(of_all.groupBy("slice"))
+        .applyInPandas(lambda a, b: _scores(a, b, weights, tokens, types, order), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     )
     return scored.withColumn("train_tokens", F.lit(tokens).cast("bigint"))
 

@@ -160,17 +160,105 @@ def test_language_model(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_model_probabilities_sum_to_one():
-    """Over all words and one unseen, for a context that was counted and one that was not."""
-    s = interpolated_lm.Slice([b"a b a c", b"a b"])
-    words, pairs = s.word_n, s.pair_n
-    tokens, types = int(words.sum()), len(words)
-    weights = np.tile([0.5, 0.3, 0.2], (interpolated_lm.LAMBDA_BUCKETS, 1))
-    context = int(np.bincount(s.context).argmax())
-    seen = {int(w): int(n) for w, k, n in zip(s.pair_word, s.pair_context, pairs, strict=True) if k == context}
-    lam = weights[interpolated_lm.frequency_bucket(words[[context]])[0]]
-    total = sum(lam[0] * seen.get(w, 0) / words[context] + lam[1] * words[w] / tokens + lam[2] / (types + 1) for w in range(types)) + lam[2] / (types + 1)
-    assert math.isclose(total, 1.0)
+def plain_model(tokens: dict, held: dict, tuning: dict, order: int) -> dict:
+    """Deleted interpolation with dictionaries: log10 probability of each text."""
+    before = lambda words, i, k: tuple(words[max(0, i - k) : i]) if i >= k else (None,) * (k - i) + tuple(words[:i])
+
+    def counted(ids):
+        c = [collections.Counter() for _ in range(order + 1)]
+        for d in ids:
+            for i, w in enumerate(tokens[d]):
+                c[1][w] += 1
+                for k in range(1, order):
+                    c[k + 1][(*before(tokens[d], i, k), w)] += 1
+        return c, collections.Counter({g[:-1]: 0 for g in ()}), len(list(ids))
+
+    learned = [d for d in tokens if not held[d]]
+    types = len(counted(learned)[0][1])
+
+    def estimates(c, n_docs, d, i):
+        words, total = tokens[d], sum(c[1].values())
+        parts, bucket = [c[1][words[i]] / max(total, 1), 1 / (types + 1)], 0
+        for k in range(1, order):
+            ctx = before(words, i, k)
+            # ends stand before a text: that context was seen once for each text
+            seen = n_docs if i == 0 else c[1][ctx[0]] if k == 1 else c[k][ctx]
+            parts.insert(0, c[k + 1][(*ctx, words[i])] / seen if seen else 0.0)
+            if seen:
+                bucket = (k - 1) * 32 + min(1 + int(math.log2(seen)), 31)
+        return parts, bucket
+
+    base_ids = [d for d in learned if not tuning[d]]
+    c, _, n_docs = counted(base_ids)
+    rows = [estimates(c, n_docs, d, i) for d in learned if tuning[d] for i in range(len(tokens[d]))]
+    weights = {}
+    for b in range(32 * (order - 1)):
+        start = [0.5**k for k in range(1, order + 2)]
+        if b < 32 and order == 3:
+            start[0] = 0
+        if b == 0:
+            start[order - 2] = 0
+        weights[b] = [x / sum(start) for x in start]
+    for _ in range(12):
+        sums = collections.defaultdict(lambda: [0.0] * (order + 1))
+        for parts, b in rows:
+            p = [w * x for w, x in zip(weights[b], parts, strict=True)]
+            for k in range(order + 1):
+                sums[b][k] += p[k] / sum(p)
+        after = {b: [x / sum(v) for x in v] for b, v in sums.items()}
+        moved = max((abs(x - y) for b in after for x, y in zip(after[b], weights[b], strict=True)), default=0)
+        weights.update(after)
+        if moved < 1e-4:
+            break
+    c, _, n_docs = counted(learned)
+    out = {}
+    for d in tokens:
+        got = [estimates(c, n_docs, d, i) for i in range(len(tokens[d]))]
+        out[d] = sum(math.log10(sum(w * x for w, x in zip(weights[b], parts, strict=True))) for parts, b in got)
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_scores_are_exact(spark, order):
+    phrases = [prose(k, 7, 60) for k in range(12)]
+    docs = [(k, " ".join(random.Random(k).choices(phrases, k=3 + k % 6)) if k % 9 else None) for k in range(150)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.score for r in interpolated_lm.score_texts(df, remainder("doc_id", 10) == 0, interpolated_lm.tuning_part(), order=order).collect()}
+    tokens = {k: [*(t or "").lower().split(), None] for k, t in docs}
+    tuning = {r[0]: r[1] for r in df.select("doc_id", interpolated_lm.tuning_part()).collect()}
+    wanted = plain_model(tokens, {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in tokens}, tuning, order)
+    assert all(math.isclose(got[k], wanted[k], rel_tol=1e-5) for k in tokens)
+
+
+def test_keys_and_counts_are_packed():
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64) * np.uint64(2))
+    assert (interpolated_lm.unpacked_keys(interpolated_lm.packed_keys(keys)) == keys).all()
+    n = rng.choice([1, 2, 254, 255, 256, 10**9, 0], 3000)
+    assert (interpolated_lm.unpacked_counts(interpolated_lm.packed_counts(n)) == n).all()
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_probabilities_sum_to_one(order):
+    """Over all words and one unseen, for every context."""
+    text = [b"a b a c b a b", b"a b", b"c"]
+    s = interpolated_lm.Slice(text, order)
+    tokens, types = int(s.n[0].sum()), len(s.keys[0])
+    weights = interpolated_lm.first_weights(order)
+    vocabulary = [b"a", b"b", b"c", b"", b"z"]
+    for context in ([], [b"a"], [b"a", b"b"], [b"b", b"a"], [b"c", b"z"], [b"z", b"z"]):
+        total = 0.0
+        for w in vocabulary:
+            # the last token of a text with this context, under the counts of ``text``
+            probe = interpolated_lm.Slice([b" ".join([*context, w] if w else context)], order)
+            counts = []
+            for k in range(order):
+                at = np.minimum(np.searchsorted(s.keys[k], probe.keys[k]), len(s.keys[k]) - 1)
+                counts.append(np.where(s.keys[k][at] == probe.keys[k], s.n[k][at], 0))
+            bucket, parts = probe.estimates(counts, tokens, types)
+            p = sum(weights[bucket, k] * parts[k] for k in range(order + 1))
+            total += p[probe.at[-1]][len(context)]
+        assert math.isclose(total, 1.0), context
 
 
 def test_rules_compile_to_what_they_predict(spark):
