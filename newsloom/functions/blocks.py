@@ -10,22 +10,69 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import html as html_functions
+from . import udfs
 from .text import blank, clean_text, or_null
 
+#: fixed values: what is a block of its own, and how the editor delimits blocks
 PIECE = r"(?is)<p\b[^>]*>(.*?)</p>|<ul\b[^>]*>(.*?)</ul>"
+ITEM = r"(?is)<li\b[^>]*>(.*?)</li>"
+_CUT, _PART, _FRAGMENT, _PIECE = "\x01", "\x02", "\x03", "\x04"
 
 
 def paragraph(inner: Column) -> Column:
-    """A paragraph block; null if there is nothing in it."""
+    """A paragraph block; empty if there is nothing in it."""
     body = F.trim(blank(inner))
-    return F.when(body != "", F.concat(F.lit("<!-- wp:paragraph -->\n<p>"), body, F.lit("</p>\n<!-- /wp:paragraph -->")))
-
-
-def paragraphs(fragment: Column) -> Column:
-    """The paragraphs of an article as blocks, in order; plain text is one paragraph."""
-    found = F.filter(F.transform(F.regexp_extract_all(blank(fragment), F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), clean_text), lambda x: x != "")
-    every = F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(clean_text(fragment)), lambda x: x != ""))
-    return F.array_join(F.transform(every, paragraph), "\n\n")
+    return F.when(body != "", F.concat(F.lit("<!-- wp:paragraph -->\n<p>"), body, F.lit("</p>\n<!-- /wp:paragraph -->"))).otherwise("")
+
+
+def bullets(items: Column) -> Column:
+    """A list block of rendered items; empty without any."""
+    each = F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit("<!-- wp:list-item -->\n<li>"), x, F.lit("</li>\n<!-- /wp:list-item -->")))
+    return F.when(F.size(each) > 0, F.concat(F.lit('<!-- wp:list -->\n<ul class="wp-block-list">\n'), F.array_join(each, "\n"), F.lit("\n</ul>\n<!-- /wp:list -->"))).otherwise("")
+
+
+def article(fragment: Column) -> Column:
+    """An article as editor blocks, in order: paragraphs and lists with their inline formatting, text between them as paragraphs.
+
+    The fragment is cut at its paragraphs and lists; the inner fragments of all pieces are sanitized together, with one
+    call for their entities, and each piece is rendered by its kind.
+    """
+    raw = F.trim(blank(fragment))
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(raw, "[\x01-\x04]", ""), f"({PIECE})", f"{_CUT}$1{_CUT}"), _CUT), lambda x: x != "")
+    is_paragraph, is_list = (lambda x, t=t: x.rlike(rf"(?is)^<{t}\b[^>]*>.*</{t}>$") for t in ("p", "ul"))
+    inner = lambda x, t: F.regexp_extract(x, rf"(?is)^<{t}\b[^>]*>(.*)</{t}>$", 1)
+    within = lambda x: F.when(is_paragraph(x), F.array(inner(x, "p"))).when(is_list(x), F.regexp_extract_all(inner(x, "ul"), F.lit(ITEM), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    pieces = F.transform(parts, lambda x: F.transform(within(x), html_functions.inline_pieces))
+    # all texts travel as one for their entities
+    joined = F.array_join(F.transform(pieces, lambda x: F.array_join(F.transform(x, lambda y: F.array_join(y, _PIECE)), _FRAGMENT)), _PART)
+    plain = F.transform(F.split(udfs.unescape(joined), _PART), lambda x: F.transform(F.split(x, _FRAGMENT), lambda y: F.split(y, _PIECE)))
+    text = lambda x: paragraph(html_functions.escape(clean_text(x)))
+
+    def block(x: Column) -> Column:
+        done = F.zip_with(x["pieces"], x["plain"], html_functions.sanitized)
+        listed = F.when(F.size(x["pieces"]) > 0, bullets(done)).otherwise(text(inner(x["part"], "ul")))
+        return F.when(is_paragraph(x["part"]), paragraph(F.coalesce(F.get(done, F.lit(0)), F.lit("")))).when(is_list(x["part"]), listed).otherwise(text(x["part"]))
+
+    rows = F.arrays_zip(parts.alias("part"), pieces.alias("pieces"), plain.alias("plain"))
+    found = F.filter(F.transform(rows, block), lambda x: x != "")
+    return F.when(F.size(found) > 0, F.array_join(found, "\n\n")).otherwise(text(raw))
+
+
+def image(url: Column, alt: Column, media_id: Column, width: Column) -> Column:
+    """An image block; at most as wide as the image itself. Empty without an address."""
+    has_id, has_width = media_id.isNotNull() & (media_id > 0), width.isNotNull() & (width > 0)
+    fields = F.concat(F.lit('{"sizeSlug":"full","linkDestination":"none"'), F.when(has_id, F.concat(F.lit(',"id":'), media_id.cast("string"))).otherwise(""), F.lit("}"))
+    named = F.when(has_id, F.concat(F.lit(' class="wp-image-'), media_id.cast("string"), F.lit('"'))).otherwise("")
+    style = F.when(has_width, F.concat(F.lit(' style="max-width:'), width.cast("string"), F.lit('px;width:100%;height:auto"'))).otherwise("")
+    tag = F.concat(F.lit('<img src="'), html_functions.escape(F.trim(blank(url))), F.lit('" alt="'), html_functions.escape(clean_text(alt)), F.lit('"'), named, style, F.lit("/>"))
+    return F.when(F.trim(blank(url)) != "", F.concat(F.lit("<!-- wp:image "), fields, F.lit(' -->\n<figure class="wp-block-image size-full">'), tag, F.lit("</figure>\n<!-- /wp:image -->"))).otherwise("")
+
+
+def links(heading: Column, found: Column) -> Column:
+    """A heading and a list of (title, link) as blocks; empty without any."""
+    each = F.transform(found, lambda x: F.concat(F.lit('<a href="'), html_functions.escape(x["link"]), F.lit('">'), html_functions.escape(clean_text(x["title"])), F.lit("</a>")))
+    return F.when(F.size(found) > 0, F.concat(F.lit("<!-- wp:heading -->\n<h2>"), html_functions.escape(heading), F.lit("</h2>\n<!-- /wp:heading -->\n\n"), bullets(each))).otherwise("")
 
 
 def document(*parts: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import udfs
 from .text import SPACE, blank, clean_text, collapse, or_null, trim, unescape_common
+from .url import largest_srcset
 
 _Q, _NQ = "[\"']", "[^\"']+"
 
@@ -111,3 +113,94 @@ def json_object(c: Column) -> Column:
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     parsed = lambda x: F.when((x != "") & F.try_parse_json(x).isNotNull(), x)
     return F.coalesce(parsed(text), parsed(inner))
+
+
+# --- pages by their tags: a page is split into tags and text by one pattern, and the lists are worked on as columns ---
+
+TAG = r"<[A-Za-z/!?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
+_UNSEEN_TAGS = "script|style|noscript|svg|iframe|canvas|template|form"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag's text, quoted or not; empty if it has none."""
+    found = [F.regexp_extract(tag, rf"(?is)[\s/\"']{name}\s*=\s*{p}", 1) for p in (r"\"([^\"]*)\"", r"'([^']*)'", r"([^\s\"'>]+)")]
+    return F.coalesce(*(or_null(x) for x in found), F.lit(""))
+
+
+def _tags(html: Column, names: str) -> Column:
+    return F.regexp_extract_all(blank(html), F.lit(rf"(?is)(<(?:{names})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
+
+
+def page_title(html: Column) -> Column:
+    return udfs.unescape(collapse(F.regexp_extract(blank(html), r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)", 1)))
+
+
+def page_meta(html: Column) -> Column:
+    """map<string, string>: contents of meta tags by property, name or itemprop, in lower case; the first of each counts."""
+    named = lambda t: F.lower(trim(F.coalesce(*(or_null(attribute(t, k)) for k in ("property", "name", "itemprop")), F.lit(""))))
+    every = F.transform(_tags(html, "meta"), lambda t: F.struct(named(t).alias("key"), trim(attribute(t, "content")).alias("value")))
+    kept = F.filter(every, lambda x: (x["key"] != "") & (x["value"] != ""))
+    keys = F.array_distinct(F.transform(kept, lambda x: x["key"]))
+    return F.map_from_arrays(keys, udfs.unescape_each(F.transform(keys, lambda k: F.filter(kept, lambda x: x["key"] == k)[0]["value"])))
+
+
+def page_text(html: Column) -> Column:
+    """The text outside of scripts, forms and other elements that are not read, entities resolved."""
+    raw = F.regexp_replace(F.regexp_replace(blank(html), r"(?s)<!--.*?(?:-->|\z)", ""), rf"(?is)<({_UNSEEN_TAGS})\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    return collapse(udfs.unescape(F.regexp_replace(raw, f"(?s){TAG}", " ")))
+
+
+#: fixed values: names under which pages declare an image, and attributes of images that load late, in order of preference
+_DECLARED = [("property", ["og:image", "og:image:url", "og:image:secure_url"]), ("name", ["twitter:image", "twitter:image:src"])]
+_LAZY = ["data-src", "data-lazy-src", "data-original", "data-flickity-lazyload", "src"]
+
+
+def image_candidates(html: Column) -> Column:
+    """Image references of a page in order of preference, as written: those it declares, then those after its headline."""
+    metas = _tags(html, "meta")
+    declared = [
+        F.coalesce(F.try_element_at(F.transform(F.filter(metas, lambda t: F.lower(attribute(t, key)).isin(names) & (trim(attribute(t, "content")) != "")), lambda t: trim(attribute(t, "content"))), F.lit(1)), F.lit(""))  # noqa: B023
+        for key, names in _DECLARED
+    ]
+    after = F.regexp_extract(blank(html), r"(?is)</h1\s*>(.*)", 1)
+    each = F.transform(_tags(after, "img|source"), lambda t: F.array(largest_srcset(attribute(t, "data-srcset")), largest_srcset(attribute(t, "srcset")), *(attribute(t, k) for k in _LAZY)))
+    every = udfs.unescape_each(F.transform(F.concat(F.array(*declared), F.flatten(each)), trim))
+    return F.array_distinct(F.filter(every, lambda x: (x != "") & ~F.lower(x).rlike("^(?:data|javascript):")))
+
+
+INLINE = ["b", "strong", "i", "em", "u", "a"]
+
+
+def escape(c: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def sanitize_inline(html: Column) -> Column:
+    """Inline formatting only, all else as escaped text; links keep http(s) targets.
+
+    The fragment is split into tags and text. A tag is looked up in the list of those allowed and written
+    anew from its name, so nothing else of it gets through; text has its entities resolved and is escaped.
+    """
+    pieces = inline_pieces(html)
+    return sanitized(pieces, udfs.unescape_each(pieces))
+
+
+def inline_pieces(html: Column) -> Column:
+    """Tags and texts of a fragment, in order, without comments."""
+    return F.regexp_extract_all(F.regexp_replace(blank(html), r"(?s)<!--.*?-->", ""), F.lit(rf"(?s)({TAG}|[^<]+|<)"), F.lit(1))
+
+
+def sanitized(pieces: Column, plain: Column) -> Column:
+    """``inline_pieces`` written anew; ``plain``: the same with entities resolved."""
+    is_tag = lambda x: x.rlike(rf"(?s)^{TAG}$")
+
+    def written(x: Column, resolved: Column) -> Column:
+        name = F.lower(F.regexp_extract(x, r"^</?([A-Za-z][^\s/>]*)", 1))
+        target = trim(attribute(resolved, "href"))
+        opened = F.when((name == "a") & F.lower(target).rlike("^https?://"), F.concat(F.lit('<a href="'), escape(target), F.lit('" target="_blank" rel="nofollow noopener">'))).otherwise(F.concat(F.lit("<"), name, F.lit(">")))
+        tag = F.when(~name.isin(INLINE) | (x.rlike(r"/\s*>$") & ~F.startswith(x, F.lit("</"))), "").when(F.startswith(x, F.lit("</")), F.concat(F.lit("</"), name, F.lit(">"))).otherwise(opened)
+        return F.when(is_tag(x), tag).otherwise(escape(resolved))
+
+    return trim(F.array_join(F.zip_with(pieces, plain, written), ""))

@@ -166,17 +166,26 @@ def broken(c: Column) -> Column:
     return F.contains(blank(c), F.lit("�"))
 
 
-def ordered_distinct(values: Column, key=lambda x: x) -> Column:
-    """The first of each key, in order."""
-    return F.filter(values, lambda x, i: F.array_position(F.transform(values, lambda y: key(y)), key(x)) == i + 1)
+def ordered_distinct(values: Column, key=lambda x: x, limit: int | None = None) -> Column:
+    """The first of each key, in order, ``limit`` at most. One walk over the values, which are evaluated once."""
+    none = F.array().cast("array<string>")
 
+    def add(kept: Column, x: Column) -> Column:
+        known = F.array_contains(kept["keys"], key(x))
+        if limit is not None:
+            known = known | (F.size(kept["keys"]) >= limit)
+        more = F.struct(F.array_append(kept["keys"], key(x)).alias("keys"), F.array_append(kept["found"], x).alias("found"))
+        return F.when(known, kept).otherwise(more)
 
-def evidence_sentences(c: Column, low: int = 8, high: int = 26) -> Column:
-    """Quotable sentences in order: 8 to 26 words, first of each by lower case."""
+    return F.aggregate(values, F.struct(none.alias("keys"), none.alias("found")), add, lambda kept: kept["found"])
+
+
+def evidence_sentences(c: Column, low: int = 8, high: int = 26, limit: int | None = None) -> Column:
+    """Quotable sentences in order: 8 to 26 words, first of each by lower case, the first ``limit``."""
     parts = F.split(clean_unescaped(c), rf"(?<=[.!?]){SPACE}+|(?<=;){SPACE}+")
     named = F.transform(parts, lambda s: F.regexp_replace(clean_unescaped(s), "^[ \\-–—]+|[ \\-–—]+$", ""))
     kept = F.filter(named, lambda s: (s != "") & ~broken(s) & F.regexp_count(s, F.lit(r"(?U)\b[\w'-]+\b")).between(low, high))
-    return ordered_distinct(kept, F.lower)
+    return ordered_distinct(kept, F.lower, limit)
 
 
 def numbers(c: Column) -> Column:

@@ -174,7 +174,7 @@ TOPIC_TERMS = {
 
 FORBIDDEN_WORDS = [
     "پوشش شواهد", "شواهد تأییدشده", "پرونده‌ی فعلی", "پرونده فعلی", "سطح اطمینان", "برداشت اولیه", "به‌صورت خودکار", "منبع بررسی‌شده",
-    "منابع بررسی‌شده", "نقدهای انتخاب‌شده", "مدل زبانی", "هوش مصنوعی", "evidence", "confidence", "متاکریتیک", "poormaz", "امتیاز", "نمره",
+    "منابع بررسی‌شده", "نقدهای انتخاب‌شده", "مدل زبانی", "هوش مصنوعی", "evidence", "confidence", "متاکریتیک", "امتیاز", "نمره",
     "منتقد", "سایت", "وب‌سایت", "منبع",
 ]
 

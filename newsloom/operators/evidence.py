@@ -48,17 +48,13 @@ def audit(points: DataFrame, keys: list[str], min_points: int = MIN_POINTS) -> D
     )
 
 
-def reasons(n: Column, k: Column, min_points: int = MIN_POINTS) -> Column:
-    return F.array_compact(F.array(F.when(n == 0, "none").when(n < min_points, "few"), F.when((n > 0) & (k == 0), "uncategorised")))
-
-
 def catalog(pages: DataFrame, key: str, max_items: int = 150) -> DataFrame:
     """(key, evidence_id, sentence): quotable sentences of title, description and text, numbered.
 
     Sentences are found and made distinct within the row, so nothing is shuffled.
     """
-    every = F.concat(*(text.evidence_sentences(F.col(c)) for c in ("title", "description", "text")))
-    kept = F.slice(text.ordered_distinct(every, F.lower), 1, max_items)
+    every = F.concat(*(text.evidence_sentences(F.col(c), limit=max_items) for c in ("title", "description", "text")))
+    kept = text.ordered_distinct(every, F.lower, max_items)
     return pages.select(key, F.posexplode(kept).alias("_at", "sentence")).select(key, F.format_string("E%03d", F.col("_at") + 1).alias("evidence_id"), "sentence")
 
 
@@ -228,14 +224,14 @@ def editorial_plan(found: DataFrame, keys: list[str], plan=None, least: dict[str
     return out
 
 
-def section_problem(value: Column, site_names: list[str], low: int, high: int) -> Column:
-    """The first reason why a section can't be published; null if there is none."""
+def section_problem(value: Column, site_names: list[str], low: int, high: int, own_name: str = "") -> Column:
+    """The first reason why a section can't be published; null if there is none. ``own_name``: what the publishing site is called, a forbidden word."""
     v = text.clean_unescaped(value)
     folded, words = F.lower(v), F.size(F.filter(F.split(text.clean_unescaped(value), " "), lambda w: w != ""))
     holds = lambda terms: F.exists(F.array(*(F.lit(t.lower()) for t in terms)), lambda t: F.contains(folded, t)) if terms else F.lit(False)
     return (
         F.when(v == "", "empty").when(text.broken(v), "broken").when(words < low, "short").when(words > high, "long")
-        .when(v.rlike(r"https?://|[#*`]|(?:^|\s)-\s"), "markup").when(holds(V.FORBIDDEN_WORDS), "forbidden").when(holds(site_names), "site").when(holds(V.TRAILER_WORDS), "trailer")
+        .when(v.rlike(r"https?://|[#*`]|(?:^|\s)-\s"), "markup").when(holds([*V.FORBIDDEN_WORDS, *([own_name] if own_name else [])]), "forbidden").when(holds(site_names), "site").when(holds(V.TRAILER_WORDS), "trailer")
     )
 
 

@@ -27,9 +27,10 @@ def ordered_distinct(df: DataFrame, key: str, position: str) -> DataFrame:
 
 def one_per_group_first(df: DataFrame, group: str, n: int, *rank: str | Column) -> DataFrame:
     """n rows: the first of each group before any second one, by rank within each."""
+    # no group gives more than its first n rows, so ranks are cut off before the shuffle
     w = Window.partitionBy(group).orderBy(*rank)
-    numbered = df.withColumn("_again", (F.row_number().over(w) > 1).cast("int"))
-    return numbered.orderBy("_again", *rank).limit(n).drop("_again")
+    numbered = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
+    return numbered.orderBy((F.col("_rank") > 1).cast("int"), *rank).limit(n).drop("_rank")
 
 
 def round_robin(pending: DataFrame, rotation: DataFrame, cursor: int, *order: str | Column) -> DataFrame:
@@ -40,8 +41,7 @@ def round_robin(pending: DataFrame, rotation: DataFrame, cursor: int, *order: st
     n = rotation.count()
     start = cursor % n if n else 0
     item = Window.partitionBy("source_name").orderBy(*order)
-    placed = pending.join(F.broadcast(rotation), "source_name") if n <= 100_000 else pending.join(rotation, "source_name")
-    return placed.withColumn("round", F.row_number().over(item) - 1).withColumn("place", F.pmod(F.col("pos") - start, F.lit(max(n, 1))))
+    return pending.join(rotation, "source_name").withColumn("round", F.row_number().over(item) - 1).withColumn("place", F.pmod(F.col("pos") - start, F.lit(max(n, 1))))
 
 
 def greedy_capped(df: DataFrame, group: Sequence[str], order: Sequence[str], caps: dict[str, int | dict[str, int]], limit: int) -> DataFrame:

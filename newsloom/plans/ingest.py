@@ -80,15 +80,6 @@ def q15(spark, sf_dir):
     return state.next_pending(items(spark, sf_dir), run_ts()).select("source_name", "id", "published_ts")
 
 
-@query(
-    "r3_round_robin",
-    f"""SELECT id, source_name, CAST(round AS INTEGER) AS round, CAST((CAST(substr(source_name, 2) AS INTEGER) + 20 - 7) % 20 AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY published_ts DESC, created_at DESC, id) - 1 AS round
-    FROM {ITEMS_SQL} WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= {RUN})) WHERE round < 3""",
-)
-def r3(spark, sf_dir):
-    return _turns(spark, sf_dir).filter("round < 3")
-
-
 def _turns(spark, sf_dir) -> DataFrame:
     rotation = spark.range(20).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("source_name"), F.col("id").cast("int").alias("pos"))
     turns = ordered.round_robin(state.due(items(spark, sf_dir), run_ts()), rotation, 7, F.desc("published_ts"), F.desc("created_at"), "id")
@@ -96,12 +87,12 @@ def _turns(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    "r3_round_robin_all",
+    "r3_round_robin",
     f"""SELECT id, source_name, CAST(row_number() OVER (PARTITION BY source_name ORDER BY published_ts DESC, created_at DESC, id) - 1 AS INTEGER) AS round, CAST((CAST(substr(source_name, 2) AS INTEGER) + 20 - 7) % 20 AS INTEGER) AS place
     FROM {ITEMS_SQL} WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= {RUN})""",
 )
-def r3_all(spark, sf_dir):
-    """Every turn of every source, not only the first three rounds."""
+def r3(spark, sf_dir):
+    """Every turn of every source."""
     return _turns(spark, sf_dir)
 
 
@@ -127,18 +118,6 @@ def q7(spark, sf_dir):
     return state.upsert(before, e).union(missing)
 
 
-@query(
-    "st2_lifecycle",
-    """WITH e AS (SELECT user_id AS item_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'posted' WHEN 'purchase' THEN 'skipped' ELSE 'failed' END AS event, ts AS happened, 'r' || CAST(event_id AS VARCHAR) AS reason FROM events WHERE event_id % 50 = 0),
-    a AS (SELECT item_id, arg_max(event, seq) AS last, count(*) FILTER (event = 'failed') AS failures, max(seq) FILTER (event = 'posted') AS post, arg_max(reason, seq) FILTER (event = 'failed') AS reason, arg_max(happened, seq) FILTER (event = 'failed') AS happened FROM e GROUP BY item_id)
-    SELECT CAST(u AS BIGINT) AS id, CASE WHEN last = 'failed' THEN CASE WHEN failures <= 3 THEN 'pending' ELSE 'failed' END ELSE coalesce(last, 'pending') END AS status, coalesce(CAST(post AS VARCHAR), '') AS wp_post_id, CAST(coalesce(failures, 0) AS INTEGER) AS retry_count,
-    coalesce(CAST(CASE WHEN failures BETWEEN 1 AND 3 THEN CAST(floor(epoch(happened + INTERVAL 45 MINUTE)) AS BIGINT) END AS VARCHAR), '') AS next_retry, coalesce(reason, '') AS last_error FROM (SELECT DISTINCT user_id AS u FROM events) LEFT JOIN a ON u = item_id""",
-)
-def st2(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return _lifecycle(e, e.filter(F.col("event_id") % 50 == 0))
-
-
 def _lifecycle(e: DataFrame, happened: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     log = happened.select(
@@ -152,14 +131,14 @@ def _lifecycle(e: DataFrame, happened: DataFrame) -> DataFrame:
 
 
 @query(
-    "st2_lifecycle_all",
+    "st2_lifecycle",
     """WITH e AS (SELECT user_id AS item_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'posted' WHEN 'purchase' THEN 'skipped' ELSE 'failed' END AS event, ts AS happened, 'r' || CAST(event_id AS VARCHAR) AS reason FROM events),
     a AS (SELECT item_id, arg_max(event, seq) AS last, count(*) FILTER (event = 'failed') AS failures, max(seq) FILTER (event = 'posted') AS post, arg_max(reason, seq) FILTER (event = 'failed') AS reason FROM e GROUP BY item_id),
     f AS (SELECT item_id, happened FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM e WHERE event = 'failed') WHERE k = least(n, 3))
     SELECT CAST(a.item_id AS BIGINT) AS id, CASE WHEN last = 'failed' THEN CASE WHEN failures <= 3 THEN 'pending' ELSE 'failed' END ELSE last END AS status, coalesce(CAST(post AS VARCHAR), '') AS wp_post_id, CAST(failures AS INTEGER) AS retry_count,
     coalesce(CAST(CAST(floor(epoch(happened + INTERVAL 45 MINUTE)) AS BIGINT) AS VARCHAR), '') AS next_retry, coalesce(reason, '') AS last_error FROM a LEFT JOIN f USING (item_id)""",
 )
-def st2_all(spark, sf_dir):
+def st2(spark, sf_dir):
     """The fold of the whole event log."""
     e = table(spark, sf_dir, "events")
     return _lifecycle(e, e)
@@ -193,8 +172,8 @@ def j2_candidates(spark, sf_dir):
     """The set-join part of the title join, which SQL can express: token Jaccard of 0.95 or more."""
     t = _titles(spark, sf_dir)
     k = t.select("id", F.array_distinct(text.tokens(F.col("title_norm"))).alias("t")).filter(F.size(text.tokens(F.col("title_norm"))) >= 5)
-    found = similarity.similar_titles(t.select("id", "title_norm"), t.select("id", "title_norm"), threshold=0.65)
-    pairs = found.filter("new_id > old_id").select("new_id", "old_id")
+    found = similarity.similar_titles(t.select("id", "title_norm"), t.select("id", "title_norm"), threshold=0.65, earlier=True)
+    pairs = found.select("new_id", "old_id")
     both = pairs.join(k.select(F.col("id").alias("new_id"), F.col("t").alias("x")), "new_id").join(k.select(F.col("id").alias("old_id"), F.col("t").alias("y")), "old_id")
     return both.filter(F.size(F.array_intersect("x", "y")) >= F.size(F.array_union("x", "y")) * F.lit(0.95)).select("new_id", "old_id")
 
@@ -203,7 +182,7 @@ def j2_candidates(spark, sf_dir):
 def j2(spark, sf_dir):
     """Each title's best match among earlier ones, at the production threshold."""
     t = _titles(spark, sf_dir)
-    found = similarity.similar_titles(t.select("id", "title_norm"), t.select("id", "title_norm")).filter("new_id > old_id")
+    found = similarity.similar_titles(t.select("id", "title_norm"), t.select("id", "title_norm"), earlier=True)
     best = found.groupBy("new_id").agg(F.max_by(F.struct("old_id", "score"), F.struct("score", "old_id")).alias("b"))
     return best.select(F.col("new_id").alias("doc_id"), F.col("b.old_id").alias("best_id"), F.col("b.score").alias("score"))
 
@@ -212,7 +191,7 @@ def j2(spark, sf_dir):
 def st4(spark, sf_dir):
     """Titles that an earlier one is like: a semi join on the order of processing."""
     t = _titles(spark, sf_dir)
-    found = similarity.similar_titles(t.select("id", "title_norm"), t.select("id", "title_norm")).filter("new_id > old_id")
+    found = similarity.similar_titles(t.select("id", "title_norm"), t.select("id", "title_norm"), earlier=True)
     return t.join(found.select(F.col("new_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import blocks, html, text, udfs, url
 
-from .base import Rows, literal, query, s_clean, s_collapse, s_trim, s_unescape, table
+from .base import Rows, literal, names, query, s_clean, s_collapse, s_trim, s_unescape, table
 
 
 def _first(patterns: list[str], finish, column: str = "html") -> str:
@@ -46,9 +46,9 @@ def h8(spark, sf_dir):
 
 @query("h7_parsed_text")
 def h7(spark, sf_dir):
-    """Title, metadata and text by an event parser."""
-    p = table(spark, sf_dir, "pages").select("page_id", udfs.page_parts(F.col("html")).alias("p"))
-    return p.select("page_id", F.col("p.title").alias("title"), F.size("p.meta").alias("n_meta"), F.length("p.text").alias("n_chars"))
+    """Title, metadata and text of review pages."""
+    h = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", html.page_title(h).alias("title"), F.size(html.page_meta(h)).alias("n_meta"), F.length(html.page_text(h)).alias("n_chars"))
 
 
 @query(
@@ -88,7 +88,7 @@ IMAGE_PAGES = Rows(
 
 @query("h5_article_images", "SELECT * FROM (VALUES (1, 'https://x.com/a/hero.jpg'), (2, 'https://x.com/p/lazy.jpg'), (3, 'https://x.com/p/b.webp'), (5, 'https://t.co/i.png')) AS t(id, image)")
 def h5(spark, sf_dir):
-    c = IMAGE_PAGES.df(spark).select("id", F.posexplode(udfs.image_candidates(F.col("html"))).alias("pos", "u"))
+    c = IMAGE_PAGES.df(spark).select("id", F.posexplode(html.image_candidates(F.col("html"))).alias("pos", "u"))
     usable = c.withColumn("u", udfs.join_url(F.lit("https://x.com/p/index.html"), F.col("u"))).filter(url.is_article_image(F.col("u")))
     return usable.groupBy("id").agg(F.min_by("u", "pos").alias("image"))
 
@@ -96,23 +96,62 @@ def h5(spark, sf_dir):
 INLINE = Rows("id int, s string", [(1, "<b>x</b><script>y</script> & z"), (2, '<a href="https://x.com/?a=1&b=2" onclick="z">l</a>'), (3, '<a href="javascript:x">l</a><br/>t'), (4, "")])
 
 
-@query(
-    "h9_sanitized",
-    """SELECT * FROM (VALUES (1, '<b>x</b>y &amp; z'), (2, '<a href="https://x.com/?a=1&amp;b=2" target="_blank" rel="nofollow noopener">l</a>'), (3, '<a>l</a>t'), (4, '')) AS t(id, s)""",
-)
+# a fragment's pieces by DuckDB: cut at paragraphs and lists, tags looked up by name, text resolved and escaped
+def _esc(x: str) -> str:
+    for char, entity in (("'&'", "&amp;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("chr(34)", "&quot;"), ("chr(39)", "&#x27;")):
+        x = f"replace({x}, {char}, '{entity}')"
+    return x
+
+
+def _href(x: str) -> str:
+    found = [f"nullif(regexp_extract({x}, {literal(p)}, 1), '')" for p in (r"""(?is)[\s/"']href\s*=\s*"([^"]*)\"""", r"""(?is)[\s/"']href\s*=\s*'([^']*)'""", r"""(?is)[\s/"']href\s*=\s*([^\s"'>]+)""")]
+    return f"trim(coalesce({', '.join(found)}, ''))"
+
+
+def s_sanitized(x: str) -> str:
+    name, href = r"lower(regexp_extract(t, '^</?([A-Za-z][^\s/>]*)', 1))", _href(s_unescape("t"))
+    opened = f"""CASE WHEN {name} = 'a' AND regexp_matches(lower({href}), '^https?://') THEN '<a href="' || {_esc(href)} || '" target="_blank" rel="nofollow noopener">' ELSE '<' || {name} || '>' END"""
+    tag = rf"CASE WHEN {name} NOT IN ({names(html.INLINE)}) OR (regexp_matches(t, '/\s*>$') AND NOT starts_with(t, '</')) THEN '' WHEN starts_with(t, '</') THEN '</' || {name} || '>' ELSE {opened} END"
+    pieces = f"regexp_extract_all(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), {literal(f'(?s){html.TAG}|[^<]+|<')})"
+    return s_trim(f"array_to_string(list_transform({pieces}, lambda t: CASE WHEN regexp_matches(t, {literal(f'(?s)^{html.TAG}$')}) THEN {tag} ELSE {_esc(s_unescape('t'))} END), '')")
+
+
+def _p(x: str) -> str:
+    return f"CASE WHEN {x} <> '' THEN '<!-- wp:paragraph -->' || chr(10) || '<p>' || {x} || '</p>' || chr(10) || '<!-- /wp:paragraph -->' ELSE '' END"
+
+
+@query("h9_sanitized", f"SELECT CAST(id AS BIGINT) AS id, md5(s) AS digest FROM (SELECT -id AS id, {s_sanitized('s')} AS s FROM {INLINE.sql()} UNION ALL SELECT page_id, {s_sanitized('html')} FROM pages)")
 def h9(spark, sf_dir):
-    return INLINE.df(spark).select("id", udfs.sanitize_inline(F.col("s")).alias("s"))
+    """Inline formatting of odd fragments and of every page."""
+    rows = INLINE.df(spark).select((-F.col("id")).cast("bigint").alias("id"), "s").union(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return rows.select("id", F.md5(html.sanitize_inline(F.col("s"))).alias("digest"))
 
 
-_PARAS = "list_filter(list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: " + s_clean("x") + "), lambda x: x <> '')"
+FRAGMENTS = Rows(
+    "id int, s string",
+    [
+        (1, "<p>One &amp; <b>two</b></p><ul><li>a <script>x</script></li><li> </li><li><i>b</i></li></ul> tail <p></p>"), (2, "plain <b>text</b> & more"), (3, "<ul>no items</ul>"), (4, ""), (5, None),
+        (6, '<p class="x"><a href="https://x.com/?a=1&amp;b=2" onclick="z">l</a> <a href=javascript:x>m</a><br/></p>between<p>z</p>'), (7, "<ul><li></li></ul>"),
+    ],
+)
+_CUTS = f"string_split(regexp_replace(trim(coalesce(s, '')), {literal('(' + blocks.PIECE + ')')}, chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+_ITEMS = f"regexp_extract_all(inside, {literal(blocks.ITEM)}, 1)"
+_LIST = "'<!-- wp:list -->' || chr(10) || '<ul class=\"wp-block-list\">' || chr(10) || array_to_string(list_transform(items, lambda i: '<!-- wp:list-item -->' || chr(10) || '<li>' || i || '</li>' || chr(10) || '<!-- /wp:list-item -->'), chr(10)) || chr(10) || '</ul>' || chr(10) || '<!-- /wp:list -->'"
 
 
 @query(
     "h10_blocks",
-    f"SELECT page_id, md5(array_to_string(list_transform(CASE WHEN len(l) > 0 THEN l ELSE [{s_clean('html')}] END, lambda x: '<!-- wp:paragraph -->' || chr(10) || '<p>' || x || '</p>' || chr(10) || '<!-- /wp:paragraph -->'), chr(10) || chr(10))) AS digest FROM (SELECT page_id, html, {_PARAS} AS l FROM pages)",
+    f"""WITH f AS (SELECT page_id AS id, html AS s FROM pages UNION ALL SELECT CAST(-id AS BIGINT), s FROM {FRAGMENTS.sql()}), c AS (SELECT id, s, unnest({_CUTS}) AS part, generate_subscripts({_CUTS}, 1) AS k FROM f),
+    r AS (SELECT *, regexp_matches(part, '(?is)^<p\\b[^>]*>.*</p>$') AS is_p, regexp_matches(part, '(?is)^<ul\\b[^>]*>.*</ul>$') AS is_ul, regexp_extract(part, '(?is)^<(?:p|ul)\\b[^>]*>(.*)</(?:p|ul)>$', 1) AS inside FROM c WHERE part <> ''),
+    w AS (SELECT *, {s_sanitized('inside')} AS inline, list_filter(list_transform({_ITEMS}, lambda i: {s_sanitized('i')}), lambda i: i <> '') AS items, len({_ITEMS}) AS n, {_esc(s_clean('inside'))} AS inside_text, {_esc(s_clean('part'))} AS part_text FROM r),
+    b AS (SELECT id, k, CASE WHEN is_p THEN {_p('inline')} WHEN is_ul AND n = 0 THEN {_p('inside_text')} WHEN is_ul AND len(items) = 0 THEN '' WHEN is_ul THEN {_LIST} ELSE {_p('part_text')} END AS block FROM w),
+    j AS (SELECT id, string_agg(block, chr(10) || chr(10) ORDER BY k) AS blocks FROM b WHERE block <> '' GROUP BY id), x AS (SELECT id, {_esc(s_clean('s'))} AS plain FROM f)
+    SELECT x.id AS id, md5(coalesce(blocks, {_p('plain')})) AS digest FROM x LEFT JOIN j USING (id)""",
 )
 def h10(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(blocks.paragraphs(F.col("html"))).alias("digest"))
+    """Every page, and fragments with lists, links and text between, as editor blocks."""
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("s")).union(FRAGMENTS.df(spark).select((-F.col("id")).cast("bigint"), "s"))
+    return rows.select("id", F.md5(blocks.article(F.col("s"))).alias("digest"))
 
 
 MARKDOWN = Rows("id int, s string", [(1, "# Title\n\n- **bold** [l](https://x.com)\n- two\n\n> q\n\n---\ntext *em*"), (2, "<div>\nraw\n</div>"), (3, "| a | b |\n|---|---|\n| c | d |")])

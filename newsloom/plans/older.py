@@ -25,20 +25,14 @@ def v2(spark, sf_dir):
     return LISTS.df(spark).select("id", F.array_join(F.slice(text.ordered_distinct(parts, F.lower), 1, 8), "|").alias("items"))
 
 
-@query("v4_word_counts", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: length(w) > 1)) AS INTEGER) AS n FROM documents WHERE lang = 'en'")
-def v4(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return d.select("doc_id", F.size(F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1)), lambda w: F.length(w) > 1)).alias("n"))
-
-
 def word_count(c):
     """Words of two characters or more of cleaned text: what Python's [\\w\\u0600-\\u06FF]+ finds."""
     words = F.regexp_extract_all(text.clean_text(c), F.lit(r"([\p{L}\p{N}_\u0600-\u06FF]+)"), F.lit(1))
     return F.size(F.filter(words, lambda w: F.length(w) > 1))
 
 
-@query("v4_word_counts_all")
-def v4_all(spark, sf_dir):
+@query("v4_word_counts")
+def v4(spark, sf_dir):
     """Word counts of all documents, in any script."""
     return table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n"))
 

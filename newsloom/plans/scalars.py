@@ -121,7 +121,7 @@ FIRST_LINE = "string_split(text, chr(10))[1]"
 
 
 def titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("title"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.split("text", "\n")[0].alias("title"), "text")
 
 
 @query("t1_clean_text", f"SELECT page_id, md5({s_clean('html')}) AS cleaned, md5({s_clean_unescaped('html')}) AS unescaped FROM pages")
@@ -221,7 +221,7 @@ def t12(spark, sf_dir):
 
 @query("t12_content_type_documents", _sql_type(_INVENTED, "documents", "doc_id", FIRST_LINE, "lang", "text"))
 def t12_documents(spark, sf_dir):
-    return titles(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", text.infer_content_type(F.col("title"), F.col("lang"), F.col("text"), _INVENTED).alias("content_type"))
+    return titles(spark, sf_dir).select("doc_id", text.infer_content_type(F.col("title"), F.col("lang"), F.col("text"), _INVENTED).alias("content_type"))
 
 
 KINDS = Rows("id int, raw string, fallback string", [(1, "Games", "general"), (2, " tech ", "general"), (3, "Review", "x"), (4, "??", "gaming"), (5, None, "nope"), (6, "hardware", "general"), (7, "", "review")])

@@ -1,4 +1,4 @@
-"""Queries that cover their whole tables, where older ones take a part."""
+"""Queries cover their whole tables."""
 
 import re
 
@@ -27,10 +27,10 @@ def test_words_of_any_script(spark):
 def test_all_documents_events_and_turns(spark):
     q = __spark_entry__.queries()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    assert {r.doc_id: r.n for r in q["v4_word_counts_all"](spark, SF).collect()} == {r.doc_id: plain_count(r.text) for r in docs}
+    assert {r.doc_id: r.n for r in q["v4_word_counts"](spark, SF).collect()} == {r.doc_id: plain_count(r.text) for r in docs}
     failed = spark.read.parquet(f"{SF}/events.parquet").filter("event_type NOT IN ('view', 'purchase')").count()
-    assert q["st2_lifecycle_all"](spark, SF).agg(F.sum("retry_count")).first()[0] == failed
-    assert q["r3_round_robin_all"](spark, SF).agg(F.max("round")).first()[0] >= 3
+    assert q["st2_lifecycle"](spark, SF).agg(F.sum("retry_count")).first()[0] == failed
+    assert q["r3_round_robin"](spark, SF).agg(F.max("round")).first()[0] >= 3
 
 
 def test_final_failure_leaves_the_last_cooldown(spark):
