@@ -127,7 +127,7 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(*(or_null(x) for x in found), F.lit(""))
 
 
-def _tags(html: Column, names: str) -> Column:
+def tags(html: Column, names: str) -> Column:
     return F.regexp_extract_all(blank(html), F.lit(rf"(?is)(<(?:{names})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
 
 
@@ -138,7 +138,7 @@ def page_title(html: Column) -> Column:
 def page_meta(html: Column) -> Column:
     """map<string, string>: contents of meta tags by property, name or itemprop, in lower case; the first of each counts."""
     named = lambda t: F.lower(trim(F.coalesce(*(or_null(attribute(t, k)) for k in ("property", "name", "itemprop")), F.lit(""))))
-    every = F.transform(_tags(html, "meta"), lambda t: F.struct(named(t).alias("key"), trim(attribute(t, "content")).alias("value")))
+    every = F.transform(tags(html, "meta"), lambda t: F.struct(named(t).alias("key"), trim(attribute(t, "content")).alias("value")))
     kept = F.filter(every, lambda x: (x["key"] != "") & (x["value"] != ""))
     keys = F.array_distinct(F.transform(kept, lambda x: x["key"]))
     return F.map_from_arrays(keys, udfs.unescape_each(F.transform(keys, lambda k: F.filter(kept, lambda x: x["key"] == k)[0]["value"])))
@@ -157,13 +157,13 @@ _LAZY = ["data-src", "data-lazy-src", "data-original", "data-flickity-lazyload",
 
 def image_candidates(html: Column) -> Column:
     """Image references of a page in order of preference, as written: those it declares, then those after its headline."""
-    metas = _tags(html, "meta")
+    metas = tags(html, "meta")
     declared = [
         F.coalesce(F.try_element_at(F.transform(F.filter(metas, lambda t: F.lower(attribute(t, key)).isin(names) & (trim(attribute(t, "content")) != "")), lambda t: trim(attribute(t, "content"))), F.lit(1)), F.lit(""))  # noqa: B023
         for key, names in _DECLARED
     ]
     after = F.regexp_extract(blank(html), r"(?is)</h1\s*>(.*)", 1)
-    each = F.transform(_tags(after, "img|source"), lambda t: F.array(largest_srcset(attribute(t, "data-srcset")), largest_srcset(attribute(t, "srcset")), *(attribute(t, k) for k in _LAZY)))
+    each = F.transform(tags(after, "img|source"), lambda t: F.array(largest_srcset(attribute(t, "data-srcset")), largest_srcset(attribute(t, "srcset")), *(attribute(t, k) for k in _LAZY)))
     every = udfs.unescape_each(F.transform(F.concat(F.array(*declared), F.flatten(each)), trim))
     return F.array_distinct(F.filter(every, lambda x: (x != "") & ~F.lower(x).rlike("^(?:data|javascript):")))
 

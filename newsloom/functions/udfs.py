@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -63,6 +64,24 @@ def join_url(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([urljoin(x or "", y or "") for x, y in zip(base, url, strict=True)], index=base.index)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_nodes(c: pd.Series) -> pd.Series:
+    """Every object of a list of JSON documents, nested ones too, as JSON text in document order."""
+
+    def of(documents) -> list[str]:
+        todo, found = [json.loads(d) for d in documents if d is not None][::-1], []
+        while todo:
+            node = todo.pop()
+            if isinstance(node, dict):
+                found.append(json.dumps(node, ensure_ascii=False))
+                node = list(node.values())
+            if isinstance(node, list):
+                todo.extend(reversed(node))
+        return found
+
+    return c.map(lambda x: [] if x is None else of(x))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def unescape_each(c: pd.Series) -> pd.Series:
     """All HTML entities of each text of a list resolved."""

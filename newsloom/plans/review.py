@@ -338,6 +338,10 @@ PAGES = Rows(
         (1, "wccftech.com", "Gaming Score 10 the best", "", "<p>none</p>"), (2, "wccftech.com", "Gaming 8.5 fine", "", ""), (3, "x.com", "Final score: 8/10. Rating 4 out of 5", "", ""), (4, "x.com", "user rating 9/10", "", ""),
         (5, "x.com", "", "", '<script type="application/ld+json">{"@type":"Review","reviewRating":{"ratingValue":"80","bestRating":"100"}}</script>'),
         (6, "x.com", "verdict 7/10", "", '<meta itemprop="ratingValue" content="9.5">'), (7, "x.com", "", "", '<span class="review-score">  91 / 100</span>'), (8, "y.com", "it took 30 hours", "", ""),
+        (11, "x.com", "", "", '<script type="application/ld+json">{"@graph": [{"@type": ["CriticReview", "Review"], "itemReviewed": {"@type": "Game"}, "reviewRating": {"@type": "Rating", "ratingValue": 4, "bestRating": 5}}]}</script>'),
+        (12, "x.com", "", "", '<script type="application/ld+json">{"@type": "Game", "review": {"@type": "Review", "ratingValue": "7/10"}}</script>'),
+        (13, "x.com", "", "", '<meta name="user-reviewrating" content="9"><meta name="reviewrating" content="4.5" scale="5">'), (14, "www.wccftech.com", "Score: 9.5 of all the Gaming there is", "", ""),
+        (15, "x.com", "", "", '<script type="application/ld+json">{"@type": "AggregateReview", "reviewRating": {"ratingValue": 3}}</script>'), (16, "wccftech.com", "user score Gaming 7", "", ""),
         (9, "m.com", "Metascore 88 and more", "Metascore: 77", ""), (10, "m.com", "Metascore based on 60 critic reviews 91", "", '"criticScoreSummary": {"score": 85, "reviewCount": 50}'),
     ],
 )
@@ -345,7 +349,7 @@ PAGES = Rows(
 
 @query(
     "a6_review_scores",
-    "SELECT * FROM (VALUES (1, 10.0, 98, '10/10'), (2, 8.5, 98, '8.5/10'), (3, 8.0, 82, '8/10'), (5, 8.0, 100, '80/100'), (6, 9.5, 90, '9.5/10'), (7, 9.1, 86, '91/100')) AS t(id, score_10, confidence, shown)",
+    "SELECT * FROM (VALUES (1, 10.0, 98, '10/10'), (2, 8.5, 98, '8.5/10'), (3, 8.0, 82, '8/10'), (5, 8.0, 100, '80/100'), (6, 9.5, 90, '9.5/10'), (7, 9.1, 86, '91/100'), (11, 8.0, 100, '4/5'), (12, 7.0, 95, '7/10'), (13, 9.0, 90, '4.5/5'), (14, 9.5, 98, '9.5/10')) AS t(id, score_10, confidence, shown)",
 )
 def a6(spark, sf_dir):
     s = PAGES.df(spark).select("id", scoring.review_score(F.col("page"), F.col("visible"), F.col("host")).alias("s")).filter("s IS NOT NULL")
