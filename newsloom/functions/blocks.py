@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from . import html as html_functions
 from . import udfs
+from .scores import number_text
 from .text import blank, clean_text, or_null
+from .text import lookup as text_lookup
 
 #: fixed values: what is a block of its own, and how the editor delimits blocks
 PIECE = r"(?is)<p\b[^>]*>(.*?)</p>|<ul\b[^>]*>(.*?)</ul>"
@@ -32,11 +34,12 @@ def bullets(items: Column) -> Column:
     return F.when(F.size(each) > 0, F.concat(F.lit('<!-- wp:list -->\n<ul class="wp-block-list">\n'), F.array_join(each, "\n"), F.lit("\n</ul>\n<!-- /wp:list -->"))).otherwise("")
 
 
-def article(fragment: Column) -> Column:
+def article(fragment: Column, sanitize: bool = True) -> Column:
     """An article as editor blocks, in order: paragraphs and lists with their inline formatting, text between them as paragraphs.
 
     The fragment is cut at its paragraphs and lists; the inner fragments of all pieces are sanitized together, with one
-    call for their entities, and each piece is rendered by its kind.
+    call for their entities, and each piece is rendered by its kind. ``sanitize=False``: inline markup stays as it is, as in
+    the first generation.
     """
     raw = F.trim(blank(fragment))
     parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(raw, "[\x01-\x04]", ""), f"({PIECE})", f"{_CUT}$1{_CUT}"), _CUT), lambda x: x != "")
@@ -50,7 +53,7 @@ def article(fragment: Column) -> Column:
     text = lambda x: paragraph(html_functions.escape(clean_text(x)))
 
     def block(x: Column) -> Column:
-        done = F.zip_with(x["pieces"], x["plain"], html_functions.sanitized)
+        done = F.zip_with(x["pieces"], x["plain"], html_functions.sanitized) if sanitize else F.transform(x["pieces"], lambda y: F.trim(F.array_join(y, "")))
         listed = F.when(F.size(x["pieces"]) > 0, bullets(done)).otherwise(text(inner(x["part"], "ul")))
         return F.when(is_paragraph(x["part"]), paragraph(F.coalesce(F.get(done, F.lit(0)), F.lit("")))).when(is_list(x["part"]), listed).otherwise(text(x["part"]))
 
@@ -88,6 +91,42 @@ def ring_offset(score: Column) -> Column:
     return F.round(F.lit(339.292) * (1 - score / 10), 3)
 
 
+VERDICTS = ["شاهکار", "ارزش تجربه", "انتخاب خوب", "متوسط", "پیشنهاد نمی‌شود"]
+COLORS = ["#e7b24e", "#f0637e", "#d22b4b", "#c9974a", "#948da3"]
+_TIERS = ["outstanding", "great", "good", "fair", "weak"]
+
+
+def scorecard(style: Column, overall: Column, rows: Column, eyebrow: str, prefix: str = "score") -> Column:
+    """The scorecard as one line of markup: a ring for the overall score, a bar for each of ``rows``, array<struct<label, score_10>>.
+
+    Values are rendered, not scripted. ``style``: the text of a style sheet over the classes that begin with ``prefix``. Empty
+    without an overall score or rows.
+    """
+    score = F.least(F.greatest(overall, F.lit(0.0)), F.lit(10.0))
+    named = lambda values: text_lookup(tier(score), dict(zip(_TIERS, values, strict=True)))
+    fixed = lambda c, places: F.format_string(f"%.{places}f", c)
+    tag = lambda kind, body, name="div", more="": F.concat(F.lit(f'<{name} class="{prefix}-{kind}"{more}>'), body, F.lit(f"</{name}>"))
+    out_of = F.lit("<small>/10</small>")
+
+    def bar(x: Column) -> Column:
+        s = F.least(F.greatest(x["score_10"].cast("double"), F.lit(0.0)), F.lit(10.0))
+        head = tag("top", F.concat(tag("label", html_functions.escape(clean_text(x["label"])), "span"), tag("value", F.concat(number_text(s), out_of), "span")))
+        fill = F.concat(F.lit(f'<div class="{prefix}-fill" style="width:'), fixed(bar_width(s), 1), F.lit('%"></div>'))
+        return tag("row", F.concat(head, tag("track", fill)))
+
+    circle = f'<circle class="{prefix}-%s" cx="60" cy="60" r="54"'
+    ring = F.concat(
+        F.lit('<svg viewBox="0 0 120 120" role="img">' + circle % "ring" + "></circle>" + circle % "arc" + ' stroke-dasharray="339.292" stroke-dashoffset="'), fixed(ring_offset(score), 3), F.lit('"></circle></svg>'),
+        tag("number", F.concat(number_text(score), out_of)),
+    )
+    verdict = tag("verdict", F.concat(tag("eyebrow", F.lit(eyebrow)), tag("wrap", ring), tag("word", named(VERDICTS))))
+    whole = F.concat(
+        F.lit(f'<div data-scorecard="1" class="{prefix}-widget" dir="rtl" style="--tier:'), named(COLORS), F.lit('"><style>'), style, F.lit("</style>"),
+        verdict, F.lit(f'<div class="{prefix}-divider"></div>'), tag("aspects", F.array_join(F.transform(rows, bar), "")), F.lit("</div>"),
+    )
+    return F.when(overall.isNotNull() & (F.size(rows) > 0), whole).otherwise("")
+
+
 def bar_width(score: Column) -> Column:
     return F.round(score * 10, 1)
 

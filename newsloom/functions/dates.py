@@ -39,3 +39,10 @@ def display_date(c: Column) -> Column:
     when = F.coalesce(F.when(rfc822(c).isNotNull(), day), iso(c))
     months = F.array(*(F.lit(m) for m in V.MONTHS_FA))
     return F.when(text == "", "").when(when.isNotNull(), F.concat_ws(" ", F.dayofmonth(when), F.element_at(months, F.month(when)), F.year(when))).otherwise(trim(F.substring_index(text, "+", 1)))
+
+
+def created_at(c: Column) -> Column:
+    """A stored creation time: one without an offset, as the first generations wrote it, is in UTC; null if it is no time."""
+    s = F.trim(c)
+    zoned = s.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, s.try_cast("timestamp")).otherwise(F.concat(s, F.lit("Z")).try_cast("timestamp"))

@@ -138,10 +138,11 @@ def page_title(html: Column) -> Column:
 def page_meta(html: Column) -> Column:
     """map<string, string>: contents of meta tags by property, name or itemprop, in lower case; the first of each counts."""
     named = lambda t: F.lower(trim(F.coalesce(*(or_null(attribute(t, k)) for k in ("property", "name", "itemprop")), F.lit(""))))
-    every = F.transform(tags(html, "meta"), lambda t: F.struct(named(t).alias("key"), trim(attribute(t, "content")).alias("value")))
-    kept = F.filter(every, lambda x: (x["key"] != "") & (x["value"] != ""))
-    keys = F.array_distinct(F.transform(kept, lambda x: x["key"]))
-    return F.map_from_arrays(keys, udfs.unescape_each(F.transform(keys, lambda k: F.filter(kept, lambda x: x["key"] == k)[0]["value"])))
+    kept = F.filter(tags(html, "meta"), lambda t: (named(t) != "") & (trim(attribute(t, "content")) != ""))
+    keys = F.transform(kept, named)
+    values = udfs.unescape_each(F.transform(kept, lambda t: trim(attribute(t, "content"))))
+    first = F.filter(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda x, at: F.array_position(keys, x["key"]) == at + 1)
+    return F.map_from_entries(first)
 
 
 def page_text(html: Column) -> Column:

@@ -224,3 +224,29 @@ def game_status(c: Column) -> Column:
 
 def is_true(c: Column) -> Column:
     return F.lower(F.trim(blank(c))).isin(V.TRUE_WORDS)
+
+
+def keyword_type(c: Column) -> Column:
+    """The second generation's kind of a text in lower case: the first group of keywords that it contains."""
+    out = F.when(F.lit(False), F.lit(""))
+    for kind, words in V.KEYWORD_CATEGORIES.items():
+        out = out.when(F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(c, w)), kind)
+    return out.otherwise("general")
+
+
+def persian_word_count(c: Column) -> Column:
+    """Words of two characters or more of cleaned text: what Python's [\\w\\u0600-\\u06FF]+ finds."""
+    words = F.regexp_extract_all(clean_text(c), F.lit(r"([\p{L}\p{N}_\u0600-\u06FF]+)"), F.lit(1))
+    return F.size(F.filter(words, lambda w: F.length(w) > 1))
+
+
+def payload_errors(least: dict[str, int], body: str, min_words: int = 0) -> Column:
+    """Names of required columns that are shorter than they must be, and ``short`` for a body of too few words."""
+    found = [F.when(F.length(F.trim(blank(F.col(c)))) < n, c) for c, n in least.items()]
+    return F.array_compact(F.array(*found, F.when(persian_word_count(F.col(body)) < min_words, "short")))
+
+
+def post_payload(title: Column, body: Column, media: Column) -> Column:
+    """struct<title, content, slug, excerpt, featured_media> of a post; no excerpt is longer than 300 characters."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.struct(title.alias("title"), body.alias("content"), F.substring(slug, 1, 85).alias("slug"), F.substring(body, 1, 300).alias("excerpt"), media.alias("featured_media"))

@@ -73,10 +73,21 @@ def merged(cached: DataFrame, candidate: DataFrame, keys: list[str], limit: int
     return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").withColumn("place", F.row_number().over(placed)).filter(F.col("place") <= limit).drop("_n", "_key", "_from")
 
 
+def clean_point(claim: Column, quote: Column, low: int = 8, high: int = 26) -> Column:
+    """Whether a clean claim and its quote are complete, readable, of a quotable length, and agree."""
+    return (quote != "") & (claim != "") & ~text.broken(quote) & ~text.broken(claim) & text.evidence_word_count(quote).between(low, high) & text.claim_compatible(claim, quote)
+
+
+def manual_point_valid(claim: Column, quote: Column) -> Column:
+    """Whether a point entered by hand has a claim of three characters and a quote of 8 to 22 words."""
+    fa, en = text.clean_unescaped(claim), text.clean_unescaped(quote)
+    return (F.length(fa) >= 3) & (F.length(en) >= 8) & text.evidence_word_count(quote).between(8, 22)
+
+
 def needs_upgrade(points: DataFrame, keys: list[str], low: int = 8, high: int = 26) -> DataFrame:
     """Whether an analysis has an unclean point, or one quote in two sections."""
     quote, claim = text.clean_unescaped(F.col("evidence_en")), text.clean_unescaped(F.col("point_fa"))
-    clean = (quote != "") & (claim != "") & ~text.broken(quote) & ~text.broken(claim) & text.evidence_word_count(quote).between(low, high) & text.claim_compatible(claim, quote)
+    clean = clean_point(claim, quote, low, high)
     by_quote = points.select(*keys, "section", clean.alias("clean"), F.lower(quote).alias("quote")).groupBy(*keys, "quote").agg(F.bool_and("clean").alias("clean"), F.min("section").alias("a"), F.max("section").alias("b"))
     return by_quote.groupBy(*keys).agg(F.bool_or(~F.col("clean") | (F.col("a") != F.col("b"))).alias("needs_upgrade"))
 
@@ -224,7 +235,7 @@ def editorial_plan(found: DataFrame, keys: list[str], plan=None, least: dict[str
     return out
 
 
-def section_problem(value: Column, site_names: list[str], low: int, high: int, own_name: str = "") -> Column:
+def section_problem(value: Column, site_names: list[str], low: int | Column, high: int | Column, own_name: str = "") -> Column:
     """The first reason why a section can't be published; null if there is none. ``own_name``: what the publishing site is called, a forbidden word."""
     v = text.clean_unescaped(value)
     folded, words = F.lower(v), F.size(F.filter(F.split(text.clean_unescaped(value), " "), lambda w: w != ""))

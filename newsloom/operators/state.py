@@ -101,8 +101,9 @@ def due(items: DataFrame, run_ts: Column) -> DataFrame:
     return items.filter((F.col("status") == "pending") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= run_ts)))
 
 
-def next_pending(items: DataFrame, run_ts: Column) -> DataFrame:
-    """The newest item that is due, of every source at once."""
+def next_pending(items: DataFrame, run_ts: Column | None) -> DataFrame:
+    """The newest item that is due, of every source at once. Without a time, as in the first generation, a cooldown does not count."""
     from .ordered import first_of_each
 
-    return first_of_each(due(items, run_ts), ["source_name"], F.coalesce("published_ts", F.lit(0)).desc(), F.desc("created_at"), "id")
+    waiting = items.filter(F.col("status") == "pending") if run_ts is None else due(items, run_ts)
+    return first_of_each(waiting, ["source_name"], F.coalesce("published_ts", F.lit(0)).desc(), F.desc("created_at"), "id")

@@ -9,7 +9,7 @@ from newsloom.functions import text, url
 from newsloom.operators import ordered, similarity, state
 from newsloom.sources import readers
 
-from .base import Rows, query, s_canonical, s_identity, s_title, s_tokens, s_trim, table
+from .base import Rows, query, s_canonical, s_title, s_tokens, s_trim, table
 from .scalars import FIRST_LINE, SPELLED, spelled
 
 RUN = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -193,34 +193,3 @@ def st4(spark, sf_dir):
     t = _titles(spark, sf_dir)
     found = similarity.similar_titles(t.select("id", "title_norm"), t.select("id", "title_norm"), earlier=True)
     return t.join(found.select(F.col("new_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"))
-
-
-# --- lookups ------------------------------------------------------------------------------------
-
-
-@query(
-    "j4_localization",
-    """WITH dim AS (SELECT key, min(p) AS p FROM (SELECT lower(p_name) AS key, p_partkey AS p FROM part) GROUP BY key), tags AS (SELECT p_partkey AS id, lower(p_name) AS t, 0 AS pos FROM part UNION ALL SELECT p_partkey, lower(p_brand), 1 FROM part)
-    SELECT id, arg_min(dim.p, pos) AS page FROM tags JOIN dim ON dim.key = tags.t GROUP BY id""",
-)
-def j4(spark, sf_dir):
-    """The first of an item's tags that has a page, by loose key."""
-    part = table(spark, sf_dir, "part")
-    dim = part.groupBy(F.lower("p_name").alias("key")).agg(F.min("p_partkey").alias("page"))
-    tags = part.select(F.col("p_partkey").alias("id"), F.posexplode(F.array(F.lower("p_name"), F.lower("p_brand"))).alias("pos", "key"))
-    return tags.join(dim, "key").groupBy("id").agg(F.min_by("page", "pos").alias("page"))
-
-
-@query(
-    "j6_related",
-    f"""WITH c AS (SELECT page_id AS id, url AS link, 0 AS prio FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, url, 1 FROM pages WHERE page_id % 2 = 0),
-    f AS (SELECT id, link, min(prio) AS prio FROM c WHERE {s_identity('link')} NOT IN (SELECT {s_identity('url')} FROM pages WHERE page_id % 4 = 0) GROUP BY id, link)
-    SELECT id, link, CAST(prio AS INTEGER) AS prio FROM f ORDER BY prio, id LIMIT 40""",
-)
-def j6(spark, sf_dir):
-    """Two lookups by priority, one row each, without what is excluded, the first few."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("link"))
-    by_tag, by_word = pages.filter("id % 3 = 0").withColumn("prio", F.lit(0)), pages.filter("id % 2 = 0").withColumn("prio", F.lit(1))
-    excluded = pages.filter("id % 4 = 0").select(url.identity(F.col("link")).alias("identity")).distinct()
-    found = by_tag.union(by_word).withColumn("identity", url.identity(F.col("link"))).join(excluded, "identity", "left_anti")
-    return found.groupBy("id", "link").agg(F.min("prio").alias("prio")).orderBy("prio", "id").limit(40)

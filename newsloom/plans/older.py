@@ -25,16 +25,10 @@ def v2(spark, sf_dir):
     return LISTS.df(spark).select("id", F.array_join(F.slice(text.ordered_distinct(parts, F.lower), 1, 8), "|").alias("items"))
 
 
-def word_count(c):
-    """Words of two characters or more of cleaned text: what Python's [\\w\\u0600-\\u06FF]+ finds."""
-    words = F.regexp_extract_all(text.clean_text(c), F.lit(r"([\p{L}\p{N}_\u0600-\u06FF]+)"), F.lit(1))
-    return F.size(F.filter(words, lambda w: F.length(w) > 1))
-
-
 @query("v4_word_counts")
 def v4(spark, sf_dir):
     """Word counts of all documents, in any script."""
-    return table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.persian_word_count(F.col("text")).alias("n"))
 
 
 PHOTOS = Rows("id int, large2x string, large string, original string, medium string", [(1, None, "l", "o", "m"), (2, "x", "l", "o", "m"), (3, "", None, "o", None), (4, None, None, None, None)])

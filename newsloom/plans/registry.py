@@ -1,6 +1,6 @@
 """All registered queries of the reference's operators."""
 
-from . import ingest, markup, older, review, scalars  # noqa: F401
+from . import articles, ingest, markup, older, posts, review, scalars  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import scores, text, url
 from newsloom.functions import vocabulary as V
 from newsloom.operators import evidence, scoring
+from newsloom.sources import readers
 
 from .base import (
     Rows,
@@ -112,7 +113,16 @@ def a4(spark, sf_dir):
     return card(spark).select(*KEYS, "category", F.round("direction", 9).alias("direction"), "evidence_count", "source_count", "score_10", "trend")
 
 
-@query("a5_balanced_scorecard")
+_STEPS = f"""WITH c AS (SELECT *, CAST(list_position([{names(V.SCORECARD_CATEGORIES)}], category) AS INTEGER) AS place, CAST(round(score_10 * 2) AS INTEGER) AS unit FROM {CARD}),
+  g AS (SELECT *, CAST(round_even(overall_10 * 2, 0) AS INTEGER) * 6 - CAST(sum(unit) OVER (PARTITION BY game, platform) AS INTEGER) AS gap FROM c),
+  s AS (SELECT *, unnest(range(0, CAST(least(abs(gap), CASE WHEN gap > 0 THEN 20 - unit ELSE unit - 2 END) AS BIGINT))) AS step FROM g),
+  t AS (SELECT *, unit + sign(gap) * step AS now FROM s),
+  r AS (SELECT game, platform, place, row_number() OVER (PARTITION BY game, platform ORDER BY -sign(gap) * (raw_10 * 2 - now), -sign(gap) * direction, evidence_count DESC, now, place) AS turn, abs(gap) AS n FROM t),
+  m AS (SELECT game, platform, place, count(*) AS moves FROM r WHERE turn <= n GROUP BY ALL)
+  SELECT game, platform, category, CAST((unit + sign(gap) * coalesce(moves, 0)) / 2 AS DOUBLE) AS score_10 FROM g LEFT JOIN m USING (game, platform, place)"""
+
+
+@query("a5_balanced_scorecard", _STEPS)
 def a5(spark, sf_dir):
     return scoring.balanced(card(spark), KEYS).select(*KEYS, "category", "score_10")
 
@@ -151,12 +161,6 @@ def a12(spark, sf_dir):
     return d.groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("usable"), (F.count("*") - F.sum("quality")).alias("thin"))
 
 
-@query("a12_quality_rows", f"""SELECT game, platform, source_no, count(*) AS total_points, count(category) AS categorised, CASE WHEN count(*) < 2 OR count(category) = 0 THEN 'thin' ELSE 'usable' END AS kind FROM {CLASSED} GROUP BY ALL""")
-def a12_rows(spark, sf_dir):
-    a = evidence.audit(POINTS.df(spark), [*KEYS, "source_no"])
-    return a.select(*KEYS, "source_no", F.col("verified_points").alias("total_points"), F.col("categorised_points").alias("categorised"), F.when(F.col("status") == "acceptable", "usable").otherwise("thin").alias("kind"))
-
-
 # --- sentences and catalogs ---------------------------------------------------------------------
 
 _SENT_SPLIT = "list_filter(list_transform(string_split(regexp_replace({x}, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^[ \\-–—]+|[ \\-–—]+$', '', 'g')), lambda s: s <> '' AND len(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_''-]*')) BETWEEN 8 AND 26)"
@@ -237,7 +241,14 @@ def st6(spark, sf_dir):
 CHOSEN = Rows("game string, section string, pos int, evidence_id string, point_fa string, evidence_en string", [("A", "positives", 1, "E001", "جهان باز است", "The open world is big"), ("A", "positives", 2, "E001", "تکرار", "The open world is big"), ("A", "negatives", 1, "E001", "باز", "The open world is big"), ("A", "negatives", 2, "E002", "کوتاه است", "It is short"), ("A", "positives", 3, "E003", "نبرد خوب", "No such thing here"), ("A", "technical_notes", 1, "E004", "باگ دارد", "A bug is here")])
 
 
-@query("r8_selected_points")
+_CHOSEN = f"(SELECT *, CASE section WHEN 'positives' THEN 1 WHEN 'negatives' THEN 2 ELSE 3 END AS s FROM {CHOSEN.sql()} WHERE {_sql_compatible(s_clean_unescaped('point_fa'), 'lower(' + s_clean_unescaped('evidence_en') + ')')})"
+
+
+@query(
+    "r8_selected_points",
+    f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY game, evidence_id ORDER BY s, pos) AS i, row_number() OVER (PARTITION BY game, lower(evidence_en) ORDER BY s, pos) AS q FROM {_CHOSEN}),
+    b AS (SELECT *, row_number() OVER (PARTITION BY game, section ORDER BY pos) AS k FROM a WHERE i = 1 AND q = 1) SELECT game, section, evidence_id FROM b WHERE k <= CASE section WHEN 'technical_notes' THEN 2 ELSE 3 END""",
+)
 def r8(spark, sf_dir):
     return evidence.select_catalog_points(CHOSEN.df(spark), ["game"], {"positives": 3, "negatives": 3, "technical_notes": 2}).select("game", "section", "evidence_id")
 
@@ -260,9 +271,45 @@ def f7(spark, sf_dir):
     return POINTS.df(spark).select("game", "source_no", "section", "pos", evidence.is_specific(F.col("point_fa"), F.col("evidence_en")).alias("specific"))
 
 
-@query("r7_editorial_plan")
+# facts of customers: each order is one, with a topic, a sentiment and a site
+_TOPICS = ["world_design", "gameplay", "story", "technical", "visuals", "audio", "general"]
+FACTS_SQL = f"""(SELECT o_custkey AS article, 'F' || CAST(o_orderkey AS VARCHAR) AS fact_id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 's' || CAST(o_orderkey % 4 AS VARCHAR) END AS site_name, list_extract([{names(_TOPICS)}], CAST(o_orderkey % 7 + 1 AS INTEGER)) AS topic,
+  CASE o_orderstatus WHEN 'O' THEN 'positive' WHEN 'F' THEN 'negative' ELSE 'caution' END AS sentiment, CAST(o_orderkey % 3 AS INTEGER) AS specificity, CAST(10 + o_orderkey % 5 AS INTEGER) AS n FROM orders)"""
+
+
+def _facts(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select(
+        F.col("o_custkey").alias("article"), F.concat(F.lit("F"), k.cast("string")).alias("fact_id"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("s"), (k % 4).cast("string"))).alias("site_name"),
+        F.array(*(F.lit(t) for t in _TOPICS))[(k % 7).cast("int")].alias("topic"), F.when(F.col("o_orderstatus") == "O", "positive").when(F.col("o_orderstatus") == "F", "negative").otherwise("caution").alias("sentiment"),
+        (k % 3).cast("int").alias("specificity"), F.repeat(F.lit("x"), (10 + k % 5).cast("int")).alias("text_fa"),
+    )
+
+
+def _plan_sql(plan, least) -> str:
+    """Part by part: facts that no part before took, one of a site before any second."""
+    steps, taken = [], ""
+    by = "CASE WHEN site_name = '' THEN 1 ELSE 0 END, specificity DESC, n, fact_id"
+    for at, (part, topics, sentiments, n) in enumerate(plan):
+        steps.append(f"r{at} AS (SELECT *, CAST(row_number() OVER (PARTITION BY article, site_name ORDER BY {by}) > 1 AS INTEGER) AS again FROM f WHERE topic IN ({names(topics)}) AND sentiment IN ({names(sentiments)}){taken})")
+        steps.append(f"p{at} AS (SELECT article, '{part}' AS part, fact_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY article ORDER BY again, {by}) AS INTEGER) AS place FROM r{at}) WHERE place <= {n})")
+        taken += f" AND (article, fact_id) NOT IN (SELECT (article, fact_id) FROM p{at})"
+    out = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(len(plan)))
+    enough = " AND ".join(f"count(*) FILTER (part = '{p}') >= {n}" for p, n in least.items())
+    kept = f"o AS ({out}), e AS (SELECT article FROM o GROUP BY article HAVING {enough}), k AS (SELECT * FROM o WHERE article IN (SELECT article FROM e))"
+    firsts = "".join(f" UNION ALL SELECT article, '{part}', fact_id, CAST(list_position([{names(of)}], part) AS INTEGER) FROM k WHERE place = 1 AND part IN ({names(of)})" for part, of in evidence.SYNTHESIS.items())
+    return f"WITH f AS (SELECT * FROM {FACTS_SQL}), {', '.join(steps)}, {kept} SELECT * FROM k{firsts}"
+
+
+@query("r7_editorial_plan", _plan_sql(evidence.PLAN, evidence.LEAST))
 def r7(spark, sf_dir):
-    return evidence.editorial_plan(evidence.facts(POINTS.df(spark), KEYS), KEYS)
+    return evidence.editorial_plan(_facts(spark, sf_dir), ["article"])
+
+
+@query("r7_long_plan", _plan_sql(evidence.LONG_PLAN, {"opening_positive": 1, "opening_negative": 1, "world_gameplay": 2, "friction": 2}))
+def r7_long(spark, sf_dir):
+    """The long-form plan, here with fewer facts than production asks for."""
+    return evidence.editorial_plan(_facts(spark, sf_dir), ["article"], evidence.LONG_PLAN, {"opening_positive": 1, "opening_negative": 1, "world_gameplay": 2, "friction": 2})
 
 
 @query(
@@ -315,11 +362,7 @@ QUEUE = Rows("id int, game string, platform string, metacritic_url string, revie
     CASE WHEN len(review_urls) < 5 THEN 'few reviews' END], lambda x: x IS NOT NULL), ',') AS errors FROM {QUEUE.sql()}""",
 )
 def f12(spark, sf_dir):
-    empty = lambda c: F.trim(text.blank(F.col(c))) == ""
-    found = F.array(
-        F.when(empty("game"), "game"), F.when(empty("platform"), "platform"), F.when(empty("metacritic_url"), "no url").when(~url.is_valid(F.col("metacritic_url")), "bad url"), F.when(F.size("review_urls") < 5, "few reviews")
-    )
-    return QUEUE.df(spark).select("id", F.array_join(F.array_compact(found), ",").alias("errors"))
+    return readers.queue_errors(QUEUE.df(spark)).select("id", F.array_join("errors", ",").alias("errors"))
 
 
 FLAGS = Rows("id int, flag string, alias string", [(1, "Yes", None), (2, None, "on"), (3, "0", "true"), (4, None, None), (5, " TRUE ", "no")])

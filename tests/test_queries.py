@@ -22,7 +22,8 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert __spark_entry__.queries()[name](spark, SF).columns
+    rows = __spark_entry__.queries()[name](spark, SF).collect()
+    assert rows or name in ("j3_similar_posts",)
 
 
 def test_entry(spark):

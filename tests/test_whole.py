@@ -5,8 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from newsloom.functions import text
 from newsloom.operators import state
-from newsloom.plans import older
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def plain_count(s):
 def test_words_of_any_script(spark):
     texts = ["نقد بازی می‌شود، ۱۲ ساعت", "<p>café naïve</p> x y_z", "étude ½ x² Ⅻ", "中文 字", "\U0001d400\U0001d401 a", "", None]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string")
-    got = [r.n for r in rows.select("id", older.word_count(F.col("t")).alias("n")).orderBy("id").collect()]
+    got = [r.n for r in rows.select("id", text.persian_word_count(F.col("t")).alias("n")).orderBy("id").collect()]
     assert got == [plain_count(t) for t in texts]
     assert got[0] == 6 and got[1] == 3
 
@@ -39,3 +39,44 @@ def test_final_failure_leaves_the_last_cooldown(spark):
     start = spark.createDataFrame([(1, "pending", None, 0, None, None), (2, "pending", None, None, None, None), (3, "pending", None, 2, None, None), (4, "failed", None, 3, None, None)], "id int, status string, wp_post_id bigint, retry_count int, next_retry_at timestamp, last_error string")
     got = {r.id: (r.status, r.retry_count, r.next) for r in state.fold_events(start, events).select("*", F.date_format("next_retry_at", "HH:mm").alias("next")).collect()}
     assert got == {1: ("failed", 5, "02:45"), 2: ("pending", 2, "01:45"), 3: ("failed", 7, "00:45"), 4: ("failed", 4, None)}
+
+
+def test_titles_against_every_pair(spark):
+    """Best earlier match of each title: all pairs scored by difflib and word sets."""
+    from difflib import SequenceMatcher
+
+    titles = {r.id: r.t for r in spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), text.normalize_title(F.split("text", "\n")[0]).alias("t")).collect()}
+    long = {k: t for k, t in titles.items() if t and len(t.split()) >= 5}
+    best = {}
+    for a, x in long.items():
+        for b, y in long.items():
+            if b < a:
+                wx, wy = set(x.split()), set(y.split())
+                score = 0.65 * SequenceMatcher(a=x, b=y).ratio() + 0.35 * len(wx & wy) / len(wx | wy)
+                if score >= 0.8 and (score, b) > best.get(a, (0, 0)):
+                    best[a] = (score, b)
+    q = __spark_entry__.queries()
+    got = {r.doc_id: (round(r.score, 9), r.best_id) for r in q["j2_duplicates"](spark, SF).collect()}
+    assert got == {a: (round(s, 9), b) for a, (s, b) in best.items()} and got
+    assert {r.doc_id for r in q["st4_sequential_duplicates"](spark, SF).collect()} == set(best)
+
+
+def test_capped_facts_against_a_walk(spark):
+    import random
+
+    from newsloom.functions import vocabulary as V
+    from newsloom.operators import evidence
+
+    rng = random.Random(3)
+    rows = [(g, k, f"site{rng.randrange(6)}", rng.choice(V.TOPIC_ORDER), f"fact {rng.randrange(40)}", rng.choice(["positive", "negative"])) for g in range(8) for k in range(60)]
+    ranked = spark.createDataFrame(rows, "game int, rank int, site_name string, topic string, text_fa string, sentiment string")
+    got = {(r.game, r["rank"]) for r in evidence.capped_facts(ranked, ["game"]).collect()}
+    wanted = set()
+    for g in range(8):
+        sites, topics, seen, n = {}, {}, set(), 0
+        for _, k, site, topic, told, _ in (r for r in rows if r[0] == g):
+            if n < 24 and told not in seen and sites.get(site, 0) < 5 and topics.get(topic, 0) < V.TOPIC_LIMITS.get(topic, 0):
+                n, sites[site], topics[topic] = n + 1, sites.get(site, 0) + 1, topics.get(topic, 0) + 1
+                seen.add(told)
+                wanted.add((g, k))
+    assert got == wanted and got
