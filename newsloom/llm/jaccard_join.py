@@ -16,14 +16,14 @@ a size block as soon as a position leaves too few shingles to reach the overlap
 ask for, and leaves the list when its own position, or the sizes, rule out all that follows.
 
 *Answer-level skipping.* Of each list, first only the most central set (the smallest position) is
-compared with the others. A set that is found linked to a better connected one takes that set as its
+compared with the others, then, of what is not one component by that, the most central of all its parts. A set that is found linked to a better connected one takes that set as its
 representative, and its own answers are derived from the representative's: a set x with p shingles
 that its representative r lacks has |x & z| <= |r & z| + p for every z. So lists are walked by
 representative, one entry for all the sets it stands for; of two representatives the overlap is computed once, and
 only where that answer, widened by the differences, still allows a link are the sets behind them
-looked at: first each set against the other representative, then, from those answers, set against set.
-Sets of one component need no answer. A parity sketch of each representative bounds its
-difference from another before their overlap is computed.
+looked at, in the lists that they share, and computed if the answer widened by their own differences allows it.
+Sets of one component need no answer. Before an overlap is computed, a parity sketch of each set bounds its
+difference from the other.
 
 That gives components. ``all_links`` answers every pair of different sets: the pivot of each list is
 compared with all of it, and the answers of the sets similar to it follow incrementally from the
@@ -356,6 +356,7 @@ class JaccardJoin:
         self.verified: DataFrame | None = None
         #: (sid, component) of sets with links
         self.member: DataFrame | None = None
+        self.merged = False
 
     def _need(self, x: str, y: str) -> Column:
         return F.expr(f"({self.t.num} * ({x} + {y}) + {self.t.num + self.t.den - 1}) div {self.t.num + self.t.den}")
@@ -419,7 +420,8 @@ class JaccardJoin:
             return
         self.verified = found if self.verified is None else self.verified.union(found)
         links = found.filter("linked").select("a", "b")
-        if self.member is None:
+        if not self.merged:
+            self.merged = True
             self.member = shared_table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), "component"), "join-member")
             return
         # only components are linked anew
@@ -450,30 +452,45 @@ class JaccardJoin:
         t, postings = self.t, self.postings()
         dealt = postings.repartition("token", "salt", "band").sortWithinPartitions("token", "salt", "band", "pos", "n", "sid")
         self._add(dealt.mapInArrow(lambda b: _central_pairs(b, t), "a bigint, b bigint"))
-        if self.member is None:  # no list holds a possible pair
-            forget(postings)
-            return self
-        stands = self._representatives()
+        if self.member is None:
+            self.member = self.spark.createDataFrame([], "sid bigint, component bigint")
+        # salts and bands of a list meet: the most central set of all is compared with the rest, as far as they are open
+        opened = self._open(postings)
+        pivots = opened.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "component")).alias("p")).select("token", F.col("p.sid").alias("pivot"), F.col("p.component").alias("of"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
+        need = self._need("n", "pn")
+        near = (
+            opened.join(pivots, "token")
+            .filter((F.col("component") != F.col("of")) & (F.col("n") - F.col("pos") >= need) & (F.col("pn") - F.col("pp") >= need))
+            .filter(F.least("n", "pn") * t.den >= F.greatest("n", "pn") * t.num)
+        )
+        self._add(near.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
+        forget(opened)
+        opened = self._open(postings, None if self.verified is None else self._representatives())
+        forget(postings)
+        if opened.head(1):
+            self._between(opened)
+        forget(opened)
+        return self
+
+    def _open(self, postings: DataFrame, stands: DataFrame | None = None) -> DataFrame:
+        """Postings of lists that hold more than one component, with the components, representatives, and what a set holds beside its own."""
+        none = self.spark.createDataFrame([], "sid bigint, rep bigint, shared bigint")
         named = (
-            postings.join(self.member, "sid", "left").join(stands, "sid", "left")
+            postings.join(self.member, "sid", "left").join(none if stands is None else stands, "sid", "left")
             .select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("component"), F.coalesce("rep", "sid").alias("rep"), F.coalesce(F.col("n") - F.col("shared"), F.lit(0)).alias("extra"))
         )
         named = shared_table(named, "join-named")
-        forget(postings, stands)
+        forget(stands)
         several = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("token")
         opened = shared_table(named.join(several, "token", "left_semi"), "join-open")
         forget(named)
-        if opened.head(1):
-            self._between(opened)
-        forget(opened)
-        return self
+        return opened
 
-    def _between(self, opened: DataFrame) -> None:
-        """Answers between components: of representatives, and of the sets behind them as far as those leave them open."""
+    def _walk(self, entries: DataFrame) -> DataFrame:
+        """(a, b) of entries (token, rep, component, low, high, left, extra) of different components that may hold linked sets."""
         t = self.t
-        entries = opened.groupBy("token", "rep").agg(F.first("component").alias("component"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"), F.max("extra").alias("extra"))
         lists = entries.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        sketches = self._whole(opened.select(F.col("rep").alias("sid")), "join-sketches", _sketches, "sid bigint, n bigint, sketch binary")
+        sketches = self._whole(entries.select(F.col("rep").alias("sid")), "join-sketches", _sketches, "sid bigint, n bigint, sketch binary")
         block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         cells = (
             entries.join(lists, "token").withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -481,26 +498,36 @@ class JaccardJoin:
             .join(sketches.select(F.col("sid").alias("rep"), F.col("n").alias("size"), "sketch"), "rep")
         )
         walked = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "low", F.desc("left"), "rep")
-        asked = shared_table(walked.mapInArrow(lambda b: _open_pairs(b, t), "a bigint, b bigint").distinct(), "join-asked")
+        found = shared_table(walked.mapInArrow(lambda b: _open_pairs(b, t), "a bigint, b bigint").distinct(), "join-asked")
         forget(sketches)
+        return found
+
+    def _between(self, opened: DataFrame) -> None:
+        """Answers between components: of representatives, and of the sets behind them as far as those leave them open."""
+        entries = opened.groupBy("token", "rep").agg(F.first("component").alias("component"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"), F.max("extra").alias("extra"))
+        asked = self._walk(entries)
         self._add(asked)
-        # sets behind representatives: what they hold beside those, at the most, and their least size
-        behind = shared_table(opened.select("sid", "rep", "n", "extra").distinct(), "join-behind")
-        widest = shared_table(behind.groupBy("rep").agg(F.max("extra").alias("widest"), F.min("n").alias("low")), "join-widest")
-        each = asked.join(self.verified.select("a", "b", "common"), ["a", "b"])
-        both = each.select(F.col("a").alias("rep"), F.col("b").alias("other"), "common").union(each.select("b", "a", "common"))
-        possible = (
-            behind.filter("sid <> rep").join(both, "rep").join(widest.select(F.col("rep").alias("other"), "widest", "low"), "other")
-            .filter(F.col("common") + F.col("extra") + F.col("widest") >= self._need("n", "low"))
-        )
-        possible = shared_table(self._apart(possible, "sid", "other").select("sid", "other", "n"), "join-possible")
-        if possible.head(1):
-            self._add(possible.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")))
-            known = possible.withColumns({"a": F.least("sid", "other"), "b": F.greatest("sid", "other")}).join(self.verified.select("a", "b", "common"), ["a", "b"]).select("sid", "other", "n", "common")
-            z = behind.filter("sid <> rep").select(F.col("rep").alias("other"), F.col("sid").alias("z"), F.col("n").alias("nz"), F.col("extra").alias("beside"))
-            rest = known.join(z, "other").filter((F.col("common") + F.col("beside") >= self._need("n", "nz")) & (F.least("n", "nz") * t.den >= F.greatest("n", "nz") * t.num))
-            self._add(self._apart(rest, "sid", "z").select(F.least("sid", "z").alias("a"), F.greatest("sid", "z").alias("b")))
-        forget(asked, behind, widest, possible)
+        # what the sets behind a representative hold beside it, at the most, and their least size
+        behind = shared_table(opened.groupBy("rep").agg(F.max("extra").alias("widest"), F.min("n").alias("low"), (F.count_if(F.col("sid") != F.col("rep")) > 0).alias("others")), "join-behind")
+        side = lambda c: behind.select(F.col("rep").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("widest", "low", "others")))
+        left = (
+            self._apart(asked.join(self.verified.select("a", "b", "common"), ["a", "b"]).join(side("a"), "a").join(side("b"), "b"), "a", "b")
+            .filter((F.col("others_a") | F.col("others_b")) & (F.col("common") + F.col("widest_a") + F.col("widest_b") >= self._need("low_a", "low_b")))
+            .select("a", "b", "common")
+        )
+        left = shared_table(left, "join-left")
+        if left.head(1):
+            reps = left.select(F.col("a").alias("rep")).union(left.select("b")).distinct()
+            sets = shared_table(opened.join(reps, "rep", "left_semi"), "join-sets-left")
+            named = sets.join(self.member.withColumnRenamed("component", "now"), "sid", "left").select("token", F.col("sid").alias("rep"), F.coalesce("now", "sid").alias("component"), F.col("n").alias("low"), F.col("n").alias("high"), (F.col("n") - F.col("pos")).alias("left"), F.lit(0).alias("extra"))
+            possible = self._walk(named)
+            # the answer of the two representatives, widened by what these sets hold beside them
+            of = lambda c: sets.select(F.col("sid").alias(c), F.col("rep").alias(f"r_{c}"), F.col("n").alias(f"n_{c}"), F.col("extra").alias(f"x_{c}")).distinct()
+            told = possible.join(of("a"), "a").join(of("b"), "b").withColumns({"ra": F.least("r_a", "r_b"), "rb": F.greatest("r_a", "r_b")})
+            open_ = told.join(left.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "common"), ["ra", "rb"]).filter(F.col("common") + F.col("x_a") + F.col("x_b") >= self._need("n_a", "n_b"))
+            self._add(open_.select("a", "b"))
+            forget(possible, sets)
+        forget(asked, behind, left)
 
     def _apart(self, pairs: DataFrame, x: str, y: str) -> DataFrame:
         """Rows whose two sets are not of one component."""

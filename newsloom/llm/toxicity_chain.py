@@ -78,7 +78,7 @@ def features(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.nd
 def _presence(batches: Iterator[pa.RecordBatch], n_labels: int) -> Iterator[pa.RecordBatch]:
     """Presence counts of a slice: (feature, documents, documents with each label)."""
     for batch in batches:
-        for piece, texts in chunks(batch, size=8 << 20):
+        for piece, texts in chunks(batch, size=2 << 20):
             doc, keys = features(texts)
             unique, at = np.unique(keys, return_inverse=True)
             columns = [np.bincount(at, minlength=len(unique))]
