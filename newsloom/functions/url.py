@@ -144,3 +144,11 @@ def image_filename(slug: Column, fallback: Column, ext: Column) -> Column:
     kind = F.regexp_replace(F.coalesce(or_null(blank(ext)), F.lit("jpg")), r"^\.+", "")
     suffix = F.substring(F.substring_index(fallback, "-", -1), 1, 6)
     return F.when(slug != "", F.concat(F.regexp_replace(F.substring(slug, 1, 60), "-+$", ""), F.lit("-"), suffix, F.lit("."), kind)).otherwise(F.concat(fallback, F.lit("."), kind))
+
+
+def image_type(content_type: Column, older: bool = False) -> Column:
+    """Extension of an image's content type; null for one that can't be shown, which the first generation called jpg."""
+    c = F.lower(blank(content_type))
+    has = lambda w: F.contains(c, F.lit(w))
+    found = F.when(has("png"), "png").when(has("webp"), "webp").when(has("gif"), "gif").when(has("jpeg") | has("jpg"), "jpg")
+    return found.otherwise("jpg") if older else found

@@ -53,12 +53,12 @@ def h7(spark, sf_dir):
 
 @query(
     "s7_page_records",
-    f"SELECT page_id, {_first(html.TITLE_PATTERNS, _CLEAN)} AS title, CAST(length({_visible('html')}) AS INTEGER) AS text_chars, regexp_matches(url, '^https?://[^/?#]+') AS ok FROM pages",
+    f"SELECT page_id, {_first(html.TITLE_PATTERNS, _CLEAN)} AS title, CAST(length({_visible('html')}) AS INTEGER) AS text_chars, {_first(html.SITE_NAME_PATTERNS, _CLEAN)} AS site_name, {_first(html.PUBLISHED_PATTERNS, s_trim)} AS published_at, regexp_matches(url, '^https?://[^/?#]+') AS ok FROM pages",
 )
 def s7(spark, sf_dir):
     """One scan of a page, all its fields."""
     h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.length(html.visible_text(h)).alias("text_chars"), url.is_valid(F.col("url")).alias("ok"))
+    return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.length(html.visible_text(h)).alias("text_chars"), html.site_name(h).alias("site_name"), html.published_at(h).alias("published_at"), url.is_valid(F.col("url")).alias("ok"))
 
 
 _ARTICLE = s_collapse(s_unescape("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"))

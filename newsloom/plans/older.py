@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.functions import text
+from newsloom.functions import text, url
 from newsloom.operators import state
 from newsloom.plans import completion
 from newsloom.sources import sinks
@@ -68,9 +68,11 @@ def v9(spark, sf_dir):
     return state.fold_events(start, log, terminal_failures=True).select("id", "status", "retry_count")
 
 
-@query("v10_mime_default", "SELECT event_id, CASE WHEN contains(event_type, 'view') THEN 'png' ELSE 'jpg' END AS ext FROM events")
+@query("v10_mime_default", "SELECT part.p_partkey, CASE WHEN contains(lower(p_name), 'png') THEN 'png' WHEN contains(lower(p_name), 'webp') THEN 'webp' WHEN contains(lower(p_name), 'gif') THEN 'gif' ELSE 'jpg' END AS ext FROM part UNION ALL SELECT -1, 'webp' UNION ALL SELECT -2, 'jpg' UNION ALL SELECT -3, 'png'")
 def v10(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.contains("event_type", F.lit("view")), "png").otherwise("jpg").alias("ext"))
+    """The first generation's image type: whatever it does not know is jpg."""
+    odd = spark.createDataFrame([(-1, "image/WEBP"), (-2, "image/avif"), (-3, "image/png; q=1")], "p_partkey bigint, p_name string")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").union(odd).select("p_partkey", url.image_type(F.col("p_name"), older=True).alias("ext"))
 
 
 @query("k4_idempotent_drafts", """WITH d AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) SELECT 'k' || CAST(o_custkey AS VARCHAR) AS draft_key, o_orderkey AS created_at FROM d WHERE o_custkey % 10 <> 0""")

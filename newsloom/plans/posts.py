@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom import settings
-from newsloom.functions import blocks, dates, text, udfs, url
+from newsloom.functions import blocks, dates, http, text, udfs, url
 from newsloom.functions import vocabulary as V
 from newsloom.operators import ordered, posts, similarity, state
-from newsloom.sources import readers
+from newsloom.sources import readers, sinks
 
 from .base import Rows, names, query, s_cache_url, s_clean, s_identity, s_title, s_tokens, table
 from .ingest import ITEMS_SQL, RUN, items
@@ -293,3 +293,43 @@ def st5(spark, sf_dir):
     done = b.filter(F.col("outcome").isin("posted", "skipped")).select("url").distinct()
     return ordered.ordered_distinct(b.join(done, "url", "left_anti"), "url", "line_no").select("line_no", "url")
 
+
+
+REPLIES = Rows("id int, status int, method string, attempt int, body string", [(1, 503, "get", 0, ""), (2, 503, "POST", 0, ""), (3, 415, "GET", 3, ""), (4, 429, "GET", 4, ""), (5, 200, "GET", 0, '{"id": 3}'), (6, 404, "HEAD", 1, '{"id": 3}'), (7, 200, "GET", 0, "<html>")])
+
+
+@query(
+    "st9_retries",
+    f"""SELECT id, status IN (415, 429, 500, 502, 503, 504) AND upper(method) IN ('GET', 'HEAD', 'OPTIONS') AND attempt < 4 AS again, status IN (429, 500, 502, 503, 504) AND upper(method) IN ('GET', 'HEAD', 'OPTIONS') AND attempt < 4 AS older,
+    CASE WHEN attempt <= 1 THEN 0.0 ELSE pow(2.0, attempt - 1) END AS wait, status < 400 AND id = 5 AS healthy, 'Basic ' || to_base64(encode('u:' || CAST(id AS VARCHAR))) AS auth FROM {REPLIES.sql()}""",
+)
+def st9(spark, sf_dir):
+    """Which replies are tried again, now and by the first generations, after how long, and whose health is good."""
+    s, m, n = F.col("status"), F.col("method"), F.col("attempt")
+    return REPLIES.df(spark).select(
+        "id", http.tried_again(s, m, n).alias("again"), http.tried_again(s, m, n, statuses=http.OLDER_RETRY_STATUS).alias("older"), http.wait_seconds(n).alias("wait"), http.healthy(s, F.col("body")).alias("healthy"), http.basic_auth(F.lit("u"), F.col("id").cast("string")).alias("auth"),
+    )
+
+
+@query(
+    "k5_seo_meta",
+    "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 3 END AS n_fields, 'title ' || CAST(length(p_name) AS VARCHAR) || ' chars | description ' || CAST(length(p_type) AS VARCHAR) || ' chars | keyword ' || CASE WHEN p_size % 3 = 0 THEN '-' ELSE p_brand END || ' | ' || CAST(p_size % 5 AS VARCHAR) || ' links' AS line FROM part",
+)
+def k5(spark, sf_dir):
+    """Search metadata of posts, and the line of the log about it."""
+    p = table(spark, sf_dir, "part")
+    keyword = F.when(F.col("p_size") % 3 != 0, F.col("p_brand"))
+    return p.select("p_partkey", F.size(sinks.seo_meta(F.col("p_name"), F.col("p_type"), keyword)).alias("n_fields"), sinks.seo_summary(F.col("p_name"), F.col("p_type"), keyword, F.col("p_size") % 5).alias("line"))
+
+
+@query("st7_runtime_audits")
+def st7(spark, sf_dir):
+    """Audits of points after manual ones were laid over them: the cache itself stays as it is."""
+    from newsloom.operators import evidence
+
+    from .review import KEYS, POINTS
+
+    points = POINTS.df(spark).withColumn("cache_url", F.lit("https://x.com/r"))
+    manual = POINTS.df(spark).filter("game = 'A'").select("game", F.lit("").alias("platform"), F.lit("https://x.com/r").alias("cache_url"), F.lit("yes").alias("reviewed"), "section", "pos", "point_fa", F.concat(F.lit("Added by hand: "), "evidence_en").alias("evidence_en"))
+    added = evidence.overlay(points, manual).drop("cache_url")
+    return evidence.audit(POINTS.df(spark).unionByName(added), [*KEYS, "source_no"]).select(*KEYS, "source_no", "verified_points", "status")

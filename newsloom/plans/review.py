@@ -399,10 +399,12 @@ def a6(spark, sf_dir):
     return s.select("id", F.col("s.score_10").alias("score_10"), F.col("s.confidence").alias("confidence"), F.col("s.shown").alias("shown"))
 
 
-@query("a7_metascores", "SELECT * FROM (VALUES (9, 77, 88), (10, 85, 100)) AS t(id, metascore, confidence)")
+@query("a7_metascores", "SELECT * FROM (VALUES (9, 77, 88, NULL), (10, 85, 100, 50)) AS t(id, metascore, confidence, n_critics)")
 def a7(spark, sf_dir):
-    s = PAGES.df(spark).select("id", scoring.metascore(F.col("page"), F.col("visible"), F.col("description")).alias("s")).filter("s IS NOT NULL")
-    return s.select("id", F.col("s.value").alias("metascore"), F.col("s.confidence").alias("confidence"))
+    """Metascores and the critics behind them."""
+    args = F.col("page"), F.col("visible"), F.col("description")
+    s = PAGES.df(spark).select("id", scoring.metascore(*args).alias("s"), scoring.critic_reviews(*args).alias("c")).filter("s IS NOT NULL")
+    return s.select("id", F.col("s.value").alias("metascore"), F.col("s.confidence").alias("confidence"), F.col("c.value").alias("n_critics"))
 
 
 @query("m4_scorecard_display", "SELECT p_partkey, regexp_replace(printf('%.1f', round_even(p_retailprice / 10, 0) / 10), '\\.0$', '') AS shown FROM part")

@@ -301,9 +301,7 @@ TYPES = Rows("id int, ct string", [(1, "image/png"), (2, "IMAGE/JPEG"), (3, "ima
 
 @query("m8_mime", f"SELECT id, CASE WHEN contains(c, 'png') THEN 'png' WHEN contains(c, 'webp') THEN 'webp' WHEN contains(c, 'gif') THEN 'gif' WHEN contains(c, 'jpeg') OR contains(c, 'jpg') THEN 'jpg' END AS ext FROM (SELECT id, lower(coalesce(ct, '')) AS c FROM {TYPES.sql()})")
 def m8(spark, sf_dir):
-    c = F.lower(text.blank(F.col("ct")))
-    has = lambda w: F.contains(c, F.lit(w))
-    return TYPES.df(spark).select("id", F.when(has("png"), "png").when(has("webp"), "webp").when(has("gif"), "gif").when(has("jpeg") | has("jpg"), "jpg").alias("ext"))
+    return TYPES.df(spark).select("id", url.image_type(F.col("ct")).alias("ext"))
 
 
 STATUS = Rows("id int, s string", [(1, ""), (2, "Early Access"), (3, "early-access"), (4, "Remastered"), (5, "DLC"), (6, "beta"), (7, None), (8, " GOTY ")])

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import text, udfs, url
+from newsloom.functions import html, text, udfs, url
 
 FEED = "link string, title string, summary string, description string, published string, pubDate string, updated string"
 ATOM = "link array<struct<_href:string,_rel:string>>, title string, summary string, content string, published string, updated string"
@@ -186,3 +186,23 @@ def accepted_images(files: DataFrame, min_width: int = 700, min_height: int = 35
     rows = files.select("path", "length", ext.alias("ext"), udfs.image_dimensions(F.col("content")).alias("d"))
     large = (F.col("d.width") == 0) | ((F.col("d.width") >= min_width) & (F.col("d.height") >= min_height))
     return rows.withColumn("accepted", (F.col("length") > 0) & (F.col("ext").isin(IMAGE_TYPES) | (F.col("ext") == "")) & large)
+
+
+def review_pages(pages: DataFrame, text_limit: int = 18_000) -> DataFrame:
+    """Records of fetched (url, status, error, html) review pages: not ok with a reason, or ok with names, texts and all.
+
+    The text is that of the main part, or of the whole page where that has fewer than 300 characters.
+    """
+    h, ok = F.col("html"), F.col("error").isNull() & (F.col("status") < 400)
+    meta = html.page_meta(h)
+    of = lambda *keys: F.coalesce(*(text.or_null(meta[k]) for k in keys), F.lit(""))
+    main, whole = html.page_text(html.main_html(h)), html.page_text(h)
+    body = F.when(F.length(main) < 300, whole).otherwise(main)
+    site = text.clean_text(F.coalesce(url.reputable_name(F.col("url")), text.or_null(of("og:site_name", "application-name")), url.fallback_site_name(F.col("url"))))
+    reason = F.coalesce("error", F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    some = lambda c: F.when(ok, c)
+    read = pages.withColumn("_body", some(body))
+    return read.select(
+        "url", "status", ok.alias("ok"), F.when(~ok, reason).alias("error"), some(site).alias("site_name"), some(text.clean_text(F.coalesce(text.or_null(of("og:title", "twitter:title")), html.page_title(h)))).alias("title"),
+        some(text.clean_text(of("description", "twitter:description", "og:description"))).alias("description"), F.substring("_body", 1, text_limit).alias("text"), F.col("_body").alias("score_text"), F.length("_body").alias("text_chars"), some(h).alias("html"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import settings
 from newsloom.functions import blocks, html, udfs
 from newsloom.operators import scoring
-from newsloom.sources import readers
+from newsloom.sources import readers, sinks
 from newsloom.streaming import ingest
 
 SITE = "https://www.site.example"
@@ -139,3 +139,40 @@ def test_balance_takes_the_most_strayed(spark, overall):
                 p = min((p for p in units if units[p] > 2), key=lambda p: (mine[p][4] * 2 - units[p], mine[p][6], -mine[p][7], units[p], p))
             units[p] += 1 if short > 0 else -1
         assert {p: u / 2 for p, u in units.items()} == {p: got[g, p] for p in units}
+
+
+def test_keyed_tables(spark, tmp_path):
+    root, schema = str(tmp_path / "t"), "key string, value string, seq int"
+    one = spark.createDataFrame([("a", "1", 1), ("b", "1", 1), ("a", "2", 2)], schema)
+    two = spark.createDataFrame([("a", "old", 1), ("b", "new", 1), ("c", "x", 1)], schema)
+    sinks.upsert_table(one, root, ["key"], "seq")
+    sinks.upsert_table(two, root, ["key"], "seq")
+    assert sorted((r.key, r.value) for r in sinks.read_table(spark, root).collect()) == [("a", "2"), ("b", "new"), ("c", "x")]
+    sinks.upsert_table(spark.createDataFrame([], schema), root, ["key"], "seq")
+    assert sinks.read_table(spark, root).count() == 3 and len(list((tmp_path / "t").glob("v=*"))) == 2
+
+
+def test_keyed_documents(spark, tmp_path):
+    path = str(tmp_path / "c")
+    sinks.write_keyed_json(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), path, "k")
+    sinks.write_keyed_json(spark.createDataFrame([("a", 2)], "k string, v int"), path, "k")
+    assert sorted((r.k, r.v) for r in spark.read.json(path).collect()) == [("a", 2), ("b", 1)]
+    sinks.write_documents(spark.createDataFrame([("Game: One!", "text"), ("", "none")], "name string, body string"), str(tmp_path / "d"), "name", "body")
+    assert {p.name for p in (tmp_path / "d").glob("name=*")} == {"name=game-one", "name=untitled"}
+
+
+def test_media(spark):
+    rows = spark.createDataFrame([("a.jpg", "jpg", "<b>x</b>", "t", True), ("b.png", "png", "", "t", True), ("c.gif", "gif", "x", "t", False)], "name string, ext string, alt string, fallback_alt string, accepted boolean")
+    assert [tuple(r) for r in sinks.media_rows(rows).collect()] == [("a.jpg", "image/jpeg", "x"), ("b.png", "image/png", "t")]
+
+
+def test_review_pages(spark):
+    long = "word " * 100
+    page = f'<meta property="og:title" content="T"><meta name="description" content="D"><p>menu</p><article><p>{long}</p></article>'
+    rows = [("https://www.ign.com/r", 200, None, page), ("https://a.example/r", 404, None, "x"), ("https://a.example/r", 0, "timeout", None), ("https://a.example/r", 200, None, "<title>U</title><article>short</article> rest")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, url string, status int, error string, html string")
+    got = readers.review_pages(df.drop("k")).collect()
+    by = sorted(got, key=lambda r: (r.ok, r.status, r.title or ""))
+    assert [r.error for r in by[:2]] == ["timeout", "HTTP 404"] and by[0].text is None and not by[1].ok
+    assert (by[2].site_name, by[2].title, by[2].description, by[2].text) == ("IGN", "T", "D", long.strip())
+    assert (by[3].title, by[3].score_text) == ("U", "U short rest")
