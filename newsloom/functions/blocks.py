@@ -16,6 +16,21 @@ from .scores import number_text
 from .text import blank, clean_text, or_null
 from .text import lookup as text_lookup
 
+def attribution(photographer: Column, page: Column) -> Column:
+    """The credit of a stock photo, with what is known of its maker and page."""
+    who, link = or_null(clean_text(photographer)), or_null(F.trim(blank(page)))
+    anchor = F.concat(F.lit('<a href="'), link, F.lit('" target="_blank" rel="nofollow noopener">Link</a>'))
+    return F.concat(F.lit("<p><small>"), F.concat_ws(" — ", F.lit("Image: Pexels"), F.when(link.isNotNull(), who), anchor), F.lit("</small></p>"))
+
+
+def faq(items: Column, heading: str = "سوالات متداول", limit: int = 4) -> Column:
+    """Questions and answers, array<struct<question, answer>>, as headings and paragraphs; empty without any."""
+    fit = F.slice(F.filter(items, lambda x: (blank(x["question"]) != "") & (blank(x["answer"]) != "")), 1, limit)
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), html_functions.escape(c), F.lit(f"</{name}>"))
+    each = F.transform(fit, lambda x: F.concat(tag("h3", F.substring(x["question"], 1, 160)), F.lit("\n"), tag("p", F.substring(x["answer"], 1, 500))))
+    return F.when(F.size(fit) > 0, F.concat(F.lit(f"<h2>{heading}</h2>\n"), F.array_join(each, "\n"))).otherwise("")
+
+
 #: fixed values: what is a block of its own, and how the editor delimits blocks
 PIECE = r"(?is)<p\b[^>]*>(.*?)</p>|<ul\b[^>]*>(.*?)</ul>"
 ITEM = r"(?is)<li\b[^>]*>(.*?)</li>"

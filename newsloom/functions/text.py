@@ -250,3 +250,9 @@ def post_payload(title: Column, body: Column, media: Column) -> Column:
     """struct<title, content, slug, excerpt, featured_media> of a post; no excerpt is longer than 300 characters."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.struct(title.alias("title"), body.alias("content"), F.substring(slug, 1, 85).alias("slug"), F.substring(body, 1, 300).alias("excerpt"), media.alias("featured_media"))
+
+
+def short_list(values: Column, limit: int = 4) -> Column:
+    """Clean values, each once, the first ``limit``; a null list is empty."""
+    named = F.filter(F.transform(values, lambda v: clean_unescaped(v)), lambda v: v != "")
+    return F.coalesce(F.slice(F.array_distinct(named), 1, limit), F.array().cast("array<string>"))

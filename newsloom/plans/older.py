@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.functions import text, url
-from newsloom.operators import state
+from newsloom.functions import blocks, text, url
+from newsloom.operators import scoring, state
 from newsloom.plans import completion
 from newsloom.sources import sinks
 
-from .base import Rows, query, s_clean, table
+from .base import Rows, query, s_clean, s_clean_unescaped, table
 
 LISTS = Rows("id int, s string", [(1, "Alpha, beta،alpha\nGamma"), (2, ""), (3, None), (4, ",".join(f"t{k}" for k in range(12)))])
 
@@ -92,3 +92,42 @@ def u14(spark, sf_dir):
 def l8(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.array(F.split("text", "\n")[0]).alias("facts"))
     return d.select("doc_id", completion.fallback_text(F.col("facts")).alias("text"))
+
+
+CREDITS = Rows("id int, photographer string, page string", [(1, " Ann <b>B</b>", "https://p.com/1"), (2, "", "https://p.com/2"), (3, "Ann", ""), (4, None, None)])
+_A = "'<a href=\"' || page || '\" target=\"_blank\" rel=\"nofollow noopener\">Link</a>'"
+
+
+@query("v1_photo_credits", f"SELECT id, '<p><small>Image: Pexels' || CASE WHEN coalesce(page, '') = '' THEN '' WHEN {s_clean('photographer')} = '' THEN ' — ' || {_A} ELSE ' — ' || {s_clean('photographer')} || ' — ' || {_A} END || '</small></p>' AS credit FROM {CREDITS.sql()}")
+def v1_credits(spark, sf_dir):
+    return CREDITS.df(spark).select("id", blocks.attribution(F.col("photographer"), F.col("page")).alias("credit"))
+
+
+@query(
+    "v3_faq_html",
+    """SELECT n_regionkey AS region, '<h2>سوالات متداول</h2>' || chr(10) || string_agg('<h3>' || n_name || '?</h3>' || chr(10) || '<p>A &amp; ' || CAST(n_nationkey AS VARCHAR) || '</p>', chr(10) ORDER BY n_nationkey) AS html
+    FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) WHERE r <= 4 GROUP BY n_regionkey""",
+)
+def v3_html(spark, sf_dir):
+    """Nations as questions about their region."""
+    x = F.struct("n_nationkey", F.concat("n_name", F.lit("?")).alias("question"), F.concat(F.lit("A & "), F.col("n_nationkey").cast("string")).alias("answer"))
+    lists = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.sort_array(F.collect_list(x)).alias("l"))
+    return lists.select("region", blocks.faq(F.col("l")).alias("html"))
+
+
+@query(
+    "t26_short_lists",
+    f"""WITH w AS (SELECT doc_id, {s_clean_unescaped("x")} AS v, k FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))), f AS (SELECT doc_id, v, min(k) AS k FROM w WHERE v <> '' GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM f) SELECT d.doc_id AS doc_id, coalesce(string_agg(md5(v), ',' ORDER BY k) FILTER (n <= 4), '') AS lines FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""",
+)
+def t26_lists(spark, sf_dir):
+    """The first four different lines of each document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.short_list(F.split(text.blank(F.col("text")), "\n")).alias("l"))
+    return d.select("doc_id", F.array_join(F.transform("l", F.md5), ",").alias("lines"))
+
+
+@query("f6_public_sources", "SELECT o_orderkey, coalesce(nullif(trim(CASE o_orderstatus WHEN 'O' THEN 'acceptable' WHEN 'F' THEN ' ' ELSE 'needs_review' END), ''), CASE WHEN o_custkey % 2 = 0 THEN 'acceptable' ELSE '' END) = 'acceptable' AS eligible FROM orders")
+def f6(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    now = F.when(F.col("o_orderstatus") == "O", "acceptable").when(F.col("o_orderstatus") == "F", " ").otherwise("needs_review")
+    return o.select("o_orderkey", scoring.eligible(now, F.when(F.col("o_custkey") % 2 == 0, "acceptable")).alias("eligible"))

@@ -36,6 +36,11 @@ def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def write_items(items: DataFrame, path: str) -> None:
+    """Items in folders by status, sorted by source and time within their files, so that scans of what is pending, or of a window, skip the rest."""
+    items.repartition("status", "source_name").sortWithinPartitions("source_name", "published_ts").write.partitionBy("status").mode("overwrite").parquet(path)
+
+
 def upsert_table(changes: DataFrame, root: str, keys: list[str], order: str) -> DataFrame:
     """A keyed table after changes: of each key the row with the greatest ``order``; the table as it is then.
 
