@@ -31,13 +31,13 @@ def iso(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(trim(blank(c)), r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1), F.lit("yyyy-MM-dd"))
 
 
-def display_date(c: Column) -> Column:
+def display_date(c: Column, months_fa: list[str] = V.MONTHS_FA) -> Column:
     """``day month year`` with Persian month names; else the text up to a plus sign."""
     text = trim(blank(c))
     # the date as written, in its own zone
     day = F.try_to_timestamp(F.regexp_extract(text, r"(\d{1,2}\s+[A-Za-z]{3}\s+\d{4})\s+\d{1,2}:\d{2}", 1), F.lit("d MMM yyyy"))
     when = F.coalesce(F.when(rfc822(c).isNotNull(), day), iso(c))
-    months = F.array(*(F.lit(m) for m in V.MONTHS_FA))
+    months = F.array(*(F.lit(m) for m in months_fa))
     return F.when(text == "", "").when(when.isNotNull(), F.concat_ws(" ", F.dayofmonth(when), F.element_at(months, F.month(when)), F.year(when))).otherwise(trim(F.substring_index(text, "+", 1)))
 
 

@@ -146,6 +146,9 @@ GAME_STATUS_ALIASES = {
 
 MONTHS_FA = ["ژانویه", "فوریه", "مارس", "اپریل", "می", "ژوئن", "جولای", "آگوست", "سپتامبر", "اکتبر", "نوامبر", "دسامبر"]
 
+#: as the first generations spelled them: one differs
+OLDER_MONTHS_FA = [*MONTHS_FA[:5], "جوئن", *MONTHS_FA[6:]]
+
 COVERAGE_LABELS = ["بدون پوشش دسته‌ای", "پوشش محدود", "پوشش چندبخشی", "پوشش گسترده"]
 
 TRUE_WORDS = ["1", "true", "yes", "on"]

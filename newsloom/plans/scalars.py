@@ -246,19 +246,27 @@ DATES = Rows(
 _M = "(?:[A-Za-z]{3,9},?\\s+)?(\\d{1,2} [A-Za-z]{3} \\d{4}) (\\d{1,2}:\\d{2})(:\\d{2})?\\s*(\\S*)$"
 
 
-@query(
-    "d1_dates",
-    f"""WITH p AS (SELECT id, trim(coalesce(s, '')) AS s, regexp_extract(trim(coalesce(s, '')), '^{_M}', 1) AS d, regexp_extract(trim(coalesce(s, '')), '^{_M}', 2) AS t, coalesce(nullif(regexp_extract(trim(coalesce(s, '')), '^{_M}', 3), ''), ':00') AS sec, regexp_extract(trim(coalesce(s, '')), '^{_M}', 4) AS z FROM {DATES.sql()}),
+def _dates_sql(months: list[str]) -> str:
+    return f"""WITH p AS (SELECT id, trim(coalesce(s, '')) AS s, regexp_extract(trim(coalesce(s, '')), '^{_M}', 1) AS d, regexp_extract(trim(coalesce(s, '')), '^{_M}', 2) AS t, coalesce(nullif(regexp_extract(trim(coalesce(s, '')), '^{_M}', 3), ''), ':00') AS sec, regexp_extract(trim(coalesce(s, '')), '^{_M}', 4) AS z FROM {DATES.sql()}),
     q AS (SELECT *, TRY_STRPTIME(nullif(d, '') || ' ' || t || sec, '%d %b %Y %H:%M:%S') AS local, CASE WHEN z IN ('', 'GMT') THEN 0 WHEN z = 'EST' THEN -18000 ELSE (CASE WHEN left(z, 1) = '-' THEN -1 ELSE 1 END) * (CAST(substr(z, 2, 2) AS INTEGER) * 3600 + CAST(substr(z, 4, 2) AS INTEGER) * 60) END AS off FROM p),
     r AS (SELECT *, coalesce(local, TRY_STRPTIME(regexp_extract(s, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})(?:[T ].*)?$', 1), '%Y-%m-%d')) AS shown FROM q)
     SELECT id, CAST(coalesce(CAST(epoch(local) AS BIGINT) - off, 1700000000) AS BIGINT) AS published_ts,
-    CASE WHEN s = '' THEN '' WHEN shown IS NOT NULL THEN day(shown) || ' ' || list_extract([{names(V.MONTHS_FA)}], CAST(month(shown) AS INTEGER)) || ' ' || year(shown) ELSE trim(split_part(s, '+', 1)) END AS shown FROM r""",
-)
+    CASE WHEN s = '' THEN '' WHEN shown IS NOT NULL THEN day(shown) || ' ' || list_extract([{names(months)}], CAST(month(shown) AS INTEGER)) || ' ' || year(shown) ELSE trim(split_part(s, '+', 1)) END AS shown FROM r"""
+
+
+@query("d1_dates", _dates_sql(V.MONTHS_FA))
 def d1(spark, sf_dir):
     s = F.col("s")
     return DATES.df(spark).select("id", dates.published_ts(s, F.timestamp_seconds(F.lit(1700000000))).alias("published_ts"), dates.display_date(s).alias("shown"))
 
 
+@query("v18_older_dates", f"SELECT id, shown FROM ({_dates_sql(V.OLDER_MONTHS_FA)}) UNION ALL SELECT 100, '6 جوئن 2026'")
+def v18(spark, sf_dir):
+    """Dates with the month names of the first generations."""
+    june = spark.createDataFrame([(100, "2026-06-06")], "id int, s string")
+    return DATES.df(spark).union(june).select("id", dates.display_date(F.col("s"), V.OLDER_MONTHS_FA).alias("shown"))
+
+
 SCALES = Rows(
     "id int, v string, best string, worst string",
     [(1, "4", "5", None), (2, "80", "100", "0"), (3, "8.5", None, None), (4, "88", None, None), (5, "101", None, None), (6, "x", "10", None), (7, "1,000", "2000", None), (8, "6", "10", "1"), (9, "12", "10", None), (10, None, None, None), (11, "-1", None, None), (12, "7", "bad", "bad")],
