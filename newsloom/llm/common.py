@@ -85,6 +85,22 @@ def delete_path(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: logical nodes over which a scan gives the same rows in the same partitions each time
+_STEADY = {"Project", "Filter", "Union", "LogicalRDD", "LocalRelation"}
+
+
+def same_each_scan(df: DataFrame) -> bool:
+    """Whether every scan of ``df`` gives the same partitions: files or given rows, projected and filtered, and nothing else."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        if node.nodeName() not in _STEADY and not (children.size() == 0 and "Relation" in node.nodeName()):
+            return False
+        todo.extend(children.apply(k) for k in range(children.size()))
+    return True
+
+
 def plain_names(docs: DataFrame) -> tuple[DataFrame, list]:
     """``docs`` with columns that no operator's names meet (``text`` keeps its own), and the columns that name them back."""
     names = ["text" if c == "text" else f"_{k}_given" for k, c in enumerate(docs.columns)]

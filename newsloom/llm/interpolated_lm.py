@@ -13,7 +13,7 @@ what it gets and answers each slice with the totals in the order that the slice
 slice number, texts travelling compressed. No table of words is ever broadcast or collected, and
 a word that is every third token costs each slice one entry.
 
-The slices of a scan must be the same each time; plans with an exchange are written out first, and
+The slices of a scan must be the same each time; anything but files or rows that are projected and filtered is written out first, and
 a slice that gets answers for other keys than it asks for raises an error.
 
 Defined results: a null text is an empty one, whose only token is its end; documents without an id
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, combine, forget, remainder, shared_table
+from .common import Words, combine, forget, remainder, same_each_scan, shared_table
 
 SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
@@ -299,7 +299,7 @@ def score_texts(docs: DataFrame, held_out: Column, tuning: Column, rounds: int =
         raise ValueError("the order is 2 or 3")
     role = F.when(held_out, HELD_OUT).when(tuning, TUNING).otherwise(COUNTED).cast("int")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), role.alias("role"), F.col("text").cast("string").alias("text"))
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+    if not same_each_scan(rows):
         rows = shared_table(rows, "lm-input")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, -(-int(size) // BUCKET_BYTES))
