@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.functions import text
+from newsloom.functions import scores, text
 from newsloom.functions import vocabulary as V
 
 from . import evidence
@@ -205,3 +205,42 @@ def incomplete_report(rows: DataFrame, keys: list[str], least: int = 5) -> DataF
 def counters(items: DataFrame, posted: Column, words: Column) -> DataFrame:
     """One row: added and posted items, and words in all."""
     return items.agg(F.count("*").alias("added"), F.count_if(posted).alias("posted"), F.coalesce(F.sum(words), F.lit(0)).cast("bigint").alias("words"))
+
+
+# --- the article that rules write -----------------------------------------------------------------
+
+
+def _labels(kind: Column) -> Column:
+    """Labels of the categories for which ``kind`` holds, in the order of the scorecard, joined; empty without any."""
+    found = F.sort_array(F.collect_list(F.when(kind, F.struct("place", text.lookup(F.col("category"), V.SCORECARD_LABELS).alias("label")))))
+    return F.array_join(F.transform(found, lambda x: x["label"]), "، ")
+
+
+def card_sentences(card: DataFrame, keys: list[str], game: str) -> DataFrame:
+    """(keys, summary, audience): what a scorecard's trends (place, category, trend) say, and for whom; ``game``: the key that names it."""
+    of = card.groupBy(*keys).agg(
+        _labels(F.col("trend") == "positive").alias("positive"), _labels(F.col("trend") == "negative").alias("negative"), _labels(~F.col("trend").isin("positive", "negative")).alias("other")
+    )
+    told = lambda kind, around, lead=None: F.when(F.col(kind) != "", F.concat(*([lead] if lead is not None else []), F.lit(around[0]), F.col(kind), F.lit(around[1])))
+    summary = F.concat_ws(" ", *(told(kind, V.TREND_SENTENCES[kind]) for kind in ("positive", "negative", "other")))
+    audience = F.concat_ws(" ", told("positive", V.AUDIENCE_SENTENCES["positive"], F.col(game)), told("negative", V.AUDIENCE_SENTENCES["negative"]))
+    neither = F.concat(F.lit(V.AUDIENCE_SENTENCES["none"][0]), F.col(game), F.lit(V.AUDIENCE_SENTENCES["none"][1]))
+    return of.select(*keys, summary.alias("summary"), F.coalesce(text.or_null(audience), neither).alias("audience"))
+
+
+def site_differences(sources: DataFrame, points: DataFrame, keys: list[str], wide: float = 1.5) -> DataFrame:
+    """(keys, text): how far the scores of sources (source_no, site_name, url, original_score, review_score_10) are apart, and a table
+    row for each with a point of its own: its verdict, else its first weakness, else its first strength."""
+    order = F.array(F.lit("verdict"), F.lit("negatives"), F.lit("positives"))
+    first = points.filter(F.col("section").isin("verdict", "negatives", "positives") & (text.clean_unescaped(F.col("point_fa")) != ""))
+    first = first.groupBy(*keys, "source_no").agg(F.min_by(text.clean_unescaped(F.col("point_fa")), F.struct(F.array_position(order, F.col("section")), "pos")).alias("highlight"))
+    name = F.coalesce(text.or_null(text.clean_unescaped(F.col("site_name"))), F.lit(UNKNOWN_SITE))
+    site = F.when(F.trim(text.blank(F.col("url"))) != "", F.concat(F.lit("["), name, F.lit("]("), F.trim("url"), F.lit(")"))).otherwise(name)
+    shown = F.coalesce(text.clean_unescaped(F.col("original_score")), F.lit(V.NO_SCORE))
+    shown = F.when(F.col("original_score").isNull(), V.NO_SCORE).otherwise(shown)
+    row = F.concat(F.lit("| "), site, F.lit(" | "), shown, F.lit(" | "), F.replace(F.coalesce("highlight", F.lit(V.NO_HIGHLIGHT)), F.lit("|"), F.lit("/")), F.lit(" |"))
+    score = scores.as_10(F.col("review_score_10").cast("string"))
+    of = sources.join(first, [*keys, "source_no"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("source_no", row.alias("row")))).alias("rows"), F.count(score).alias("n"), F.bround(F.max(score) - F.min(score), 1).alias("spread"))
+    far, between, near = V.SPREAD_SENTENCES
+    lead = F.when(F.col("n") >= 2, F.concat(F.when(F.col("spread") >= wide, F.concat(F.lit(far), F.col("spread").cast("string"), F.lit(between))).otherwise(near), F.lit("\n\n"))).otherwise("")
+    return of.select(*keys, F.concat(lead, F.lit("| منبع | نمره | نکته‌ی متمایزکننده |\n|---|---:|---|\n"), F.array_join(F.col("rows.row"), "\n")).alias("text"))

@@ -9,7 +9,7 @@ from newsloom.functions import vocabulary as V
 from newsloom.operators import articles, evidence
 
 from .base import Rows, literal, names, query, s_clean_unescaped, s_trim, table
-from .review import CLASSED, KEYS, POINTS
+from .review import CARD, CLASSED, KEYS, POINTS, card
 
 SENTENCES = Rows(
     "id int, s string",
@@ -269,3 +269,39 @@ def t17(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(html.tidy_article(F.col("html"))).alias("digest"))
 
 
+
+
+def _told(kind: str, around: tuple[str, str], lead: str = "''") -> str:
+    return f"CASE WHEN {kind} IS NOT NULL THEN {lead} || {literal(around[0])} || {kind} || {literal(around[1])} END"
+
+
+_LABEL = "CASE category " + " ".join(f"WHEN '{k}' THEN {literal(x)}" for k, x in V.SCORECARD_LABELS.items()) + " END"
+_PLACE = f"list_position([{names(V.SCORECARD_CATEGORIES)}], category)"
+
+
+@query(
+    "l8_card_sentences",
+    f"""WITH t AS (SELECT game, platform, {", ".join(f"string_agg({_LABEL}, '، ' ORDER BY {_PLACE}) FILTER ({c}) AS {k}" for k, c in (("positive", "trend = 'positive'"), ("negative", "trend = 'negative'"), ("other", "trend NOT IN ('positive', 'negative')")))} FROM {CARD} GROUP BY ALL)
+    SELECT game, platform, concat_ws(' ', {", ".join(_told(k, V.TREND_SENTENCES[k]) for k in ("positive", "negative", "other"))}) AS summary,
+    coalesce(nullif(concat_ws(' ', {_told("positive", V.AUDIENCE_SENTENCES["positive"], "game")}, {_told("negative", V.AUDIENCE_SENTENCES["negative"])}), ''), {literal(V.AUDIENCE_SENTENCES["none"][0])} || game || {literal(V.AUDIENCE_SENTENCES["none"][1])}) AS audience FROM t""",
+)
+def l8_sentences(spark, sf_dir):
+    """What the trends of a scorecard say, and for whom."""
+    return articles.card_sentences(card(spark), KEYS, "game")
+
+
+_SOURCES = Rows("game string, source_no int, site_name string, url string, original_score string, review_score_10 double", [("A", 1, "IGN", "https://ign.com/r", "8/10", 8.0), ("A", 2, "Kotaku", "", None, None), ("A", 3, "Polygon", "https://p.com", "6/10", 6.0), ("B", 1, "", "", "7/10", 7.0), ("C", 1, "VG247", "", "9/10", 9.0), ("C", 2, "X", "", "8.5", 8.5)])
+
+
+@query(
+    "l8_site_differences",
+    f"""WITH p AS (SELECT game, source_no, arg_min({s_clean_unescaped("point_fa")}, CASE section WHEN 'negatives' THEN 1000 ELSE 2000 END + pos) AS h FROM {POINTS.sql()} WHERE section IN ('negatives', 'positives') AND {s_clean_unescaped("point_fa")} <> '' GROUP BY ALL),
+    r AS (SELECT s.game AS game, s.source_no AS source_no, review_score_10 AS score, '| ' || CASE WHEN url <> '' THEN '[' || coalesce(nullif(site_name, ''), {literal(articles.UNKNOWN_SITE)}) || '](' || url || ')' ELSE coalesce(nullif(site_name, ''), {literal(articles.UNKNOWN_SITE)}) END || ' | ' || coalesce(original_score, {literal(V.NO_SCORE)}) || ' | ' || coalesce(h, {literal(V.NO_HIGHLIGHT)}) || ' |' AS line
+      FROM {_SOURCES.sql()} s LEFT JOIN p ON p.game = s.game AND p.source_no = s.source_no)
+    SELECT game, CASE WHEN count(score) >= 2 THEN CASE WHEN max(score) - min(score) >= 1.5 THEN {literal(V.SPREAD_SENTENCES[0])} || CAST(max(score) - min(score) AS VARCHAR) || {literal(V.SPREAD_SENTENCES[1])} ELSE {literal(V.SPREAD_SENTENCES[2])} END || chr(10) || chr(10) ELSE '' END
+      || '| منبع | نمره | نکته‌ی متمایزکننده |' || chr(10) || '|---|---:|---|' || chr(10) || string_agg(line, chr(10) ORDER BY source_no) AS text FROM r GROUP BY game""",
+)
+def l8_differences(spark, sf_dir):
+    """How far the sources of a game are apart, with a point of each."""
+    points = POINTS.df(spark).filter("platform = 'PC' OR game <> 'A'")
+    return articles.site_differences(_SOURCES.df(spark), points, ["game"])
