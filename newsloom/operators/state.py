@@ -90,11 +90,12 @@ def fold_events(items: DataFrame, events: DataFrame, max_retries: int = MAX_RETR
     )
 
 
-def recent(items: DataFrame, run_ts: Column, hours: int = WINDOW_HOURS, limit: int = RECENT_LIMIT) -> DataFrame:
-    """Posted or skipped items published within the window, the newest ones; a top-k, not a sort."""
+def recent(items: DataFrame, run_ts: Column, hours: int = WINDOW_HOURS, limit: int | None = RECENT_LIMIT) -> DataFrame:
+    """Posted or skipped items published within the window, the newest ``limit`` of them (a top-k, not a sort), or all."""
     cutoff = F.unix_seconds(run_ts) - hours * 3600
     ts = F.coalesce("published_ts", F.lit(0))
-    return items.filter(F.col("status").isin("posted", "skipped") & (ts >= cutoff)).select("id", "source_name", F.coalesce("title_norm", F.lit("")).alias("title_norm"), ts.alias("published_ts")).orderBy(F.desc("published_ts"), "id").limit(limit)
+    found = items.filter(F.col("status").isin("posted", "skipped") & (ts >= cutoff)).select("id", "source_name", F.coalesce("title_norm", F.lit("")).alias("title_norm"), ts.alias("published_ts"))
+    return found if limit is None else found.orderBy(F.desc("published_ts"), "id").limit(limit)
 
 
 def due(items: DataFrame, run_ts: Column) -> DataFrame:
