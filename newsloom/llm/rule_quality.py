@@ -10,7 +10,8 @@ statistics and scores cover every document and its whole text.
 
 Defined results: a null text is an empty one and is scored; null labels are ignored; of repeated
 labels the mean decides, a tie for 1; without labels of both classes the score is the share of
-label 1, or 0.5 if there is none; repeated rows are scored each; an empty table gives no rows.
+label 1, or 0.5 if there is none; repeated rows are scored each; an empty table gives no rows; a column of ``docs`` that
+has the name of the score or of a statistic raises an error (``common.plain_names`` renames columns first).
 """
 
 from __future__ import annotations
@@ -92,6 +93,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with a column for each statistic of ``text``; all other columns pass through."""
+    if taken := sorted({(PREFIX + s).lower() for s in STATISTICS} & {c.lower() for c in docs.columns}):
+        raise ValueError(f"columns {taken} are there already")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(PREFIX + s, T.DoubleType()) for s in STATISTICS)])
     return docs.mapInArrow(_measured, schema)
 
@@ -245,4 +248,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
 
 def with_quality(docs: DataFrame, model: RuleEnsemble, score: str = "score") -> DataFrame:
     """``docs`` with the model's score of each whole text."""
+    if score.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"a column {score} is there already")
     return with_statistics(docs).withColumn(score, model.column()).drop(*(PREFIX + s for s in STATISTICS))

@@ -1,5 +1,6 @@
 """Every operator on odd rows and on empty tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -44,6 +45,9 @@ def test_quality(edge_docs, no_docs, labels, no_labels):
     scored = rule_quality.with_quality(edge_docs, model, "q")
     assert scored.columns == [*edge_docs.columns, "q"]
     assert all(0 <= r.q <= 1 for r in scored.collect()) and scored.count() == 13
+    for name in ("score", "_stat_words"):
+        with pytest.raises(ValueError, match="there already"):
+            rule_quality.with_quality(edge_docs.withColumn(name, F.lit(1)), model)
     untaught = rule_quality.fit_quality(edge_docs, no_labels)
     assert {r.q for r in rule_quality.with_quality(edge_docs, untaught, "q").collect()} == {0.5}
     assert rule_quality.with_quality(no_docs, untaught, "q").count() == 0
