@@ -16,7 +16,7 @@ a size block as soon as a position leaves too few shingles to reach the overlap
 ask for, and leaves the list when its own position, or the sizes, rule out all that follows.
 
 *Answer-level skipping.* Of each list, first only the most central set (the smallest position) is
-compared with the others, then, of what is not one component by that, the most central of all its parts. A set that is found linked to a better connected one takes that set as its
+compared with the others; where a list is dealt over salts, then the most central of all its parts with those of other components. A set that is found linked to a better connected one takes that set as its
 representative, and its own answers are derived from the representative's: a set x with p shingles
 that its representative r lacks has |x & z| <= |r & z| + p for every z. So lists are walked by
 representative, one entry for all the sets it stands for; of two representatives the overlap is computed once, and
@@ -370,8 +370,8 @@ class JaccardJoin:
         wanted = self.spark.sparkContext.broadcast(words)
         del words
         found = self.docs.select(F.xxhash64("doc_id", "text_key").alias("h"), "text").mapInArrow(lambda b: read(b, wanted.value, width), schema)
-        # the filter may let others through
-        out = shared_table(found.join(held.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), label)
+        # the filter may let others through, which no pair asks for
+        out = shared_table(found.dropDuplicates(["sid"]), label)
         wanted.destroy()
         forget(held)
         return out
@@ -454,23 +454,28 @@ class JaccardJoin:
         self._add(dealt.mapInArrow(lambda b: _central_pairs(b, t), "a bigint, b bigint"))
         if self.member is None:
             self.member = self.spark.createDataFrame([], "sid bigint, component bigint")
-        # salts and bands of a list meet: the most central set of all is compared with the rest, as far as they are open
+        dealt_out = postings.filter("salts > 1")
+        if dealt_out.head(1):
+            self._across_salts(dealt_out)
+        opened = self._open(postings, None if self.verified is None else self._representatives())
+        forget(postings)
+        if opened.head(1):
+            self._between(opened)
+        forget(opened)
+        return self
+
+    def _across_salts(self, postings: DataFrame) -> None:
+        """Salts of frequent lists meet: the most central set of all is compared with the rest, as far as they are open."""
         opened = self._open(postings)
         pivots = opened.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "component")).alias("p")).select("token", F.col("p.sid").alias("pivot"), F.col("p.component").alias("of"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
         need = self._need("n", "pn")
         near = (
             opened.join(pivots, "token")
             .filter((F.col("component") != F.col("of")) & (F.col("n") - F.col("pos") >= need) & (F.col("pn") - F.col("pp") >= need))
-            .filter(F.least("n", "pn") * t.den >= F.greatest("n", "pn") * t.num)
+            .filter(F.least("n", "pn") * self.t.den >= F.greatest("n", "pn") * self.t.num)
         )
         self._add(near.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
         forget(opened)
-        opened = self._open(postings, None if self.verified is None else self._representatives())
-        forget(postings)
-        if opened.head(1):
-            self._between(opened)
-        forget(opened)
-        return self
 
     def _open(self, postings: DataFrame, stands: DataFrame | None = None) -> DataFrame:
         """Postings of lists that hold more than one component, with the components, representatives, and what a set holds beside its own."""
