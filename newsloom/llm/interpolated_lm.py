@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, combine, forget, remainder, same_each_scan, shared_table
+from .common import CHUNK_BYTES, Words, combine, forget, remainder, same_each_scan, shared_table
 
 SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
@@ -57,12 +57,12 @@ class Slice:
     """Tokens of some texts: for each order their distinct n-grams, sorted, with counts and places."""
 
     def __init__(self, texts: list[bytes], order: int = ORDER):
-        w = Words(texts, lower=True)
-        size = len(w.doc) + w.n
-        self.doc = np.repeat(np.arange(w.n), w.count + 1)
+        hashes, count = _word_hashes(texts)
+        size, n_texts = len(hashes) + len(texts), np.arange(len(texts))
+        self.doc = np.repeat(n_texts, count + 1)
         token = np.full(size, END, np.uint64)
-        token[np.arange(len(w.doc)) + w.doc] = w.hashes()
-        begins = np.concatenate(([0], np.cumsum(w.count + 1)[:-1])) if w.n else np.zeros(0, np.int64)
+        token[np.arange(len(hashes)) + np.repeat(n_texts, count)] = hashes
+        begins = np.concatenate(([0], np.cumsum(count + 1)[:-1])) if texts else np.zeros(0, np.int64)
         #: of each order: distinct keys, the place of each token's among them, counts, and of each key its context's place one order below
         self.keys, self.at, self.n, self.context = [], [], [], []
         grams: list[np.ndarray] = [token]
@@ -115,6 +115,19 @@ class Slice:
         return bucket, parts[::-1]
 
 
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and each text's number of words; about a megabyte of text is held in the works at once."""
+    hashes, counts, begin, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= CHUNK_BYTES or k + 1 == len(texts):
+            w = Words(texts[begin : k + 1], lower=True)
+            hashes.append(w.hashes())
+            counts.append(w.count)
+            begin, size = k + 1, 0
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys: differences, by byte planes, compressed."""
     if not len(keys):
