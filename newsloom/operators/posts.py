@@ -11,17 +11,32 @@ from newsloom.functions import html, text, url
 from . import similarity
 
 
+def _words_key(words: Column) -> Column:
+    return F.array_join(F.array_sort(words), " ")
+
+
+def _newest(df: DataFrame, key: str, n: int) -> DataFrame:
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("published_ts"), "post_id"))).filter(F.col("place") <= n)
+
+
 def found_by_words(items: DataFrame, posts: DataFrame, words: int, per_item: int = 10) -> DataFrame:
-    """(id, post_id): the newest posts that hold all search words of an item's title, ``per_item`` at most.
+    """(id, post_id, place): the newest posts that hold all search words of an item's title, ``per_item`` at most.
 
-    ``items``: (id, title); ``posts``: (post_id, title, published_ts). Words meet by an equi-join; a pair counts when as
-    many words met as the item has.
+    ``items``: (id, title); ``posts``: (post_id, title, published_ts). Items of the same words are one search, posts of the same
+    words one candidate, of which no more than the newest ``per_item`` can be found. A search meets the posts of its rarest
+    word, which are then asked for the others.
     """
-    asked = items.select("id", F.array_distinct(F.split(text.search_keywords(F.col("title"), words), " ")).alias("w")).filter(F.col("w")[0] != "")
-    held = posts.select("post_id", "published_ts", F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(text.blank(F.col("title"))), r"[^a-z0-9]+", " ")), " "))).alias("word"))
-    met = asked.select("id", F.size("w").alias("n"), F.explode("w").alias("word")).join(held, "word").groupBy("id", "post_id").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("published_ts").alias("published_ts")).filter("met = n")
-    newest = Window.partitionBy("id").orderBy(F.desc("published_ts"), "post_id")
-    return met.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= per_item).select("id", "post_id", "place")
+    asked = items.select("id", F.array_distinct(F.split(text.search_keywords(F.col("title"), words), " ")).alias("w")).filter(F.col("w")[0] != "").withColumn("key", _words_key(F.col("w")))
+    searches = asked.groupBy("key").agg(F.first("w").alias("w"))
+    held = posts.select("post_id", "published_ts", F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(text.blank(F.col("title"))), r"[^a-z0-9]+", " ")), " ")).alias("t")).withColumn("post_key", _words_key(F.col("t")))
+    kinds = held.groupBy("post_key").agg(F.first("t").alias("t")).select("post_key", "t", F.explode("t").alias("word"))
+    counts = kinds.groupBy("word").agg(F.count("*").alias("n"))
+    # a word that no post holds leaves the search without an answer
+    rarest = searches.select("key", "w", F.explode("w").alias("word")).join(counts, "word", "left").groupBy("key").agg(F.first("w").alias("w"), F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    met = rarest.join(kinds, "word").filter(F.size(F.array_except("w", "t")) == 0).select("key", "post_key")
+    newest = _newest(held.select("post_key", "post_id", "published_ts"), "post_key", per_item).drop("place")
+    answers = _newest(met.join(newest, "post_key"), "key", per_item).groupBy("key").agg(F.collect_list(F.struct("post_id", "place")).alias("found"))
+    return asked.select("id", "key").join(answers, "key").select("id", F.inline("found"))
 
 
 def similar_posts(items: DataFrame, posts: DataFrame, threshold: float = similarity.THRESHOLD) -> DataFrame:
