@@ -40,10 +40,15 @@ def found_by_words(items: DataFrame, posts: DataFrame, words: int, per_item: int
 
 
 def similar_posts(items: DataFrame, posts: DataFrame, threshold: float = similarity.THRESHOLD) -> DataFrame:
-    """(id, post_id, score): the most similar post of each item among those a search finds, where it reaches the threshold."""
-    found = found_by_words(items, posts, 6).join(items.select("id", text.normalize_title(F.col("title")).alias("a")), "id").join(posts.select("post_id", text.normalize_title(F.col("title")).alias("b")), "post_id")
-    scored = found.withColumn("score", similarity.similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
-    best = scored.groupBy("id").agg(F.max_by(F.struct("post_id", "score"), F.struct("score", -F.col("place"))).alias("b"))
+    """(id, post_id, score): the most similar post of each item among those a search finds, where it reaches the threshold.
+
+    Titles of fewer than five tokens are like none; each pair of different titles is scored once.
+    """
+    titled = lambda df, key, name: df.select(key, text.normalize_title(F.col("title")).alias(name)).filter(F.size(text.tokens(F.col(name))) >= similarity.MIN_TOKENS)
+    a, b = titled(items, "id", "a"), titled(posts, "post_id", "b")
+    found = found_by_words(items.join(a.select("id"), "id", "left_semi"), posts, 6).join(a, "id").join(b, "post_id")
+    scored = found.select("a", "b").distinct().withColumn("score", similarity.similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+    best = found.join(scored, ["a", "b"]).groupBy("id").agg(F.max_by(F.struct("post_id", "score"), F.struct("score", -F.col("place"))).alias("b"))
     return best.select("id", F.col("b.post_id").alias("post_id"), F.col("b.score").alias("score"))
 
 
