@@ -90,11 +90,15 @@ def fold_events(items: DataFrame, events: DataFrame, max_retries: int = MAX_RETR
     )
 
 
+def finished(items: DataFrame) -> DataFrame:
+    """Posted or skipped items of any time."""
+    return items.filter(F.col("status").isin("posted", "skipped")).select("id", "source_name", F.coalesce("title_norm", F.lit("")).alias("title_norm"), F.coalesce("published_ts", F.lit(0)).alias("published_ts"))
+
+
 def recent(items: DataFrame, run_ts: Column, hours: int = WINDOW_HOURS, limit: int | None = RECENT_LIMIT) -> DataFrame:
     """Posted or skipped items published within the window, the newest ``limit`` of them (a top-k, not a sort), or all."""
     cutoff = F.unix_seconds(run_ts) - hours * 3600
-    ts = F.coalesce("published_ts", F.lit(0))
-    found = items.filter(F.col("status").isin("posted", "skipped") & (ts >= cutoff)).select("id", "source_name", F.coalesce("title_norm", F.lit("")).alias("title_norm"), ts.alias("published_ts"))
+    found = finished(items).filter(F.col("published_ts") >= cutoff)
     return found if limit is None else found.orderBy(F.desc("published_ts"), "id").limit(limit)
 
 

@@ -171,11 +171,10 @@ def q16(spark, sf_dir):
 
 @query("j2_windowed_duplicates")
 def j2_windowed(spark, sf_dir):
-    """Titles like a recent one: each new item's best match among the posted and skipped items of the window."""
-    old = state.recent(items(spark, sf_dir), F.expr(RUN), limit=None).select("id", F.concat_ws(" ", "title_norm", F.lit("alpha beta gamma delta"), "source_name").alias("title_norm"), "published_ts")
-    new = items(spark, sf_dir).filter("status = 'pending'").select("id", F.concat_ws(" ", "title_norm", F.lit("alpha beta gamma delta"), "source_name").alias("title_norm")).dropDuplicates(["title_norm"])
-    best_of = old.groupBy("title_norm").agg(F.max_by("id", F.struct("published_ts", "id")).alias("id"), F.max("published_ts").alias("published_ts"))
-    return similarity.duplicates(new, best_of).select("id", "best_id", F.round("score", 9).alias("score"))
+    """Titles like a recent one: each new item's best match among the posted and skipped items of its own window, the hours before it."""
+    titled = items(spark, sf_dir).withColumn("title_norm", F.concat_ws(" ", "title_norm", F.lit("alpha beta gamma delta"), "source_name"))
+    new = titled.filter("status = 'pending'").select("id", "title_norm", F.coalesce("published_ts", F.lit(0)).alias("published_ts"))
+    return similarity.windowed_duplicates(new, state.finished(titled), state.WINDOW_HOURS).select("id", "best_id", F.round("score", 9).alias("score"))
 
 
 KNOBS = Rows("id int, name string, value string", [(1, "FEED_ENTRIES_LIMIT", "0"), (2, "AUTO_TAGS_MAX", "99"), (3, "DEDUP_SIM_THRESHOLD", "x"), (4, "DEDUP_SIM_THRESHOLD", " 0.9 "), (5, "AUTO_TAGS", "no"), (6, "POST_STATUS", "publish"), (7, "POST_STATUS", " ")])

@@ -103,3 +103,31 @@ def test_duplicates_against_every_pair(spark, titles):
                 best[i] = max(best.get(i, (0, 0, 0)), (round(s, 9), ts, j))
     got = similarity.duplicates(spark.createDataFrame(list(new.items()), "id bigint, title_norm string"), spark.createDataFrame([(k, *v) for k, v in recent.items()], "id bigint, title_norm string, published_ts bigint"))
     assert {r.id: (round(r.score, 9), r.best_id) for r in got.collect()} == {i: (s, j) for i, (s, _, j) in best.items()} and best
+
+
+def test_every_new_item_has_its_own_window(spark, monkeypatch):
+    """Items of equal titles are each asked for, at their own times, however old; both ends of a window are in it."""
+    rng, old, new = random.Random(3), {}, {}
+    for k, t in enumerate(made(240, 11)):
+        (old if k % 3 else new)[f"i{k:03}"] = (t, rng.randrange(-400_000, 900_000))
+    old |= {"at": (t, 5), "far": (t, 10_000_000)}
+    new |= {"one": (t, 5 + 48 * 3600), "two": (t, 5), "late": (t, 10_000_000 + 48 * 3600 + 1), "i001": old["i001"]}
+    best = {}
+    for i, (x, at) in new.items():
+        for j, (y, ts) in old.items():
+            if i != j and at - 48 * 3600 <= ts <= at and (s := score(x, y)) >= 0.8:
+                best[i] = max(best.get(i, (0, 0, "")), (round(s, 9), ts, j))
+    asked, held = (spark.createDataFrame([(k, *v) for k, v in d.items()], "id string, title_norm string, published_ts bigint") for d in (new, old))
+    for sure in (0.8, 0.9, 1.1):
+        monkeypatch.setattr(similarity, "SURE", sure)
+        got = similarity.windowed_duplicates(asked, held, 48)
+        assert {r.id: (round(r.score, 9), r.best_id) for r in got.collect()} == {i: (s, j) for i, (s, _, j) in best.items()}
+    assert {"one", "two"} <= set(best) and "late" not in best and any(s < 0.9 for s, *_ in best.values())
+
+
+def test_windowed_query_asks_every_pending_event(spark, tmp_path):
+    """Two clicks of one user have equal titles; months before the run they have matches, too."""
+    rows = [(1, "2023-05-01 00:00:00", 12345, "view"), (2, "2023-05-01 10:00:00", 12345, "click"), (3, "2023-05-02 23:59:59", 12345, "click"), (4, "2023-05-04 00:00:00", 12345, "click"), (5, "2024-01-30 00:00:00", 12345, "purchase"), (6, "2024-01-30 05:00:00", 12345, "click")]
+    spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = __spark_entry__.queries()["j2_windowed_duplicates"](spark, str(tmp_path)).collect()
+    assert {r.id: r.best_id for r in got} == {"2": "1", "3": "1", "6": "5"}
